@@ -1,28 +1,82 @@
-"""A training-data pipeline over ``documents``: each stage applies one operator of ``lectern.llm``."""
+"""A training-data pipeline over ``documents``: each stage applies one operator of ``lectern.llm``.
+
+Every stage takes (spark, docs, sf_dir), works on all rows that the one before kept and returns
+the columns of ``documents``; the last one writes token files and returns what it reads back.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from lectern.llm.decontaminate import find_overlaps
+from lectern.llm.mixing import mix_sources
 from lectern.llm.ngram_join import ngram_jaccard_join
+from lectern.llm.quality_rules import quality_rules
+from lectern.llm.queries import tokenizer_path
+from lectern.llm.scratch import materialise
+from lectern.llm.token_files import token_files
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go; rows of one doc_id are judged each."""
+    judged = quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    kept = judged.where("kept").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("t"))
+    return docs.join(kept.hint("shuffle_hash"), same, "left_semi").select(*COLUMNS)
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: the smallest doc_id (five words, 0.8).
+
+    Rows without doc_id cannot be told apart: they stay if one of them is in no group.  Of
+    rows that repeat a doc_id one stays.
+    """
+    joined = materialise(ngram_jaccard_join(docs, k=5, percent=80).select("doc_id", "component_id"))
+    stay = joined.where("doc_id <=> component_id").select(F.col("doc_id").alias("d")).distinct()
+    kept = docs.join(stay.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi").select(*COLUMNS)
+    if joined.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "lang", "source", "n_chars")
+        kept = kept.withColumn("_nth", F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.row_number().over(first))).where("_nth = 1").select(*COLUMNS)
+    return kept
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go; nothing is shuffled."""
+    found = find_overlaps(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "_found")
+    return found.where("_found.n_hit = 0").select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it: 0, 1 or 2."""
+    taken = mix_sources(docs).where("copies > 0").groupBy(F.col("doc_id").alias("d")).agg(F.max("copies").alias("copies"))
+    both = docs.join(taken.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")))
+    return both.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
-DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of all documents left; doc_id, start, n_tokens, ids_crc32 as read back."""
+    return token_files(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0)
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest doc_id."""
-    joined = ngram_jaccard_join(docs)
-    stay = joined.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay.hint("shuffle_hash"), "doc_id", "left_semi").select(*DOCUMENT_COLUMNS)
 
+STAGES = [
+    ("quality rules", keep_by_rules),
+    ("n-gram Jaccard join", one_of_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("mixing to target weights", mix),
+    ("token-ID output", write_tokens),
+]
 
-STAGES = [("n-gram Jaccard join", near_copies)]
+#: binomial bounds and random walks of probabilities are not SQL; tests hold it against a plain version
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``, each written to the shared folder before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = materialise(stage(spark, docs, sf_dir))
     return docs

@@ -8,7 +8,9 @@ expected totals, until all are 0 or 1 but for two for each block: the landing pr
 
 Blocks of a bounded number of documents fly apart from each other; what is left of each
 meets in new blocks, until one block of a source is left and lands.  A hot source is only
-more blocks.  Within a block large documents fly first, so what is left to land is small.
+more blocks.  The landing rounds the last units and then, while words are missing or too many
+by more than a small share, turns the choice of the documents whose sizes fit best: a source
+of few documents of very different sizes has no other way to come near its target.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 import random
 import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +28,8 @@ from .scratch import materialise
 
 BLOCK = 2048
 _EPS = 1e-9
+#: share of the expected words by which a landing may miss them before documents are turned
+NEAR = 0.002
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -54,7 +59,7 @@ def fly(sizes: list[float], p: list[float], rng: random.Random, land: bool) -> l
     Without a landing at most two stay between 0 and 1.  The landing first gives up the
     number of documents and keeps the words, then rounds one unit by its probability.
     """
-    p = list(p)
+    start, p = p, list(p)
     active: list[int] = []
     waiting = iter(i for i in range(len(p)) if _EPS <= p[i] <= 1 - _EPS)
 
@@ -79,9 +84,33 @@ def fly(sizes: list[float], p: list[float], rng: random.Random, land: bool) -> l
             active = [k for k in active if 0.0 < p[k] < 1.0]
         for i in active:
             p[i] = float(rng.random() < p[i])
+        _repair(sizes, start, p)
     return p
 
 
+def _repair(sizes: list[float], start: list[float], p: list[float]) -> None:
+    """Turn single documents, or pairs, that bring the words nearest to their expected sum."""
+    free = [i for i, x in enumerate(start) if _EPS <= x <= 1 - _EPS and sizes[i]]
+    missing = sum(s * (a - b) for s, a, b in zip(sizes, start, p, strict=True))
+    enough = NEAR * sum(s * a for s, a in zip(sizes, start, strict=True))
+    for _ in range(len(free) and 64):
+        if abs(missing) <= enough:
+            break
+        change = np.array([sizes[i] * (1 - 2 * p[i]) for i in free])
+        left = np.abs(missing - change)
+        turn, best = [int(np.argmin(left))], float(left.min())
+        if len(free) <= 256:
+            pairs = np.abs(missing - change[:, None] - change[None, :])
+            np.fill_diagonal(pairs, np.inf)
+            if pairs.min() < 0.5 * best:
+                turn, best = [int(k) for k in np.unravel_index(np.argmin(pairs), pairs.shape)], float(pairs.min())
+        if best >= abs(missing):
+            break
+        for k in turn:
+            missing -= change[k]
+            p[free[k]] = 1 - p[free[k]]
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """source, source_size, target: ``share`` of all sizes by repeating ``weights``, at most ``most`` times a source's size.
 
