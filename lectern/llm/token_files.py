@@ -17,6 +17,7 @@ protocol, so a lost task is run again and leaves nothing behind.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 from collections.abc import Iterator
@@ -36,7 +37,9 @@ from .scratch import materialise, scratch_dir
 
 INDEX_FRAME, SEEK_FRAME, SEEK_MAGIC, INDEX_MAGIC = 0x184D2A5C, 0x184D2A5E, 0x8F92EAB1, b"LTI1"
 #: distinct chunks remembered in a worker
-REMEMBERED = 300_000
+REMEMBERED = 150_000
+#: chunks that the library encodes at once; it keeps a large object for each
+ENCODED_AT_ONCE = 2048
 SHARD_BYTES = 32 << 20
 _CHUNK = re.compile("[ \n]*[^ \n]+|[ \n]+")
 #: any white space but space and line feed, by Unicode's or Python's reading
@@ -64,7 +67,10 @@ class ChunkIds(dict):
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
 
     def direct(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[bytes] = []
+        for i in range(0, len(texts), ENCODED_AT_ONCE):
+            out += [np.asarray(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + ENCODED_AT_ONCE], add_special_tokens=False)]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each whole text."""
@@ -83,7 +89,7 @@ class ChunkIds(dict):
         return out
 
 
-def _groups(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
+def _groups(texts: list[str], most: int = 1 << 18) -> Iterator[list[str]]:
     group, size = [], 0
     for t in texts:
         group.append(t)
@@ -154,6 +160,7 @@ def encode_documents(documents: DataFrame, tokenizer_path: str, end_id: int, bou
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         chunk_ids = ChunkIds(tokenizer_path)
         end = np.array([end_id], chunk_ids.kind).tobytes()
         packer = zstandard.ZstdCompressor(level=1, write_checksum=True)
