@@ -36,12 +36,17 @@ from tokenizers import Tokenizer
 from .scratch import materialise, scratch_dir
 
 INDEX_FRAME, SEEK_FRAME, SEEK_MAGIC, INDEX_MAGIC = 0x184D2A5C, 0x184D2A5E, 0x8F92EAB1, b"LTI1"
-#: distinct chunks remembered in a worker
-REMEMBERED = 150_000
+#: distinct chunks remembered in a worker, twice: now and in the generation before
+REMEMBERED = 250_000
 #: chunks that the library encodes at once; it keeps a large object for each
 ENCODED_AT_ONCE = 2048
 SHARD_BYTES = 32 << 20
-_CHUNK = re.compile("[ \n]*[^ \n]+|[ \n]+")
+#: letters of Latin-1: with only such text, a letter before another character always parts pre-tokens
+_LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
+_SPACES = "[ \n]+(?![^ \n])|[ \n]"
+_FINE = re.compile(f" ?(?:[^ \n{_LETTER}]*[{_LETTER}]+|[^ \n{_LETTER}]+)|{_SPACES}")
+_COARSE = re.compile(f" ?[^ \n]+|{_SPACES}")
+_BEYOND_LATIN = re.compile("[^\x00-\xff]")
 #: any white space but space and line feed, by Unicode's or Python's reading
 _OTHER_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
@@ -52,41 +57,58 @@ def _tokenizer(path: str) -> Tokenizer:
 
 
 class ChunkIds(dict):
-    """Ids, as bytes, of chunks of text (white space and the run that follows it).
+    """Ids, as bytes, of chunks of text: a run without white space, with one space before it, or white space.
 
-    The byte-level pattern never joins a character that isn't white space with white space
-    after it, so such a place always parts pre-tokens and chunks are encoded one by one.
+    The byte-level pattern parts a text wherever white space follows another character, gives
+    the last space of a run to what follows it, and lets the rest of the run stand alone; no
+    pattern goes on from a letter to what is no letter.  So chunks are encoded one by one, each
+    once while it is remembered.  New chunks go to the library many at once, in lines of one
+    text: a line feed is a token of its own there and in no other token.
     """
 
     def __init__(self, path: str):
         super().__init__()
+        self.before: dict[str, bytes] = {}  # the generation before; what is used again moves over
         self.tokenizer = _tokenizer(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        in_lines = self.tokenizer.encode("\n a\n'b", add_special_tokens=False).ids
+        apart = [x for t in (" a", "'b") for x in (*feed, *self.tokenizer.encode(t, add_special_tokens=False).ids)]
+        self.feed = feed[0] if len(feed) == 1 and in_lines == apart else None
 
     def direct(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for i in range(0, len(texts), ENCODED_AT_ONCE):
-            out += [np.asarray(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + ENCODED_AT_ONCE], add_special_tokens=False)]
-        return out
+        return [np.asarray(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, chunks: list[str]) -> None:
+        for i in range(0, len(chunks), ENCODED_AT_ONCE):
+            some = chunks[i : i + ENCODED_AT_ONCE]
+            lines = [c for c in some if self.feed is not None and "\n" not in c and c.strip(" ")]
+            if lines:
+                ids = np.asarray(self.tokenizer.encode("\n" + "\n".join(lines), add_special_tokens=False).ids, self.kind)
+                at = np.flatnonzero(ids == self.feed).tolist()
+                if len(at) != len(lines):
+                    raise ValueError("a line feed is not a token of its own")
+                raw, w = ids.tobytes(), self.width
+                for c, a, b in zip(lines, at, [*at[1:], len(ids)], strict=True):
+                    self[c] = raw[(a + 1) * w : b * w]
+            rest = [c for c in some if c not in self]
+            self.update(zip(rest, self.direct(rest), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each whole text."""
         if len(self) > REMEMBERED:
+            self.before = dict(self)
             self.clear()
-        out: list[bytes | None] = [None] * len(texts)
-        plain = [i for i, t in enumerate(texts) if not _OTHER_SPACE.search(t) and not (self.special and self.special.search(t))]
-        chunks = {i: _CHUNK.findall(texts[i]) for i in plain}
-        new = list(set().union(*chunks.values()) - self.keys())
-        self.update(zip(new, self.direct(new), strict=True))
-        for i, own in chunks.items():
-            out[i] = b"".join(map(self.__getitem__, own))
-        rest = [i for i in range(len(texts)) if out[i] is None]
-        for i, ids in zip(rest, self.direct([texts[i] for i in rest]), strict=True):
-            out[i] = ids
-        return out
+        plain = [not _OTHER_SPACE.search(t) and not (self.special and self.special.search(t)) for t in texts]
+        chunks = [(_COARSE if _BEYOND_LATIN.search(t) else _FINE).findall(t) if ok else None for t, ok in zip(texts, plain, strict=True)]
+        new = set().union(*(c for c in chunks if c is not None)) - self.keys()
+        self.update({c: self.before[c] for c in new & self.before.keys()})
+        self.learn([c for c in new if c not in self])
+        whole = iter(self.direct([t for t, ok in zip(texts, plain, strict=True) if not ok]))
+        return [next(whole) if c is None else b"".join(map(self.__getitem__, c)) for c in chunks]
 
 
 def _groups(texts: list[str], most: int = 1 << 18) -> Iterator[list[str]]:
