@@ -15,9 +15,9 @@ of shingles both prefixes of n - need(n) + m shingles share m of them or more.
     common passages they quote.
 4.  A family is joined exactly inside one task, each document choosing its own prefix
     length by the cost of its posting lists; pairs already connected are skipped.  A
-    family above a bound is dealt into chunks: some rounds of chunks grow its largest
-    component, then the documents outside it are compared, in blocks, with all its
-    documents.  No pair of documents is ever emitted, only links between components.
+    family above a bound is dealt into chunks in which copies mostly meet; what still joins
+    different components after that is compared in blocks.  No pair of documents is ever
+    emitted, only links between components.
 """
 
 from __future__ import annotations
@@ -38,7 +38,6 @@ from .textbytes import WHITE, U64, hashed_words, mix, shingles
 FIRST_MATCHES = 0.1
 CHUNK_DOCS = 1024
 CHUNK_SHINGLES = 1 << 21
-CHUNK_ROUNDS = 3
 
 
 def need(n: int, percent: int) -> int:
@@ -163,36 +162,58 @@ def _link_round(dealt: DataFrame, percent: int) -> DataFrame:
 def _merge(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``nodes`` with the components that ``links`` join."""
     merged = connected_components(links).withColumnRenamed("label", "low")
-    return materialise(nodes.join(merged, nodes["comp"] == merged["node"], "left").select("rep", "lo", "family", "chunks", F.coalesce("low", "comp").alias("comp")))
-
-
-def _join_families(sets: DataFrame, families: DataFrame, percent: int) -> DataFrame:
-    """(rep, lo, comp): exact components inside each family; ``families``: lo, family."""
-    sizes = sets.join(families, "lo").groupBy("family").agg(F.count("*").alias("docs"), F.sum(F.size("shingles")).alias("total"))
-    chunks = sizes.select("family", F.ceil(F.greatest(F.col("docs") / CHUNK_DOCS, F.col("total") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
-    numbered = sets.select("rep", "lo", F.xxhash64("rep", "lo").alias("comp")).join(families, "lo").join(chunks, "family")
-    nodes = materialise(numbered.select("rep", "lo", "family", "chunks", "comp"))
-
-    def deal(rows: DataFrame, task, asks) -> DataFrame:
-        return rows.select("family", "rep", "lo", "comp", task.alias("task"), asks.alias("asks")).join(sets, ["rep", "lo"])
-
-    dealt_by = lambda r: F.pmod(F.xxhash64("rep", "lo", F.lit(r)), F.col("chunks"))
-    nodes = _merge(nodes, _link_round(deal(nodes, dealt_by(0), F.lit(True)), percent))
-    large = nodes.where("chunks > 1")
-    if large.limit(1).count():
-        for r in range(1, 1 + CHUNK_ROUNDS):
-            nodes = _merge(nodes, _link_round(deal(nodes.where("chunks > 1"), dealt_by(r), F.lit(True)), percent))
-        large = nodes.where("chunks > 1")
-        counted = large.groupBy("family", "comp").count()
-        main = counted.groupBy("family").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
-        outside = large.join(main, "family").where("comp != main")
-        blocks = outside.groupBy("family").agg(F.ceil(F.count("*") / CHUNK_DOCS).cast("int").alias("blocks"))
-        asking = outside.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("lo", F.lit(-1)), F.col("blocks")))
-        grid = lambda block: F.col(block).cast("long") * F.col("chunks") + F.col("chunk")
-        ask = deal(asking.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))), grid("block"), F.lit(True))
-        told = deal(large.join(blocks, "family").withColumn("chunk", dealt_by(-2)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), grid("block"), F.lit(False))
-        nodes = _merge(nodes, _link_round(ask.unionByName(told), percent))
-    return nodes.select("rep", "lo", "comp")
+    return materialise(nodes.join(merged, nodes["comp"] == merged["node"], "left").select("rep", "lo", F.coalesce("low", "comp").alias("comp")))
+
+
+def _families(rarest: DataFrame) -> DataFrame:
+    """lo, family: classes joined by any shingle of ``rarest`` (lo, shingle)."""
+    stars = rarest.join(rarest.groupBy("shingle").agg(F.min("lo").alias("b")), "shingle").select(F.col("lo").alias("a"), "b").where("a != b").distinct()
+    return connected_components(stars).select(F.col("node").alias("lo"), F.col("label").alias("family"))
+
+
+def _chunks_by_block(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Tasks in which every pair of components of a large family meets.
+
+    A pair of different components has a document outside the family's largest one: those
+    ask, in blocks, and each block meets each chunk of the family's documents.
+    """
+    main = placed.groupBy("family", "comp").count().groupBy("family").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
+    outside = placed.join(main, "family").where("comp != main")
+    blocks = outside.groupBy("family").agg(F.ceil(F.count("*") / CHUNK_DOCS).cast("int").alias("blocks"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    ask = outside.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("lo", F.lit(-1)), F.col("blocks"))).withColumn("chunk", upto("chunks")).withColumn("asks", F.lit(True))
+    told = placed.join(blocks, "family").withColumn("chunk", F.pmod(F.xxhash64("lo", F.lit(-2)), F.col("chunks"))).withColumn("block", upto("blocks")).withColumn("asks", F.lit(False))
+    columns = ["rep", "lo", "comp", "family", "asks", (F.col("block").cast("long") * F.col("chunks") + F.col("chunk")).alias("task")]
+    return ask.select(*columns).unionByName(told.select(*columns)).join(sets, ["rep", "lo"])
+
+
+def _join_families(sets: DataFrame, rarest: DataFrame, percent: int) -> DataFrame:
+    """(rep, lo, comp): exact components of ``sets``; ``rarest`` holds each one's prefix (lo, shingle).
+
+    A family that fits one task is done after it.  A larger one is dealt by the smallest, then
+    by the largest of its members' shingles, where copies of one text mostly meet; after each
+    round only shingles between different components stay, and what they join are the next
+    families.  What is still too large after that is compared in blocks.
+    """
+    nodes = materialise(sets.select("rep", "lo", F.xxhash64("rep", "lo").alias("comp")))
+    sizes = materialise(sets.select("lo", F.size("shingles").alias("total")))
+    ends = (F.array_min("shingles"), F.array_max("shingles"))
+    for r in range(len(ends) + 1):
+        families = materialise(_families(rarest))
+        room = sizes.join(families, "lo").groupBy("family").agg(F.ceil(F.greatest(F.count("*") / CHUNK_DOCS, F.sum("total") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
+        placed = materialise(nodes.join(families, "lo").join(room, "family").select("rep", "lo", "comp", "family", "chunks"))
+        large = placed.where("chunks > 1")
+        if r < len(ends):
+            whole = placed.withColumn("asks", F.lit(True)).join(sets, ["rep", "lo"]).withColumn("task", F.pmod(F.xxhash64(ends[r]), F.col("chunks").cast("long")))
+        else:
+            whole = placed.where("chunks = 1").select("rep", "lo", "comp", "family", F.lit(True).alias("asks"), F.lit(0).cast("long").alias("task")).join(sets, ["rep", "lo"]).unionByName(_chunks_by_block(large, sets))
+        nodes = _merge(nodes, _link_round(whole.select("family", "task", "comp", "asks", "shingles"), percent))
+        if r == len(ends) or not large.limit(1).count():
+            return nodes
+        between = rarest.join(large.select("lo"), "lo", "left_semi").join(nodes.select("lo", "comp"), "lo")
+        split = between.groupBy("shingle").agg(F.min("comp").alias("one"), F.max("comp").alias("other")).where("one != other").select("shingle")
+        rarest = materialise(between.join(split, "shingle", "left_semi").select("lo", "shingle").distinct())
+    return nodes
 
 
 def ngram_jaccard_join(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -222,9 +243,7 @@ def ngram_jaccard_join(documents: DataFrame, k: int = 5, percent: int = 80) -> D
     of_doc = Window.partitionBy("rep", "lo")
     ranked = whole.join(often, "shingle").select("rep", "lo", "shingle", F.count("*").over(of_doc).alias("shared"), (F.count("*").over(of_doc) - F.ceil(F.lit(percent) * F.col("n") / 100)).alias("spare"), F.row_number().over(of_doc.orderBy("df", "shingle")).alias("rank"))
     rarest = materialise(ranked.where("rank <= spare + 1").select("lo", "shingle"))
-    stars = rarest.join(rarest.groupBy("shingle").agg(F.min("lo").alias("b")), "shingle").select(F.col("lo").alias("a"), "b").where("a != b").distinct()
-    families = connected_components(stars).select(F.col("node").alias("lo"), F.col("label").alias("family"))
-    comps = _join_families(sets, families, percent)
+    comps = _join_families(sets, rarest, percent)
     named = comps.join(comps.groupBy("comp").agg(F.min("rep").alias("component")), "comp").select("rep", "lo", "component")
     of_class = materialise(classes.join(named, ["rep", "lo"], "left").select("hi", "lo", F.coalesce("component", "rep").alias("component")))
     return heads.select("doc_id", "n_shingles", "hi", "lo").join(of_class, ["hi", "lo"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -171,3 +171,20 @@ def test_op10(spark, data):
     assert sorted((r[0] for r in got), key=repr) == sorted((d for d, _ in data[1]), key=repr)
     assert all(0 <= s <= 1 and p == int(s >= 0.5) for _, _, s, p in got)
     assert all(h == brute.held_out(d) for d, h, _, _ in got if d is not None)
+
+
+def test_op7_large_families(spark, monkeypatch):
+    """Families above the bound of a task: dealt into chunks, then compared in blocks."""
+    from lectern.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "CHUNK_DOCS", 5)
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(3)]
+    docs = []
+    for i in range(150):
+        w = list(base[i % 3])
+        for _ in range(rng.randrange(0, 5)):
+            w[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        docs.append((i, " ".join(w[: rng.randrange(52, 61)])))
+    got = ngram_join.ngram_jaccard_join(spark.createDataFrame(docs, "doc_id long, text string"), 4, 85)
+    assert rows_of(got, "doc_id", "n_shingles", "component_id") == sorted(brute.components(docs, 4, 85), key=repr)
