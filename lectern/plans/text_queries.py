@@ -407,3 +407,26 @@ def _(docs):
 def _(orders):
     job = F.col("o_orderkey").cast("string")
     return orders.select("o_orderkey", X.segment_file(job, F.col("o_custkey"), F.col("o_orderkey") % 10000).alias("segment"), X.safe_title(F.concat("o_orderpriority", F.lit("/#"), "o_orderkey"), job).alias("title"))
+
+
+@query("a7_html_parsed", "pages")
+def _(pages):
+    from ..sources.books import html_pages
+
+    return html_pages(pages, "page_id")
+
+
+@query("t27_similarity", "benchmark", "documents")
+def _(benchmark, docs):
+    from ..operators.backends import with_similarity
+
+    rows = benchmark.join(docs.select("doc_id", F.left("text", F.lit(400)).alias("heard")), F.col("item_id") == F.col("doc_id")).select("item_id", "text", "heard")
+    return with_similarity(rows, "text", "heard").select("item_id", F.round("similarity", 9).alias("similarity"))
+
+
+@query("s23_synthetic_speech", "conversations")
+def _(conv):
+    from ..operators.backends import synthesise, tone
+
+    rows = conv.select("conv_id", "turn", "text", "role", F.lit(42).alias("seed"))
+    return synthesise(rows, "text", "role", "seed", tone(100)).select("conv_id", "turn", F.size("samples").alias("n"))
