@@ -207,7 +207,7 @@ def _(docs):
 
 _EMPHASIS = (
     "case "
-    + " ".join(f"when regexp_matches(text, '(?i)\\b(?:{'|'.join(own)})\\b') then '{name}'" for name, own in EMPHASES.items())
+    + " ".join(f"when regexp_matches(text, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])(?:{'|'.join(own)})(?:$|[^\\p{{L}}\\p{{N}}_])') then '{name}'" for name, own in EMPHASES.items())
     + r" when len(regexp_extract_all(text, '\b[A-Z]{2,}\b')) > 2 then 'shouted' when regexp_matches(text, '\*[^*]+\*|_[^_]+_') then 'emphasized' else 'normal' end"
 )
 

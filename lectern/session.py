@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+ROOT = Path(__file__).resolve().parent.parent
+_shipped: set[str] = set()
+
 
 def local_session(cores: int = 8, memory: str = "12g", partitions: int | None = None) -> SparkSession:
     return (
@@ -18,3 +26,14 @@ def local_session(cores: int = 8, memory: str = "12g", partitions: int | None =
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the executors, once, unless their Python finds it by path."""
+    paths = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
+    app = spark.sparkContext.applicationId
+    if app in _shipped or any(p and (Path(p) / "lectern" / "session.py").exists() for p in paths):
+        return
+    folder = tempfile.mkdtemp()
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/lectern", "zip", ROOT, "lectern"))
+    _shipped.add(app)
