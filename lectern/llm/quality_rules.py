@@ -1,14 +1,14 @@
 """Quality rules with risk-controlled thresholds; DataFrame functions only.
 
-Each learned rule rejects a document whose ratio is above a cutoff.  Cutoffs come from a
-grid that is fixed beforehand.  On labelled rows, for each stratum, rule and cutoff, the
-good documents it would reject are counted, and the cutoff is certified if the exact
-(Clopper-Pearson) upper bound of its false rejection rate stays below the rule's share of
-the risk.  The bounds' error is divided by the number of strata, rules and cutoffs
-(Bonferroni), so with probability 1 - ``delta`` every certified cutoff keeps its promise,
-and the rules together reject at most ``risk`` of a stratum's good documents.  Of the
-certified cutoffs, the one that rejects most bad documents is taken; of equal ones, the
-most lenient.  A stratum with too few labels gets no cutoff and rejects nothing.
+Each learned rule rejects a document whose ratio is above a cutoff from a fixed grid.  The
+labelled documents of each stratum are split by a hash of doc_id.  On the first half, for
+each level of tolerance, every rule takes the strictest cutoff that rejects at most that
+share of the good documents and some bad one.  On the other half, the holdout, each level's
+rules together are certified if the exact (Clopper-Pearson) upper bound of the good documents
+they reject stays below ``risk``.  The bounds' error is divided by the number of strata and
+levels (Bonferroni), so with probability 1 - ``delta`` no stratum loses more than ``risk`` of
+its good documents to them.  Of the certified levels the one that rejects most bad documents
+is used; of equal ones, the most lenient.  A stratum with too few labels rejects nothing.
 """
 
 from __future__ import annotations
@@ -22,7 +22,9 @@ from .scratch import materialise
 
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]+"
-RISK, DELTA = 0.02, 0.05
+RISK, DELTA = 0.03, 0.05
+#: tolerated shares of good documents a rule, on the half that chooses cutoffs
+LEVELS = (0.0, 0.0005, 0.002, 0.005)
 #: Rule -> (ratio of feature columns, grid of cutoffs).  Fixed values.
 RULES: dict[str, tuple[str, tuple[float, ...]]] = {
     "symbols": ("n_symbols / n_words", (0.05, 0.1, 0.2, 0.3, 0.5, 0.8)),
@@ -93,22 +95,30 @@ def _ratio(rule: str) -> Column:
 
 
 def choose_cutoffs(labelled: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[str | None, dict[str, float]]:
-    """Cutoffs by stratum and rule from rows with FEATURES, stratum and good (boolean).
+    """Cutoffs by stratum and rule from rows with FEATURES, doc_id, stratum and good (boolean).
 
     Only documents that pass the base rules count.  What comes to the driver is one row of
-    counts for each stratum.
+    counts for each stratum and half.
     """
+    judged = labelled.where(~base_failed()).withColumn("holdout", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 1)
     tests = [(rule, c) for rule, (_, grid) in RULES.items() for c in grid]
     sums = [F.count_if((_ratio(rule) > c) & (F.col("good") == good)).alias(f"{int(good)}_{i}") for i, (rule, c) in enumerate(tests) for good in (True, False)]
-    counts = labelled.where(~base_failed()).groupBy("stratum").agg(F.count_if("good").alias("n"), *sums).collect()
-    error = delta / max(1, len(counts) * len(tests))
+    proposed: list[dict[str | None, dict[str, float]]] = [{} for _ in LEVELS]
+    for row in judged.where("not holdout").groupBy("stratum").agg(F.count_if("good").alias("n"), *sums).collect():
+        for level, cutoffs in zip(LEVELS, proposed, strict=True):
+            own = cutoffs.setdefault(row["stratum"], {})
+            for i, (rule, c) in reversed(list(enumerate(tests))):  # ever stricter cutoffs of a rule
+                if row[f"0_{i}"] and row[f"1_{i}"] <= level * row["n"]:
+                    own[rule] = c
+    hits = [rejected_by(cutoffs, F.col("stratum")) for cutoffs in proposed]
+    sums = [F.count_if(hit & (F.col("good") == good)).alias(f"{int(good)}_{i}") for i, hit in enumerate(hits) for good in (True, False)]
+    counts = judged.where("holdout").groupBy("stratum").agg(F.count_if("good").alias("n"), *sums).collect()
+    error = delta / max(1, len(counts) * len(LEVELS))
     chosen: dict[str | None, dict[str, float]] = {}
     for row in counts:
-        best: dict[str, tuple[int, float]] = {}
-        for i, (rule, c) in enumerate(tests):
-            if row[f"0_{i}"] and exact_upper_bound_holds(row[f"1_{i}"], row["n"], risk / len(RULES), error):
-                best[rule] = max(best.get(rule, (0, 0.0)), (row[f"0_{i}"], c))
-        chosen[row["stratum"]] = {rule: c for rule, (_, c) in best.items()}
+        certified = [(row[f"0_{i}"], -i) for i in range(len(LEVELS)) if exact_upper_bound_holds(row[f"1_{i}"], row["n"], risk, error)]
+        if certified:
+            chosen[row["stratum"]] = proposed[-max(certified)[1]].get(row["stratum"], {})
     return chosen
 
 

@@ -188,3 +188,18 @@ def test_op7_large_families(spark, monkeypatch):
         docs.append((i, " ".join(w[: rng.randrange(52, 61)])))
     got = ngram_join.ngram_jaccard_join(spark.createDataFrame(docs, "doc_id long, text string"), 4, 85)
     assert rows_of(got, "doc_id", "n_shingles", "component_id") == sorted(brute.components(docs, 4, 85), key=repr)
+
+
+def test_op2_cutoffs_keep_their_promise(spark):
+    """Junk goes, a stratum without labels keeps all, and bounds are exact."""
+    from lectern.llm import quality_rules as R
+
+    assert R.exact_upper_bound_holds(0, 100, 0.05, 0.01) and not R.exact_upper_bound_holds(0, 80, 0.05, 0.01)
+    assert not R.exact_upper_bound_holds(5, 100, 0.05, 0.01) and not R.exact_upper_bound_holds(0, 0, 0.05, 0.01)
+    clean = lambda i: " ".join(f"word{(i * 7 + k * 13) % 997}" for k in range(40))
+    junk = lambda i: " ".join(f"w{(i * 5 + k * 11) % 991}$%#" for k in range(40))
+    rows = [(i, junk(i) if i % 10 == 0 else clean(i), "en") for i in range(3000)] + [(3000 + i, junk(i), "xx") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 10 != 0)) for i in range(2000)], "doc_id long, quality int")
+    got = R.quality_rules(docs, labels).select("doc_id", "kept").collect()
+    assert all(k == (i % 10 != 0 or i >= 3000) for i, k in got)
