@@ -81,10 +81,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _OP7 = r"""
 with recursive w as (
-  select doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as w
+  select doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
   from documents),
 s as (
-  select distinct doc_id, unnest(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g
+  select distinct doc_id, unnest(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g
   from w),
 n as (select doc_id, count(*) as n from s group by doc_id),
 often as (select g from s group by g having count(*) > 1),
@@ -98,13 +98,13 @@ from documents d left join n using (doc_id) left join (select doc_id, min(seen)
 
 _OP8 = r"""
 with l as (
-  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as at
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
   from documents),
 k as (
   select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
 o as (select key, max(doc_id) as stays from k where length(key) >= 20 group by key having count(distinct doc_id) >= 3),
-f as (select k.doc_id, k.at, k.line, o.key is not null and k.doc_id <> o.stays as gone from k left join o using (key))
-select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by at) filter (not gone), '')) as kept_sha256
+f as (select k.doc_id, k.pos, k.line, o.key is not null and k.doc_id <> o.stays as gone from k left join o using (key))
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
 from f group by doc_id
 """
 
@@ -112,9 +112,9 @@ _OP9 = r"""
 with lowered as (
   select true as is_item, item_id::varchar as id, null::bigint as doc_id, text from benchmark union all select false, null, doc_id, text from documents),
 w as (
-  select *, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') as w from lowered),
+  select *, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from lowered),
 i as (
-  select id, least(10, len(w)) as m, unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2), p -> array_to_string(w[p:p + least(10, len(w)) - 1], ' '))) as g
+  select id, least(10, len(w)) as m, unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2), lambda p: array_to_string(w[p:p + least(10, len(w)) - 1], ' '))) as g
   from w where is_item and len(w) > 0),
 d as (
   select doc_id, m, p, array_to_string(w[p:p + m - 1], ' ') as g
