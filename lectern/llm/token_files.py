@@ -34,21 +34,26 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from .scratch import materialise, scratch_dir
+from .textbytes import slices, texts_of, word_hashes
 
 INDEX_FRAME, SEEK_FRAME, SEEK_MAGIC, INDEX_MAGIC = 0x184D2A5C, 0x184D2A5E, 0x8F92EAB1, b"LTI1"
-#: distinct chunks remembered in a worker, twice: now and in the generation before
-REMEMBERED = 250_000
-#: chunks that the library encodes at once; it keeps a large object for each
+#: distinct chunks remembered in a worker, at about 40 bytes each
+REMEMBERED = 2_000_000
+#: chunks that the library encodes at once
 ENCODED_AT_ONCE = 2048
 SHARD_BYTES = 32 << 20
-#: letters of Latin-1: with only such text, a letter before another character always parts pre-tokens
-_LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
-_SPACES = "[ \n]+(?![^ \n])|[ \n]"
-_FINE = re.compile(f" ?(?:[^ \n{_LETTER}]*[{_LETTER}]+|[^ \n{_LETTER}]+)|{_SPACES}")
-_COARSE = re.compile(f" ?[^ \n]+|{_SPACES}")
-_BEYOND_LATIN = re.compile("[^\x00-\xff]")
-#: any white space but space and line feed, by Unicode's or Python's reading
-_OTHER_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: second bytes of the two-byte letters of Latin-1, after 0xC2 and after 0xC3
+_C2_LETTER, _C3_LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_C2_LETTER[[0xAA, 0xB5, 0xBA]] = True
+_C3_LETTER[0x80:0xC0] = True
+_C3_LETTER[[0x97, 0xB7]] = False
+#: white space but space and line feed, by any reading: one byte, or the bytes of a character
+_ODD_BYTE = np.zeros(256, bool)
+_ODD_BYTE[[9, 11, 12, 13, 28, 29, 30, 31]] = True
+_ODD_SPACE = re.compile(b"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8b\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xef\xbb\xbf")
 
 
 @lru_cache(maxsize=2)
@@ -56,71 +61,123 @@ def _tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
-class ChunkIds(dict):
-    """Ids, as bytes, of chunks of text: a run without white space, with one space before it, or white space.
+def _rows_with(at: np.ndarray, positions: np.ndarray) -> np.ndarray:
+    rows = np.zeros(len(at) - 1, bool)
+    rows[np.searchsorted(at, positions, side="right") - 1] = True
+    return rows
+
+
+def chunk_starts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Places where pre-tokens of the byte-level pattern surely part, in texts given by offsets ``at``.
 
-    The byte-level pattern parts a text wherever white space follows another character, gives
-    the last space of a run to what follows it, and lets the rest of the run stand alone; no
-    pattern goes on from a letter to what is no letter.  So chunks are encoded one by one, each
-    once while it is remembered.  New chunks go to the library many at once, in lines of one
-    text: a line feed is a token of its own there and in no other token.
+    White space after another character begins a pre-token; the last space of a run goes with
+    what follows it, a line feed never does, and the rest of the run stands alone; no pattern
+    goes on from a letter to another character that is no letter.  Letters are those of
+    Latin-1; texts with characters beyond it part at white space only.
+    """
+    n = len(data)
+    if n == 0:
+        return np.zeros(0, np.int64)
+    white = (data == 32) | (data == 10)
+    letter = _ASCII_LETTER[data]
+    for lead, second in ((0xC2, _C2_LETTER), (0xC3, _C3_LETTER)):
+        p = np.flatnonzero(data[:-1] == lead)
+        p = p[second[data[p + 1]]]
+        letter[p] = letter[p + 1] = True
+    beyond = np.flatnonzero(data >= 0xC4)
+    if len(beyond):
+        for i in np.flatnonzero(_rows_with(at, beyond)):
+            letter[at[i] : at[i + 1]] = False
+    first = np.zeros(n + 1, bool)
+    first[at] = True
+    start = first[:n].copy()
+    after_white = np.concatenate([[False], white[:-1]])
+    last_of_run = white & np.concatenate([~white[1:], [False]]) & ~first[1:]
+    start[1:] |= white[1:] & ~white[:-1]  # white space after another character
+    start |= last_of_run & after_white  # the last of a longer run
+    start[1:] |= ~white[1:] & (data[:-1] == 10)  # after a line feed
+    start[1:] |= ~white[1:] & ~letter[1:] & letter[:-1] & ((data[1:] & 0xC0) != 0x80)
+    return np.flatnonzero(start)
+
+
+class ChunkIds:
+    """Ids of texts from ids of their chunks; each distinct chunk is encoded once while remembered.
+
+    Chunks are told apart by 64-bit hashes, of which a worker holds REMEMBERED at most, so two
+    chunks are taken for one with a chance below 1e-12 for each new chunk.  New chunks go to
+    the library many at once, in lines of one text: a line feed is a token of its own there.
+    Texts with other white space or with special strings go to the library whole.
     """
 
     def __init__(self, path: str):
-        super().__init__()
-        self.before: dict[str, bytes] = {}  # the generation before; what is used again moves over
         self.tokenizer = _tokenizer(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        self.special = re.compile("|".join(map(re.escape, added)).encode()) if added else None
         feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         in_lines = self.tokenizer.encode("\n a\n'b", add_special_tokens=False).ids
         apart = [x for t in (" a", "'b") for x in (*feed, *self.tokenizer.encode(t, add_special_tokens=False).ids)]
         self.feed = feed[0] if len(feed) == 1 and in_lines == apart else None
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, self.kind)
 
-    def direct(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def direct(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, chunks: list[str]) -> None:
+    def learn(self, keys: np.ndarray, chunks: list[str]) -> None:
+        """Remember chunks, none of them known yet."""
+        made: list[np.ndarray] = []
         for i in range(0, len(chunks), ENCODED_AT_ONCE):
             some = chunks[i : i + ENCODED_AT_ONCE]
-            lines = [c for c in some if self.feed is not None and "\n" not in c and c.strip(" ")]
+            alone = [self.feed is None or "\n" in c or not c.strip(" ") for c in some]
+            lines = [c for c, a in zip(some, alone, strict=True) if not a]
+            split: list[np.ndarray] = []
             if lines:
                 ids = np.asarray(self.tokenizer.encode("\n" + "\n".join(lines), add_special_tokens=False).ids, self.kind)
-                at = np.flatnonzero(ids == self.feed).tolist()
-                if len(at) != len(lines):
+                split = np.split(ids, np.flatnonzero(ids == self.feed))[1:]
+                if len(split) != len(lines):
                     raise ValueError("a line feed is not a token of its own")
-                raw, w = ids.tobytes(), self.width
-                for c, a, b in zip(lines, at, [*at[1:], len(ids)], strict=True):
-                    self[c] = raw[(a + 1) * w : b * w]
-            rest = [c for c in some if c not in self]
-            self.update(zip(rest, self.direct(rest), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each whole text."""
-        if len(self) > REMEMBERED:
-            self.before = dict(self)
-            self.clear()
-        plain = [not _OTHER_SPACE.search(t) and not (self.special and self.special.search(t)) for t in texts]
-        chunks = [(_COARSE if _BEYOND_LATIN.search(t) else _FINE).findall(t) if ok else None for t, ok in zip(texts, plain, strict=True)]
-        new = set().union(*(c for c in chunks if c is not None)) - self.keys()
-        self.update({c: self.before[c] for c in new & self.before.keys()})
-        self.learn([c for c in new if c not in self])
-        whole = iter(self.direct([t for t, ok in zip(texts, plain, strict=True) if not ok]))
-        return [next(whole) if c is None else b"".join(map(self.__getitem__, c)) for c in chunks]
-
-
-def _groups(texts: list[str], most: int = 1 << 18) -> Iterator[list[str]]:
-    group, size = [], 0
-    for t in texts:
-        group.append(t)
-        size += len(t)
-        if size > most:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
+            parts = iter([x[1:] for x in split])
+            rest = iter(self.direct([c for c, a in zip(some, alone, strict=True) if a]))
+            made += [next(rest) if a else next(parts) for a in alone]
+        size = np.array([len(x) for x in made], np.int64)
+        begin = len(self.pool) + np.cumsum(size) - size
+        self.pool = np.concatenate([self.pool, *made])
+        every = np.concatenate([self.keys, keys])
+        order = np.argsort(every, kind="stable")
+        self.keys, self.begin, self.size = every[order], np.concatenate([self.begin, begin])[order], np.concatenate([self.size, size])[order]
+
+    def encode(self, data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        """Ids of each whole text of UTF-8 ``data`` with offsets ``at``."""
+        raw = data.tobytes()
+        whole = _rows_with(at, np.flatnonzero(_ODD_BYTE[data])) if len(data) else np.zeros(len(at) - 1, bool)
+        for pattern in (_ODD_SPACE, self.special):
+            if pattern and (hits := [m.start() for m in pattern.finditer(raw)]):
+                whole |= _rows_with(at, np.array(hits))
+        starts = chunk_starts(data, at)
+        ends = np.append(starts[1:], len(data))
+        if whole.any():
+            split = ~whole[np.searchsorted(at, starts, side="right") - 1]
+            starts, ends = starts[split], ends[split]
+        keys, first, chunk = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        if len(self.keys) + len(keys) > REMEMBERED:
+            self.forget()
+        place = np.searchsorted(self.keys, keys)
+        place[place == len(self.keys)] = 0
+        new = self.keys[place] != keys if len(self.keys) else np.ones(len(keys), bool)
+        if new.any():
+            self.learn(keys[new], [raw[starts[k] : ends[k]].decode() for k in first[new]])
+            place = np.searchsorted(self.keys, keys)
+        size, begin = self.size[place][chunk], self.begin[place][chunk]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        ids = self.pool[np.repeat(begin - upto[:-1], size) + np.arange(upto[-1])]
+        edge = upto[np.searchsorted(starts, at)]
+        rest = iter(self.direct([raw[at[i] : at[i + 1]].decode() for i in np.flatnonzero(whole)]))
+        return [next(rest) if whole[i] else ids[edge[i] : edge[i + 1]] for i in range(len(at) - 1)]
 
 
 class ShardWriter:
@@ -184,21 +241,21 @@ def encode_documents(documents: DataFrame, tokenizer_path: str, end_id: int, bou
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         chunk_ids = ChunkIds(tokenizer_path)
-        end = np.array([end_id], chunk_ids.kind).tobytes()
+        end = np.array([end_id], chunk_ids.kind)
         packer = zstandard.ZstdCompressor(level=1, write_checksum=True)
         for batch in batches:
-            texts = [t or "" for t in batch["text"].to_pylist()]
             n, sums, frames = [], [], []
-            for group in _groups(texts):
-                for ids in chunk_ids.encode(group):
-                    raw = ids + end
+            data, offsets, _ = texts_of(batch["text"])
+            for i, j in slices(offsets, 1 << 20):
+                for ids in chunk_ids.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
+                    raw = np.append(ids, end).tobytes()
                     n.append(len(raw) // chunk_ids.width)
                     sums.append(xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF)
                     frames.append(packer.compress(raw))
             shard = np.searchsorted(bounds, batch["doc_id"].fill_null(-(2**63)).to_numpy(), side="right")
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), batch["doc_id"], pa.array(n, pa.int64()), pa.array(sums, pa.int64()), pa.array(frames, pa.binary())], ["shard", "doc_id", "n_tokens", "checksum", "frame"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "shard int, doc_id long, n_tokens long, checksum long, frame binary")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "shard int, doc_id long, n_tokens long, checksum long, frame binary")
 
 
 def _bounds(documents: DataFrame, shards: int) -> np.ndarray:

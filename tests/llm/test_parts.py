@@ -71,7 +71,11 @@ def test_chunk_ids_equal_the_library():
     rng = random.Random(6)
     letters = "ab'stBé\n \n  .,!1œß’中-$'re\t\xa0"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(30))) for _ in range(3000)] + ["<|endoftext|> x", ""]
-    assert ids.encode(texts) == ids.direct(texts)
+    texts += [f"{a}{b}{c}" for a in "a\n .'é中" for b in (" ", "\n", "  ", "\n\n", " \n", "\n ", "\n  ") for c in "b.'\n ß"]
+    raw = [t.encode() for t in texts]
+    for _ in range(2):
+        got = ids.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        assert all(np.array_equal(a, b) for a, b in zip(got, ids.direct(texts), strict=True))
 
 
 def test_flight_keeps_totals():
