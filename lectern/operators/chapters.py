@@ -204,14 +204,14 @@ def group_segments(sentences: Column, soft: int = 80, slack: int = 30, most: int
     return F.aggregate(sentences, state, step, lambda s: s["out"])
 
 
-_LEGACY_AFTER = (r"(?i)[,.]?\s*said\s+(\w+)", r"(?i)[,.]?\s*(\w+)\s+said", rf"(?i)[,.]?\s*(\w+)\s+(?:{'|'.join(vocab.SHORT_VERBS)})", rf"(?i)[,.]?\s*(?:{'|'.join(vocab.SHORT_VERBS)})\s+(\w+)")
-_LEGACY_BEFORE = (r"(?i)(\w+)\s+said[,:]?\s*$", rf"(?i)(\w+)\s+(?:{'|'.join(vocab.SHORT_VERBS)})[,:]?\s*$")
+LEGACY_AFTER = (r"(?i)[,.]?\s*said\s+(\w+)", r"(?i)[,.]?\s*(\w+)\s+said", rf"(?i)[,.]?\s*(\w+)\s+(?:{'|'.join(vocab.SHORT_VERBS)})", rf"(?i)[,.]?\s*(?:{'|'.join(vocab.SHORT_VERBS)})\s+(\w+)")
+LEGACY_BEFORE = (r"(?i)(\w+)\s+said[,:]?\s*$", rf"(?i)(\w+)\s+(?:{'|'.join(vocab.SHORT_VERBS)})[,:]?\s*$")
 
 
 def legacy_speaker(after: Column, before: Column) -> Column:
     """One-word speaker by the first pattern that fits, in 100 characters on either side."""
     a, b = F.left(after, F.lit(100)), F.right(before, F.lit(100))
-    return F.coalesce(*(F.nullif(F.regexp_extract(a, p, 1), F.lit("")) for p in _LEGACY_AFTER), *(F.nullif(F.regexp_extract(b, p, 1), F.lit("")) for p in _LEGACY_BEFORE))
+    return F.coalesce(*(F.nullif(F.regexp_extract(a, p, 1), F.lit("")) for p in LEGACY_AFTER), *(F.nullif(F.regexp_extract(b, p, 1), F.lit("")) for p in LEGACY_BEFORE))
 
 
 def legacy_dialogue(texts: DataFrame, key: str, text: str = "text") -> DataFrame:

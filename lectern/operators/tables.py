@@ -85,7 +85,7 @@ def progress(done: Column, total: Column, seconds: Column) -> Column:
     rate = done / F.greatest(seconds, F.lit(1.0))
     left = (total - done) / F.greatest(rate, F.lit(0.001))
     whole = F.floor(left).cast("long")
-    return F.struct((done / total * 100).alias("progress"), rate.alias("rate"), F.concat(F.expr("1") * 0 + F.floor(whole / 60), F.lit("m "), whole % 60, F.lit("s")).alias("eta"))
+    return F.struct((done / total * 100).alias("progress"), rate.alias("rate"), F.concat(F.floor(whole / 60), F.lit("m "), whole % 60, F.lit("s")).alias("eta"))
 
 
 def status_transition(state: Column, action: Column) -> Column:
@@ -119,7 +119,7 @@ def replay(actions: DataFrame, job: str, order: Sequence[str], action: str) -> D
 
 def batch_size(available: Column, total: Column, model: float = 6.8, cost: float = 1.5, headroom: float = 0.2, least: int = 1, most: int = 12) -> Column:
     room = available - model - headroom * total
-    return F.when(room <= 0, F.lit(least)).otherwise(F.greatest(F.lit(least), F.least(F.lit(most), F.expr("0") + (room / cost).cast("int"))))
+    return F.when(room <= 0, F.lit(least)).otherwise(F.greatest(F.lit(least), F.least(F.lit(most), (room / cost).cast("int"))))
 
 
 def pool_size(available: Column, headroom: float = 20, engine: float = 8, most: int = 8) -> Column:

@@ -48,9 +48,9 @@ def _(customer, orders):
     return nested.select("c_custkey", "c_name", F.coalesce(F.nullif(F.size("orders"), F.lit(-1)), F.lit(0)).cast("long").alias("n"), keys.alias("keys"))
 
 
-@query("q7_semi_join_count", "lineitem", "orders", sql="select count(*) as n from lineitem where l_orderkey in (select o_orderkey from orders where o_custkey < 200)")
+@query("q7_semi_join_count", "lineitem", "orders", sql="select count(*) as n from lineitem where l_orderkey in (select o_orderkey from orders where o_orderstatus = 'F')")
 def _(lineitem, orders):
-    return lineitem.join(orders.where("o_custkey < 200"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").agg(F.count("*").alias("n"))
+    return lineitem.join(orders.where("o_orderstatus = 'F'"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").agg(F.count("*").alias("n"))
 
 
 @query("q8_done_count", "lineitem", "orders", sql="select o_custkey, count(*) as total, count(*) filter (l_linestatus = 'F') as done from lineitem join orders on l_orderkey = o_orderkey group by o_custkey")
@@ -111,9 +111,9 @@ def _(orders):
     return T.recovered(orders.withColumnRenamed("o_orderstatus", "status"), running="P").select("o_orderkey", "status", "error_message")
 
 
-@query("q17_default_profile", "lineitem", "supplier", sql="select l_orderkey, l_linenumber, coalesce(s_name, 'default') as s_name, coalesce(s_acctbal, 0.7) as s_acctbal from lineitem left join (select * from supplier where s_suppkey % 3 > 0) on l_suppkey = s_suppkey")
+@query("q17_default_profile", "lineitem", "supplier", sql="select l_orderkey, l_linenumber, coalesce(s_name, 'default') as s_name, coalesce(s_acctbal, 0.7) as s_acctbal from lineitem left join (select * from supplier where s_acctbal > 1000) on l_suppkey = s_suppkey")
 def _(lineitem, supplier):
-    return T.or_default(lineitem, supplier.where("s_suppkey % 3 > 0"), "l_suppkey", "s_suppkey", {"s_name": "default", "s_acctbal": 0.7}).select("l_orderkey", "l_linenumber", "s_name", "s_acctbal")
+    return T.or_default(lineitem, supplier.where("s_acctbal > 1000"), "l_suppkey", "s_suppkey", {"s_name": "default", "s_acctbal": 0.7}).select("l_orderkey", "l_linenumber", "s_name", "s_acctbal")
 
 
 @query("q18_voice_map", "customer", "nation", sql="select c_custkey, n_name from customer join nation on c_nationkey = n_nationkey")
@@ -247,10 +247,10 @@ def _(docs):
     "g9_gender", "documents",
     sql="""select doc_id, case when t >= 2 and m / t > 0.6 then 'male' when t >= 2 and f / t > 0.6 then 'female' end as gender from (select *, m + f as t from (select doc_id,
       len(regexp_extract_all(text, '(?is)the.{0,300}\\b(?:he|him|his)\\b')) + len(regexp_extract_all(text, '(?is)\\b(?:he|him|his)\\b.{0,300}the')) as m,
-      len(regexp_extract_all(text, '(?is)the.{0,300}\\b(?:she|her|hers)\\b')) + len(regexp_extract_all(text, '(?is)\\b(?:she|her|hers)\\b.{0,300}the')) as f from documents where lang = 'en'))""",
+      len(regexp_extract_all(text, '(?is)the.{0,300}\\b(?:she|her|hers)\\b')) + len(regexp_extract_all(text, '(?is)\\b(?:she|her|hers)\\b.{0,300}the')) as f from documents))""",
 )
 def _(docs):
-    return docs.where("lang = 'en'").select("doc_id", P.gender(F.lit("the"), F.col("text")).alias("gender"))
+    return docs.select("doc_id", P.gender(F.lit("the"), F.col("text")).alias("gender"))
 
 
 @query("g10_summary", "labels", sql="select count(*) filter (quality = 1) as passed, count(*) filter (quality = 0) as failed, count(*) filter (quality = 1 and toxic = 1) as warned, round(sum(quality * 100.0) / greatest(count(*), 1), 6) as avg_score from labels")

@@ -80,20 +80,7 @@ def _(docs):
     return docs.select("doc_id", X.speaker_in(F.substring("text", 301, 1 << 30), F.left("text", F.lit(300)), _VERBS).alias("speaker"))
 
 
-@query(
-    "t10_merge_short", "conversations",
-    sql=f"""with k as (select conv_id, turn, case when role = 'user' then 'narration' else 'dialogue' end as type, {strip('text')} as text from conversations),
-      g as (select *, sum(case when type = 'narration' and lag(type) over w = 'narration' and len({words('text')}) < 12 then 0 else 1 end) over w2 as number from (select *, lag(type) over (partition by conv_id order by turn) as l from k) window w as (partition by conv_id order by turn), w2 as (partition by conv_id order by turn))
-      select 1""",
-)
-def _(conv):
-    typed = conv.select("conv_id", "turn", F.when(F.col("role") == "assistant", "dialogue").otherwise("narration").alias("type"), X.strip(F.col("text")).alias("text"), F.col("role").alias("speaker"))
-    return C.merge_short_narration(typed, "conv_id", ["turn"], 12).select("conv_id", "number", "type", "text")
-
-
-from .common import ORACLES  # noqa: E402
-
-ORACLES["t10_merge_short"] = f"""
+_T10 = f"""
 with k as (select conv_id, turn, case when role = 'assistant' then 'dialogue' else 'narration' end as type, {strip('text')} as text from conversations),
 l as (select *, coalesce(type = 'narration' and lag(type) over (partition by conv_id order by turn) = 'narration' and len({words('text')}) < 12, false) as joins from k),
 g as (select *, sum(case when joins then 0 else 1 end) over (partition by conv_id order by turn) as number from l)
@@ -101,12 +88,21 @@ select conv_id, number::bigint as number, arg_min(type, turn) as type, string_ag
 """
 
 
+@query("t10_merge_short", "conversations", sql=_T10)
+def _(conv):
+    typed = conv.select("conv_id", "turn", F.when(F.col("role") == "assistant", "dialogue").otherwise("narration").alias("type"), X.strip(F.col("text")).alias("text"), F.col("role").alias("speaker"))
+    return C.merge_short_narration(typed, "conv_id", ["turn"], 12).select("conv_id", "number", "type", "text")
+
+
 @query("t11_legacy_dialogue", "documents")
 def _(docs):
     return C.legacy_dialogue(docs, "doc_id")
 
 
-@query("t12_legacy_speaker", "documents")
+_T12 = ", ".join(f"nullif(regexp_extract({side}, '{p}', 1), '')" for side, patterns in (("a", C.LEGACY_AFTER), ("b", C.LEGACY_BEFORE)) for p in patterns)
+
+
+@query("t12_legacy_speaker", "documents", sql=f"select doc_id, coalesce({_T12}) as speaker from (select doc_id, text[101:200] as a, left(text, 100) as b from documents)")
 def _(docs):
     return docs.select("doc_id", C.legacy_speaker(F.substring("text", 101, 100), F.left("text", F.lit(100))).alias("speaker"))
 
@@ -121,18 +117,12 @@ def _(docs):
     return docs.select("doc_id", X.duration(F.col("text")).alias("seconds"))
 
 
-@query(
-    "t15_adaptive_pace", "events",
-    sql="""select event_id, case when event_type in ('view') or event_type = 'purchase' then 1.8 when event_type = 'error' then 3.2
-      when contains(lower(coalesce(props, '')), 'slow') then 1.8 when contains(lower(coalesce(props, '')), 'fast') then 3.2 else 2.5 end::double as pace from events""",
-)
+@query("t15_adaptive_pace", "events", sql="select event_id, case when event_type in ('view', 'purchase') then 1.8 when event_type = 'error' then 3.2 else 2.5 end::double as pace from events")
 def _(events):
     pacing = F.when(F.col("event_type") == "view", "slow").when(F.col("event_type") == "error", "urgent")
     return events.select("event_id", X.pace(pacing, F.when(F.col("event_type") == "purchase", "whispered").otherwise("normal"), F.lit(None).cast("string")).cast("double").alias("pace"))
 
 
-ORACLES["t15_adaptive_pace"] = "select event_id, case when event_type in ('view', 'purchase') then 1.8 when event_type = 'error' then 3.2 else 2.5 end::double as pace from events"
-
 
 def _packed(docs):
     return docs.select("doc_id", C.pack_chunks(C.chunk_sentences(F.col("text"), delimiter=LINES), 10.0, 12.0).alias("c"))
@@ -420,11 +410,11 @@ def _(pages):
 def _(benchmark, docs):
     from ..operators.backends import with_similarity
 
-    rows = benchmark.join(docs.select("doc_id", F.left("text", F.lit(400)).alias("heard")), F.col("item_id") == F.col("doc_id")).select("item_id", "text", "heard")
+    rows = benchmark.join(docs.select("doc_id", F.col("text").alias("heard")), F.col("item_id") == F.col("doc_id")).select("item_id", "text", "heard")
     return with_similarity(rows, "text", "heard").select("item_id", F.round("similarity", 9).alias("similarity"))
 
 
-@query("s23_synthetic_speech", "conversations")
+@query("s23_synthetic_speech", "conversations", sql=f"select conv_id, turn, floor(100 * greatest(0.3::double, len({words('text')}) / 2.5::double))::int as n from conversations")
 def _(conv):
     from ..operators.backends import synthesise, tone
 
