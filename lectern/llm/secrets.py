@@ -17,7 +17,7 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -36,12 +36,48 @@ RANDOM_BITS = 3.0
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile("AKIA[A-Z0-9]+")
 _HEX = re.compile("[0-9a-f]{16,}")
-_PROPOSED: tuple[tuple[str, re.Pattern[str], int, tuple[str, ...]], ...] = (
-    ("block", re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{40,8192}-----END [A-Z ]{0,20}PRIVATE KEY-----"), 0, ("-----BEGIN",)),
-    ("bearer", re.compile(r"\b[Bb]earer\x20+([A-Za-z0-9._~+/-]{20,512}=*)"), 1, ("earer ",)),
-    ("url", re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s:/@]{1,64}:([^\s:/@]{6,128})@"), 1, ("://",)),
-    ("prefix", re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{30,80}|xox[abprs]-[A-Za-z0-9-]{20,120}|sk_live_[A-Za-z0-9]{16,80}|AIza[A-Za-z0-9_-]{30,40}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})"), 0, ("gh", "xox", "sk_live_", "AIza", "eyJ")),
-    ("random", re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,40}[0-9])[A-Za-z0-9+/_-]{24,128}(?![A-Za-z0-9+/_-])"), 0, ()),
+_MARK = re.compile(r"-----(BEGIN|END) [A-Z ]*PRIVATE KEY-----")
+_URL = re.compile(r"://[^\s:/@]+:([^\s:/@]{6,})@")
+_SCHEME = "abcdefghijklmnopqrstuvwxyz0123456789+.-"
+_FIRST = re.compile(r"\b[a-z](?=[a-z0-9+.-])")
+
+
+def _blocks(text: str) -> Iterator[tuple[int, int, str]]:
+    """From each BEGIN line to the next END line, whatever is between (headers, escaped line ends)."""
+    start = None
+    for m in _MARK.finditer(text):
+        if m.group(1) == "BEGIN":
+            start = m
+        elif start is not None:
+            if m.start() - start.end() >= 40:
+                yield start.start(), m.end(), text[start.start() : m.end()]
+            start = None
+
+
+def _urls(text: str) -> Iterator[tuple[int, int, str]]:
+    """Passwords in URLs, from the scheme to the @; schemes are read backwards from ://."""
+    last = 0
+    for m in _URL.finditer(text):
+        run = m.start()
+        while run > last and text[run - 1] in _SCHEME:
+            run -= 1
+        if (first := _FIRST.search(text, run, m.start())) is not None:
+            yield first.start(), m.end(), m.group(1)
+        last = m.end()
+
+
+def _matches(pattern: str, group: int = 0) -> Callable[[str], Iterator[tuple[int, int, str]]]:
+    compiled = re.compile(pattern)
+    return lambda text: ((*m.span(), m.group(group)) for m in compiled.finditer(text))
+
+
+# no upper bounds: a span is the whole value, so redaction and the owners' count are of all of it
+_PROPOSED: tuple[tuple[str, Callable[[str], Iterator[tuple[int, int, str]]], tuple[str, ...]], ...] = (
+    ("block", _blocks, ("-----BEGIN",)),
+    ("bearer", _matches(r"\b[Bb]earer\x20+([A-Za-z0-9._~+/-]{20,}=*)", 1), ("earer ",)),
+    ("url", _urls, ("://",)),
+    ("prefix", _matches(r"\b(?:gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{20,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})"), ("gh", "xox", "sk_live_", "AIza", "eyJ")),
+    ("random", _matches(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}"), ()),
 )
 
 Found = tuple[str, int, int, str]  # kind, start, end, value
@@ -63,14 +99,13 @@ def bits_per_character(value: str) -> float:
 def proposed(text: str, taken: list[Found]) -> list[Found]:
     """Random-looking values that no base span overlaps; earlier generators win over later ones."""
     out: list[Found] = []
-    for kind, pattern, group, needs in _PROPOSED:
+    for kind, find, needs in _PROPOSED:
         if needs and not any(x in text for x in needs):
             continue
-        for m in pattern.finditer(text):
-            value = m.group(group)
+        for start, end, value in find(text):
             mixed = kind != "random" or (any(c.isdigit() for c in value) and any(c.isupper() for c in value) and any(c.islower() for c in value))
-            if mixed and bits_per_character(value) >= RANDOM_BITS and not any(a < m.end() and m.start() < b for _, a, b, _ in (*taken, *out)):
-                out.append((kind, *m.span(), value))
+            if mixed and bits_per_character(value) >= RANDOM_BITS and not any(a < end and start < b for _, a, b, _ in (*taken, *out)):
+                out.append((kind, start, end, value))
     return out
 
 
