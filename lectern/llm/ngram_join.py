@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -171,6 +171,11 @@ def _families(rarest: DataFrame) -> DataFrame:
     return connected_components(stars).select(F.col("node").alias("lo"), F.col("label").alias("family"))
 
 
+def _tasks() -> Column:
+    """Tasks that a group of documents needs, by their number and their shingles (total)."""
+    return F.ceil(F.greatest(F.count("*") / CHUNK_DOCS, F.sum("total") / CHUNK_SHINGLES)).cast("int")
+
+
 def _chunks_by_block(placed: DataFrame, sets: DataFrame) -> DataFrame:
     """Tasks in which every pair of components of a large family meets.
 
@@ -179,7 +184,7 @@ def _chunks_by_block(placed: DataFrame, sets: DataFrame) -> DataFrame:
     """
     main = placed.groupBy("family", "comp").count().groupBy("family").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
     outside = placed.join(main, "family").where("comp != main")
-    blocks = outside.groupBy("family").agg(F.ceil(F.count("*") / CHUNK_DOCS).cast("int").alias("blocks"))
+    blocks = outside.groupBy("family").agg(_tasks().alias("blocks"))
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     ask = outside.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("lo", F.lit(-1)), F.col("blocks"))).withColumn("chunk", upto("chunks")).withColumn("asks", F.lit(True))
     told = placed.join(blocks, "family").withColumn("chunk", F.pmod(F.xxhash64("lo", F.lit(-2)), F.col("chunks"))).withColumn("block", upto("blocks")).withColumn("asks", F.lit(False))
@@ -187,24 +192,36 @@ def _chunks_by_block(placed: DataFrame, sets: DataFrame) -> DataFrame:
     return ask.select(*columns).unionByName(told.select(*columns)).join(sets, ["rep", "lo"])
 
 
+def _bounded(dealt: DataFrame, seed: int) -> DataFrame:
+    """``dealt`` with every (family, task) above the bound split by a hash of the document.
+
+    task stays below chunks before it, so task + chunks * part is a task of its own.
+    """
+    parts = dealt.groupBy("family", "task").agg(_tasks().alias("parts")).where("parts > 1")
+    part = F.coalesce(F.pmod(F.xxhash64("lo", F.lit(seed)), F.col("parts").cast("long")), F.lit(0))
+    return dealt.join(parts, ["family", "task"], "left").withColumn("task", F.col("task") + F.col("chunks") * part).drop("parts")
+
+
 def _join_families(sets: DataFrame, rarest: DataFrame, percent: int) -> DataFrame:
     """(rep, lo, comp): exact components of ``sets``; ``rarest`` holds each one's prefix (lo, shingle).
 
     A family that fits one task is done after it.  A larger one is dealt by the smallest, then
-    by the largest of its members' shingles, where copies of one text mostly meet; after each
-    round only shingles between different components stay, and what they join are the next
-    families.  What is still too large after that is compared in blocks.
+    by the largest of its members' shingles, where copies of one text mostly meet; what one
+    shingle brings together beyond the bound is dealt further by a hash of the document, another
+    one in each round.  After each round only shingles between different components stay, and
+    what they join are the next families.  What is still too large after that is compared in
+    blocks.
     """
     nodes = materialise(sets.select("rep", "lo", F.xxhash64("rep", "lo").alias("comp")))
-    sizes = materialise(sets.select("lo", F.size("shingles").alias("total")))
-    ends = (F.array_min("shingles"), F.array_max("shingles"))
+    ends = ("least", "most")
+    sizes = materialise(sets.select("lo", F.size("shingles").alias("total"), F.array_min("shingles").alias(ends[0]), F.array_max("shingles").alias(ends[1])))
     for r in range(len(ends) + 1):
         families = materialise(_families(rarest))
-        room = sizes.join(families, "lo").groupBy("family").agg(F.ceil(F.greatest(F.count("*") / CHUNK_DOCS, F.sum("total") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
-        placed = materialise(nodes.join(families, "lo").join(room, "family").select("rep", "lo", "comp", "family", "chunks"))
+        room = sizes.join(families, "lo").groupBy("family").agg(_tasks().alias("chunks"))
+        placed = materialise(nodes.join(families, "lo").join(room, "family").join(sizes, "lo").select("rep", "lo", "comp", "family", "chunks", "total", *ends))
         large = placed.where("chunks > 1")
         if r < len(ends):
-            whole = placed.withColumn("asks", F.lit(True)).join(sets, ["rep", "lo"]).withColumn("task", F.pmod(F.xxhash64(ends[r]), F.col("chunks").cast("long")))
+            whole = _bounded(placed.withColumn("task", F.pmod(F.xxhash64(ends[r]), F.col("chunks").cast("long"))), r).withColumn("asks", F.lit(True)).join(sets, ["rep", "lo"])
         else:
             whole = placed.where("chunks = 1").select("rep", "lo", "comp", "family", F.lit(True).alias("asks"), F.lit(0).cast("long").alias("task")).join(sets, ["rep", "lo"]).unionByName(_chunks_by_block(large, sets))
         nodes = _merge(nodes, _link_round(whole.select("family", "task", "comp", "asks", "shingles"), percent))

@@ -190,6 +190,31 @@ def test_op7_large_families(spark, monkeypatch):
     assert rows_of(got, "doc_id", "n_shingles", "component_id") == sorted(brute.components(docs, 4, 85), key=repr)
 
 
+def test_op7_tasks_are_bounded(spark, monkeypatch):
+    """One large group of near copies, which share their smallest and largest shingles, goes to many tasks."""
+    from lectern.llm import ngram_join
+
+    rounds = []
+    join_round = ngram_join._link_round
+
+    def watched(dealt, percent):
+        rounds.append(dealt.groupBy("family", "task").count().agg(F.max("count")).first()[0])
+        return join_round(dealt, percent)
+
+    monkeypatch.setattr(ngram_join, "CHUNK_DOCS", 20)
+    monkeypatch.setattr(ngram_join, "_link_round", watched)
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    docs = []
+    for i in range(400):
+        w = list(base)
+        w[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        docs.append((i, " ".join(w)))
+    got = ngram_join.ngram_jaccard_join(spark.createDataFrame(docs, "doc_id long, text string"), 4, 85)
+    assert rows_of(got, "doc_id", "n_shingles", "component_id") == sorted(brute.components(docs, 4, 85), key=repr)
+    assert len(rounds) > 1 and max(rounds) <= 3 * 20
+
+
 def test_op2_cutoffs_keep_their_promise(spark):
     """Junk goes, a stratum without labels keeps all, and bounds are exact."""
     from lectern.llm import quality_rules as R
