@@ -2,7 +2,8 @@
 
 Fixed patterns give the base spans (e-mail, IP, card, phone), which always stay.  Generators
 with high recall propose more spans, which may overlap: spelled-out e-mail addresses, IPv6
-addresses, card numbers with other separators, phone numbers without a plus sign.  Boosted
+addresses (full and compressed), card numbers with other separators, phone numbers without
+a plus sign.  Boosted
 trees score format and context features of every candidate; they are trained on sentences
 made from templates (personal data against order numbers, versions, amounts, dates and
 other look-alikes), calibrated on held-out sentences, and each kind's threshold is the
@@ -86,29 +87,43 @@ def written(spans: list[Span]) -> str:
 
 # ---- candidates -----------------------------------------------------------------------
 
+_AT = r"(?: ?[\[({<] ?(?:at|AT|@) ?[\])}>] ?| (?:at|AT|@) | @|@ )"
+_DOT = r"(?: ?[\[({<] ?(?:dot|DOT|\.) ?[\])}>] ?| (?:dot|DOT|\.) )"
+#: several patterns of a kind propose alternatives, which may overlap
 _GENERATORS: tuple[tuple[str, re.Pattern[str], str], ...] = (
     ("email", re.compile(r"(?<![\w.])[\w.+-]{1,64}(?: ?[\[({<] ?| )(?:at|AT|@)(?: ?[\])}>] ?| )[\w-]{1,63}(?:(?: ?[\[({<] ?| )(?:dot|DOT|\.)(?: ?[\])}>] ?| )[\w-]{1,63}){1,4}"), "@at"),
+    ("email", re.compile(rf"(?<![\w.])[\w.+-]{{1,64}}{_AT}[\w-]{{1,63}}(?:\.[\w-]{{1,63}}){{1,4}}"), "@at"),
+    ("email", re.compile(rf"(?<![\w.])[\w.+-]{{1,64}}@[\w-]{{1,63}}(?:(?:\.|{_DOT})[\w-]{{1,63}}){{1,4}}"), "@at"),
     ("ip", re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"), ":"),
+    ("ip", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?|::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})(?![\w:])"), "::"),
     ("card", re.compile(r"(?<![0-9])[0-9]{4}([./_])[0-9]{4}\1[0-9]{4}\1[0-9]{2,7}(?![0-9])"), "0"),
+    ("card", re.compile(r"(?<![0-9])[0-9]{4}([./_])[0-9]{6}\1[0-9]{5}(?![0-9])"), "0"),
     ("phone", re.compile(r"(?<![0-9+.,$€£#/-])(?:\([0-9]{2,5}\)|00[0-9]{1,3}|[0-9]{2,5})(?:[ ./-]{1,2}[0-9]{2,6}){1,5}(?![0-9]|[.,:/-][0-9])"), "0"),
+    ("phone", re.compile(r"(?<![0-9+.,$€£#/-])(?:1[ ./-])?\([0-9]{2,5}\) ?[0-9]{2,6}(?:[ ./-]{1,2}[0-9]{2,6}){1,4}(?![0-9]|[.,:/-][0-9])"), "("),
+    ("phone", re.compile(r"(?<![0-9+.,$€£#/-])1[ ./-][0-9]{3}[ ./-][0-9]{3}[ ./-][0-9]{4}(?![0-9]|[.,:/-][0-9])"), "0"),
+    ("phone", re.compile(r"(?<![\w+.,$€£#/-])[0-9]{10,11}(?![\w]|[.,:/-][0-9])"), "0"),
 )
+#: "at" in brackets, or as a word with a dot near it in some form
+_AT_WORD = re.compile(r"[\[({<] ?at\b|\bat ?[\])}>]| at [\w-]+ ?(?:\.\w|[\[({<] ?(?:dot|\.)|dot\b| \. )")
 _BEFORE = re.compile(r"(?i)\b(?:(phone|tel|telephone|call|mobile|cell|fax|whatsapp|sms|telefon|téléphone|teléfono)|(card|visa|mastercard|amex|credit)|(e-?mail|mail|contact|write)|(ip|address|host|server)|(order|invoice|ref|version|page|isbn|id|no|number|total|price|between|from|score|date|born|in))\b")
 N_FEATURES = 21
 
 
 def candidates(text: str) -> list[Span]:
     """Proposed spans beyond the base ones; they may overlap each other."""
-    out = []
+    out = {}
     lower = None
     for kind, pattern, needs in _GENERATORS:
         if needs == "@at":
             lower = lower or text.lower()
-            if not ("dot" in lower and re.search(r"\bat\b|@", lower)) and "@ " not in text and " @" not in text and "[@" not in text:
+            if "@" not in text and not _AT_WORD.search(lower):
                 continue
         elif needs == ":" and text.count(":") < 7:
             continue
-        out += [(kind, *m.span()) for m in pattern.finditer(text)]
-    return out
+        elif needs in ("::", "(") and needs not in text:
+            continue
+        out |= dict.fromkeys((kind, *m.span()) for m in pattern.finditer(text))
+    return list(out)
 
 
 def features(text: str, span: Span) -> list[float]:
@@ -144,24 +159,44 @@ def training_sentences(n: int, seed: int) -> list[tuple[str, Span, bool]]:
         s = rng.choice("./_")
         return s.join((base + last)[i : i + 4] for i in range(0, 16, 4))
 
+    def amex(ok: bool) -> str:
+        base = rng.choice(("34", "37")) + d(12)
+        last = next(x for x in "0123456789" if luhn(base + x) == ok)
+        s, own = rng.choice("./_"), base + last
+        return s.join((own[:4], own[4:10], own[10:]))
+
+    def short_ip() -> str:
+        group = lambda n: ":".join(f"{rng.randrange(65536):x}" for _ in range(n))
+        return rng.choice(("fe80", "2001:db8", "fd00", group(2))) + "::" + (group(rng.randrange(1, 5)) if rng.random() < 0.7 else str(rng.randrange(1, 10)))
+
     tld = lambda: rng.choice("com org net edu de fr es io".split())
     sep = lambda: rng.choice(" -./")
 
     def phone() -> str:
         s = sep()
+        if rng.random() < 0.5:
+            return rng.choice([f"({d(3)}){d(3)}-{d(4)}", f"1{s}{d(3)}{s}{d(3)}{s}{d(4)}", f"1 ({d(3)}) {d(3)}-{d(4)}", d(10), "1" + d(10), "0" + d(10)])
         return rng.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}{s}{d(3)}{s}{d(4)}", f"0{d(3)}{s}{d(3)}{s}{d(3)}", f"00{d(2)} {d(2)} {d(4)} {d(4)}", f"0{d(2)} {d(4)} {d(4)}"])
 
     good = [
         ("email", lambda: f"{rng.choice(names)}.{rng.choice(names)} [at] {rng.choice(names)}mail [dot] {tld()}", ["write to", "contact", "e-mail:", ""]),
         ("email", lambda: f"{rng.choice(names)} (at) {rng.choice(names)} (dot) {tld()}", ["mail", "contact", ""]),
         ("email", lambda: f"{rng.choice(names)}{d(2)} at {rng.choice(names)} dot {tld()}", ["e-mail", "write to", "contact"]),
+        ("email", lambda: f"{rng.choice(names)} {rng.choice(('[at]', '(at)'))} {rng.choice(names)}mail.{tld()}", ["write to", "contact", "e-mail:", ""]),
+        ("email", lambda: f"{rng.choice(names)}@{rng.choice(names)}mail {rng.choice(('[dot]', '(dot)', 'dot'))} {tld()}", ["mail", "contact", ""]),
+        ("email", lambda: f"{rng.choice(names)} @ {rng.choice(names)}mail.{tld()}", ["mail", "contact", "e-mail:", ""]),
         ("ip", lambda: ":".join(f"{rng.randrange(65536):x}" for _ in range(8)), ["host", "from", "address", ""]),
+        ("ip", short_ip, ["host", "from", "address", ""]),
+        ("card", lambda: amex(True), ["card", "amex", "credit card", ""]),
         ("card", lambda: card(True), ["card", "visa", "credit card", ""]),
         ("phone", phone, ["call", "phone", "tel", "mobile", "fax", "telefon"]),
     ]
     bad = [
         ("email", lambda: f"look at {rng.choice(fill)} dot {rng.choice(fill)}", ["", "the", "we"]),
         ("email", lambda: f"{rng.choice(fill)} at {rng.choice(fill)} dot {rng.choice(fill)}", ["", "the", "it"]),
+        ("email", lambda: f"{rng.choice(fill)} at {rng.choice(fill)}.{rng.choice(fill)}", ["", "the", "it"]),
+        ("ip", lambda: f"{rng.choice(('a', 'de', 'bad', 'face', 'add'))}::{rng.choice(('be', 'cafe', 'fee', 'b'))}", ["", "the", "in", "ref"]),
+        ("card", lambda: amex(False), ["order", "ref", "number", ""]),
         ("card", lambda: card(False), ["order", "ref", "number", ""]),
         ("phone", lambda: f"{rng.randrange(1900, 2030)}-{d(2)}-{d(2)}", ["date", "on", "born", ""]),
         ("phone", lambda: f"{d(2)}.{d(2)}.{rng.randrange(1900, 2030)}", ["date", "am", "born", ""]),

@@ -118,6 +118,25 @@ def test_added_personal_data():
     assert pii.redact(t, said(t)) == "mail [email], [ip]."
 
 
+def test_common_forms_of_personal_data():
+    """Proposed whole, and added where the context says what they are; the best of overlapping spans wins."""
+    model = pii.scorer()
+    forms = [
+        ("email", "contact", "joe [at] example.com"), ("email", "contact", "joe@example [dot] com"), ("email", "contact", "joe @ example.com"),
+        ("phone", "call", "1-800-555-1234"), ("phone", "call", "5551234567"), ("phone", "call", "(555)123-4567"),
+        ("ip", "host", "2001:db8::8a2e:370:7334"), ("ip", "host", "fe80::1"), ("card", "card", "3782.822463.10005"),
+    ]
+    for kind, lead, form in forms:
+        text = f"please {lead} {form} now"
+        span = (kind, text.index(form), text.index(form) + len(form))
+        assert span in pii.candidates(text), form
+        assert pii.find_spans([text], model)[0][1] == [span], form
+    overlapping = [s for s in pii.candidates("call (555)123-4567 now") if s[0] == "phone"]
+    assert len(overlapping) > 1
+    for clean in ("ref 5551234567 was sent", "card 3782.822463.10004 was", "we met at home.then left", "the value a::b of it", "order 1-800-555-1234 was sent"):
+        assert pii.find_spans([clean], model)[0][1] == [], clean
+
+
 def test_copied_values_are_examples(spark):
     token = "Zx9Qw8Er7Ty6Ui5Op4As3Df2Gh1Jk0Lz"
     rows = [(i, f"see {token} here", f"s{i % 4}") for i in range(8)] + [(8, "own Aq1Sw2De3Fr4Gt5Hy6Ju7Ki8Lo9Pz0X here", "s0"), (9, "password = hunter2hunter2", "s1"), (10, None, None)]
