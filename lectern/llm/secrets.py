@@ -3,8 +3,9 @@
 Fixed patterns give the base spans (assignments, access keys, hex runs), which always stay.
 Generators propose more: private-key blocks, bearer and URL credentials, known token
 prefixes, long mixed runs.  Each candidate's value is hashed, and over the whole corpus the
-distinct owners and repositories of each hash are counted: values that many owners share are
-copied examples, values of one owner that look random are live-looking credentials.  Only
+distinct owners and repositories of each hash are counted: values that many owners share, or
+that many repositories of few owners hold, are copied examples; values of one owner that look
+random are live-looking credentials.  Only
 live-looking proposals become added spans; base spans get a verdict beside them.
 
 Counting goes in two steps, each combined before its shuffle: distinct (hash, owner,
@@ -30,6 +31,8 @@ KINDS = ("assign", "access", "hex", "block", "bearer", "url", "prefix", "random"
 BASE = KINDS[:3]
 #: owners from which a value counts as a widely copied example
 WIDELY = 3
+#: repositories from which it does, whoever owns them: twice as many, as one owner may use a credential in several
+SPREAD = 2 * WIDELY
 #: bits a character, over the value's own characters, from which it looks random
 RANDOM_BITS = 3.0
 
@@ -146,17 +149,17 @@ def ownership(scanned: DataFrame) -> DataFrame:
     return by_owner.groupBy("value").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
 
 
-def find_secrets(documents: DataFrame, owner: str = "source", repository: str = "lang", widely: int = WIDELY) -> DataFrame:
+def find_secrets(documents: DataFrame, owner: str = "source", repository: str = "lang", widely: int = WIDELY, spread: int = SPREAD) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example for each row of ``documents``.
 
     Counts and base_sha256 are of the base spans; spans lists base spans and the added ones as
     kind:start:end (code points, end exclusive).  n_example: spans of values with at least
-    ``widely`` owners; n_live: the other base spans and the added ones.  ``repository`` names a
+    ``widely`` owners or ``spread`` repositories; n_live: the other base spans and the added ones.  ``repository`` names a
     repository within its owner.  A null or missing owner or repository is the empty one; a
     null text is empty.  Rows that repeat a doc_id are read each; empty tables are fine.
     """
     scanned = materialise(scan(documents, owner, repository).withColumn("row", F.monotonically_increasing_id()))
-    shared = materialise(ownership(scanned).where(F.col("owners") >= widely).select(F.col("value").alias("copied"), "owners"))
+    shared = materialise(ownership(scanned).where((F.col("owners") >= widely) | (F.col("repositories") >= spread)).select(F.col("value").alias("copied"), "owners"))
     spans = scanned.select("row", F.explode("spans").alias("s")).select("row", "s.*")
     judged = spans.join(shared, F.col("value") == F.col("copied"), "left").withColumn("example", F.col("copied").isNotNull())
     listed = F.struct("start", F.expr("case " + " ".join(f"when kind = '{k}' then {i}" for i, k in enumerate(KINDS)) + " end").alias("k"), "end", "kind", "base", "example")

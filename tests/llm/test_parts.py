@@ -166,6 +166,13 @@ def test_secret_values_are_whole():
     assert len({secrets.proposed(f"Bearer {token}{x}", [])[0][3] for x in "xy"}) == 2
 
 
+def test_values_of_many_repositories_are_examples(spark):
+    copied, own = "Zx9Qw8Er7Ty6Ui5Op4As3Df2Gh1Jk0Lz", "Aq1Sw2De3Fr4Gt5Hy6Ju7Ki8Lo9Pz0X"
+    rows = [(i, f"see {copied} here", "hot", f"r{i}") for i in range(6)] + [(10 + i, f"see {own} here", "hot", f"r{i % 5}") for i in range(10)]
+    got = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()
+    assert all((r["n_example"], r["n_live"]) == ((1, 0) if r["doc_id"] < 10 else (0, 1)) for r in got) and len(got) == 16
+
+
 def test_bitmaps(spark):
     line = "a line that many documents hold"
     rows = [(i, "\n".join([f"own line {i} {k} of this text" for k in range(70)] + [line] + ["x"] * 70 + [line])) for i in range(4)]
