@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.llm.decontaminate import find_overlaps
-from lectern.llm.mixing import mix_sources
+from lectern.llm.mixing import mix_sources, words_of
 from lectern.llm.ngram_join import ngram_jaccard_join
 from lectern.llm.quality_rules import quality_rules
 from lectern.llm.queries import tokenizer_path
@@ -51,9 +51,19 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it: 0, 1 or 2."""
-    taken = mix_sources(docs).where("copies > 0").groupBy(F.col("doc_id").alias("d")).agg(F.max("copies").alias("copies"))
-    both = docs.join(taken.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")))
+    """Each document as many times as the mix takes it: 0, 1 or 2.
+
+    Rows that share a doc_id, or have none, are units of their own: the nth row of a doc_id,
+    source and size comes as often as the mix takes the nth such unit (equal units are
+    interchangeable).
+    """
+    mixed = materialise(mix_sources(docs).select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("n"), "copies"))
+    same = F.col("doc_id").eqNullSafe(F.col("d"))
+    if mixed.groupBy("d").count().where("count > 1").limit(1).count():
+        mixed = mixed.withColumn("k", F.row_number().over(Window.partitionBy("d", "s", "n").orderBy("copies")))
+        docs = docs.withColumn("_n", words_of("text")).withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "source", "_n").orderBy(F.xxhash64("text"))))
+        same = same & F.col("source").eqNullSafe(F.col("s")) & (F.col("_n") == F.col("n")) & (F.col("_k") == F.col("k"))
+    both = docs.join(mixed.where("copies > 0").hint("shuffle_hash"), same)
     return both.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 

@@ -20,7 +20,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,6 +33,10 @@ NEAR = 0.002
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def words_of(text: str) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def _move(p: list[float], u: list[float], rng: random.Random) -> None:
     """Move ``p`` along ``u`` or against it to the next face of the cube, keeping expectations."""
     ahead = min(((1 - x) / d if d > 0 else -x / d for x, d in zip(p, u, strict=True) if d), default=0.0)
@@ -137,7 +141,7 @@ def mix_sources(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sh
     in a block are ordered by size and doc_id, so reruns agree; equal units are
     interchangeable.  An empty table gives an empty table; other columns are not read.
     """
-    sizes = materialise(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
+    sizes = materialise(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_of("text").alias("size")))
     targets = materialise(source_targets(sizes, weights, share, most))
     t = targets.withColumnRenamed("source", "of")
     ratio = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))

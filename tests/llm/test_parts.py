@@ -204,6 +204,17 @@ def test_pipeline(spark):
     assert ids(out) == ids(mixed) and out.agg(F.sum("n_tokens") - F.max(F.col("start") + F.col("n_tokens"))).first()[0] == 0
 
 
+def test_pipeline_mix_without_ids(spark):
+    """Rows that share a doc_id, or have none, come as often as the mix takes each of them."""
+    rows = [(i if i % 3 else None, f"w{i} " * (20 + i % 4), "en", f"s{i % 4}", 1) for i in range(200)] + [(7, "again " * 30, "en", "s0", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    of = lambda t: sorted(((r[0], r[1], r[2], r[3]) for r in t), key=repr)
+    taken = mixing.mix_sources(docs).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.sum("copies")).collect()
+    got = corpus_pipeline.mix(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert of(got.groupBy("doc_id", "source", mixing.words_of("text")).count().collect()) == of(taken)
+
+
 def test_pipeline_stage_repeated_and_missing_ids(spark):
     text = " ".join(f"w{i}" for i in range(50))
     rows = [(1, text, "en", "s", 1), (1, text, "en", "s", 1), (2, text + " x", "en", "s", 1), (None, "other words " * 3, "en", "s", 1), (3, None, None, None, None)]
