@@ -83,11 +83,18 @@ def _whole_sets(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             hi, lo = batch["hi"].to_pylist(), batch["lo"].to_pylist()
             sets = list(_sets(batch["text"], k))
-            own = [i for i, s in enumerate(sets) if fingerprint(s) == (hi[i], lo[i])]
-            yield pa.RecordBatch.from_arrays([batch["rep"].take(pa.array(own, pa.int64())), pa.array([lo[i] for i in own], pa.int64()), _lists([sets[i] for i in own])], ["rep", "lo", "shingles"])
+            own = [i for i, s in enumerate(sets) if hi[i] is None or fingerprint(s) == (hi[i], lo[i])]
+            hi, lo = zip(*(fingerprint(sets[i]) if hi[i] is None else (hi[i], lo[i]) for i in own), strict=True) if own else ([], [])
+            yield pa.RecordBatch.from_arrays([batch["rep"].take(pa.array(own, pa.int64())), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), _lists([sets[i] for i in own])], ["rep", "hi", "lo", "shingles"])
 
-    with_text = docs.join(classes.select("rep", "hi", "lo").hint("shuffle_hash"), docs["doc_id"] == F.col("rep")).select("rep", "hi", "lo", "text")
-    return with_text.mapInArrow(run, "rep long, lo long, shingles array<long>").dropDuplicates(["rep", "lo"])
+    schema = "rep long, hi long, lo long, shingles array<long>"
+    named = classes.where("rep is not null").select("rep", "hi", "lo")
+    with_text = docs.join(named.hint("shuffle_hash"), docs["doc_id"] == F.col("rep")).select("rep", "hi", "lo", "text").mapInArrow(run, schema)
+    # classes whose rows all lack doc_id: their texts are found by the fingerprint itself
+    none = F.lit(None).cast("long")
+    unnamed = docs.where("doc_id is null").select(none.alias("rep"), none.alias("hi"), none.alias("lo"), "text").mapInArrow(run, schema)
+    unnamed = unnamed.join(classes.where("rep is null").select("hi", "lo"), ["hi", "lo"], "left_semi").select("rep", "hi", "lo", "shingles")
+    return with_text.unionByName(unnamed).dropDuplicates(["hi", "lo"])
 
 
 class _Forest:
@@ -162,7 +169,7 @@ def _link_round(dealt: DataFrame, percent: int) -> DataFrame:
 def _merge(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``nodes`` with the components that ``links`` join."""
     merged = connected_components(links).withColumnRenamed("label", "low")
-    return materialise(nodes.join(merged, nodes["comp"] == merged["node"], "left").select("rep", "lo", F.coalesce("low", "comp").alias("comp")))
+    return materialise(nodes.join(merged, nodes["comp"] == merged["node"], "left").select("rep", "hi", "lo", F.coalesce("low", "comp").alias("comp")))
 
 
 def _families(rarest: DataFrame) -> DataFrame:
@@ -188,8 +195,8 @@ def _chunks_by_block(placed: DataFrame, sets: DataFrame) -> DataFrame:
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     ask = outside.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("lo", F.lit(-1)), F.col("blocks"))).withColumn("chunk", upto("chunks")).withColumn("asks", F.lit(True))
     told = placed.join(blocks, "family").withColumn("chunk", F.pmod(F.xxhash64("lo", F.lit(-2)), F.col("chunks"))).withColumn("block", upto("blocks")).withColumn("asks", F.lit(False))
-    columns = ["rep", "lo", "comp", "family", "asks", (F.col("block").cast("long") * F.col("chunks") + F.col("chunk")).alias("task")]
-    return ask.select(*columns).unionByName(told.select(*columns)).join(sets, ["rep", "lo"])
+    columns = ["rep", "hi", "lo", "comp", "family", "asks", (F.col("block").cast("long") * F.col("chunks") + F.col("chunk")).alias("task")]
+    return ask.select(*columns).unionByName(told.select(*columns)).join(sets.drop("rep"), ["hi", "lo"])
 
 
 def _bounded(dealt: DataFrame, seed: int) -> DataFrame:
@@ -203,7 +210,7 @@ def _bounded(dealt: DataFrame, seed: int) -> DataFrame:
 
 
 def _join_families(sets: DataFrame, rarest: DataFrame, percent: int) -> DataFrame:
-    """(rep, lo, comp): exact components of ``sets``; ``rarest`` holds each one's prefix (lo, shingle).
+    """(rep, hi, lo, comp): exact components of ``sets``; ``rarest`` holds each one's prefix (lo, shingle).
 
     A family that fits one task is done after it.  A larger one is dealt by the smallest, then
     by the largest of its members' shingles, where copies of one text mostly meet; what one
@@ -212,18 +219,18 @@ def _join_families(sets: DataFrame, rarest: DataFrame, percent: int) -> DataFram
     what they join are the next families.  What is still too large after that is compared in
     blocks.
     """
-    nodes = materialise(sets.select("rep", "lo", F.xxhash64("rep", "lo").alias("comp")))
+    nodes = materialise(sets.select("rep", "hi", "lo", F.xxhash64("hi", "lo").alias("comp")))
     ends = ("least", "most")
     sizes = materialise(sets.select("lo", F.size("shingles").alias("total"), F.array_min("shingles").alias(ends[0]), F.array_max("shingles").alias(ends[1])))
     for r in range(len(ends) + 1):
         families = materialise(_families(rarest))
         room = sizes.join(families, "lo").groupBy("family").agg(_tasks().alias("chunks"))
-        placed = materialise(nodes.join(families, "lo").join(room, "family").join(sizes, "lo").select("rep", "lo", "comp", "family", "chunks", "total", *ends))
+        placed = materialise(nodes.join(families, "lo").join(room, "family").join(sizes, "lo").select("rep", "hi", "lo", "comp", "family", "chunks", "total", *ends))
         large = placed.where("chunks > 1")
         if r < len(ends):
-            whole = _bounded(placed.withColumn("task", F.pmod(F.xxhash64(ends[r]), F.col("chunks").cast("long"))), r).withColumn("asks", F.lit(True)).join(sets, ["rep", "lo"])
+            whole = _bounded(placed.withColumn("task", F.pmod(F.xxhash64(ends[r]), F.col("chunks").cast("long"))), r).withColumn("asks", F.lit(True)).join(sets.drop("rep"), ["hi", "lo"])
         else:
-            whole = placed.where("chunks = 1").select("rep", "lo", "comp", "family", F.lit(True).alias("asks"), F.lit(0).cast("long").alias("task")).join(sets, ["rep", "lo"]).unionByName(_chunks_by_block(large, sets))
+            whole = placed.where("chunks = 1").select("rep", "hi", "lo", "comp", "family", F.lit(True).alias("asks"), F.lit(0).cast("long").alias("task")).join(sets.drop("rep"), ["hi", "lo"]).unionByName(_chunks_by_block(large, sets))
         nodes = _merge(nodes, _link_round(whole.select("family", "task", "comp", "asks", "shingles"), percent))
         if r == len(ends) or not large.limit(1).count():
             return nodes
@@ -252,15 +259,15 @@ def ngram_jaccard_join(documents: DataFrame, k: int = 5, percent: int = 80) -> D
     matches = in_heads.join(common, "shingle", "left_semi").groupBy("lo").agg(F.count("*").alias("found"))
     smallest = F.ceil(F.lit(percent) * F.col("n") / 100)
     asked = F.greatest(F.lit(1), F.least(F.floor(FIRST_MATCHES * smallest), F.ceil(F.lit(percent) * smallest / 100)))
-    alive = materialise(classes.join(matches, "lo").where((F.col("found") >= F.col("copies") * asked) & F.col("rep").isNotNull()))
+    alive = materialise(classes.join(matches, "lo").where(F.col("found") >= F.col("copies") * asked))
 
     sets = materialise(_whole_sets(docs, alive, k))
-    whole = sets.select("rep", "lo", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    whole = sets.select("rep", "hi", "lo", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     often = materialise(whole.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"))
-    of_doc = Window.partitionBy("rep", "lo")
-    ranked = whole.join(often, "shingle").select("rep", "lo", "shingle", F.count("*").over(of_doc).alias("shared"), (F.count("*").over(of_doc) - F.ceil(F.lit(percent) * F.col("n") / 100)).alias("spare"), F.row_number().over(of_doc.orderBy("df", "shingle")).alias("rank"))
+    of_doc = Window.partitionBy("hi", "lo")
+    ranked = whole.join(often, "shingle").select("rep", "hi", "lo", "shingle", F.count("*").over(of_doc).alias("shared"), (F.count("*").over(of_doc) - F.ceil(F.lit(percent) * F.col("n") / 100)).alias("spare"), F.row_number().over(of_doc.orderBy("df", "shingle")).alias("rank"))
     rarest = materialise(ranked.where("rank <= spare + 1").select("lo", "shingle"))
     comps = _join_families(sets, rarest, percent)
-    named = comps.join(comps.groupBy("comp").agg(F.min("rep").alias("component")), "comp").select("rep", "lo", "component")
-    of_class = materialise(classes.join(named, ["rep", "lo"], "left").select("hi", "lo", F.coalesce("component", "rep").alias("component")))
+    named = comps.join(comps.groupBy("comp").agg(F.min("rep").alias("component")), "comp").select("hi", "lo", "component")
+    of_class = materialise(classes.join(named, ["hi", "lo"], "left").select("hi", "lo", F.coalesce("component", "rep").alias("component")))
     return heads.select("doc_id", "n_shingles", "hi", "lo").join(of_class, ["hi", "lo"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))

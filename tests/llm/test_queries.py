@@ -190,6 +190,22 @@ def test_op7_large_families(spark, monkeypatch):
     assert rows_of(got, "doc_id", "n_shingles", "component_id") == sorted(brute.components(docs, 4, 85), key=repr)
 
 
+def test_op7_links_through_rows_without_id(spark):
+    """Two documents meet only through a near copy without doc_id; groups without any doc_id have no name."""
+    from lectern.llm import ngram_join
+
+    rng = random.Random(12)
+    docs = []
+    for d, e in ((1, 2), (None, 3), (None, None)):
+        one = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        two = [*one[:15], "new", *one[16:]]
+        docs += [(d, " ".join(one)), (None, " ".join(two)), (e, " ".join([*two[:40], "other", *two[41:]]))]
+    want = sorted(brute.components(docs, 4, 85), key=repr)
+    assert (2, 57, 1) in want and (None, 57, 3) in want
+    got = ngram_join.ngram_jaccard_join(spark.createDataFrame(docs, "doc_id long, text string"), 4, 85)
+    assert rows_of(got, "doc_id", "n_shingles", "component_id") == want
+
+
 def test_op7_tasks_are_bounded(spark, monkeypatch):
     """One large group of near copies, which share their smallest and largest shingles, goes to many tasks."""
     from lectern.llm import ngram_join
