@@ -110,8 +110,9 @@ def emphasis(text: Column, table: Mapping[str, Sequence[str]] = vocab.EMPHASIS_W
 
 def pacing(text: Column) -> Column:
     """From the mean number of words between sentence ends, then from exclamation marks."""
-    parts = _pieces(text, "[.!?]+")
-    mean = F.aggregate(parts, F.lit(0), lambda n, x: n + word_count(x)) / F.nullif(F.size(parts), F.lit(0))
+    # a part is a run without . ! ? that holds more than spaces; its words are runs without spaces too
+    parts = F.regexp_count(text, F.lit(r"(?U)[^.!?\s][^.!?]*+"))
+    mean = F.regexp_count(text, F.lit(r"(?U)[^.!?\s]++")) / F.nullif(parts, F.lit(0))
     marks = F.char_length(text) - F.char_length(F.replace(text, F.lit("!"), F.lit("")))
     return F.when(mean.isNull(), "normal").when(mean < 5, "fast").when(mean > 20, "slow").when(marks > 2, "urgent").otherwise("normal")
 

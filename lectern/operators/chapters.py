@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import folds
 from ..functions import text as X
 from ..functions import vocab
 from ..functions.audio import let
@@ -39,10 +40,19 @@ def headings(texts: DataFrame, key: str, text: str = "text", patterns: Sequence[
     return out.select(F.col("key").alias(key), F.sort_array("found").alias("found"))
 
 
+def exploded(rows: DataFrame, key: str, items: Column, at: str, item: str) -> DataFrame:
+    """key, at, item for each of ``items``, from a fold in Python.
+
+    The outer explode keeps the optimiser from computing the fold once more for a filter on its size.
+    """
+    return rows.select(key, F.posexplode_outer(items).alias(at, item)).where(F.col(at).isNotNull())
+
+
 def keep_apart(found: Column, gap: int = 200) -> Column:
     """Of sorted structs with ``start``, those more than ``gap`` after the last one kept."""
-    last = lambda kept: F.get(kept, F.size(kept) - 1)["start"]
-    return F.aggregate(F.slice(found, 2, F.greatest(F.size(found) - 1, F.lit(0))), F.slice(found, 1, 1), lambda kept, x: F.when(x["start"] - last(kept) > gap, F.concat(kept, F.array(x))).otherwise(kept))
+    flags = folds.apart_flags(F.transform(found, lambda x: x["start"].cast("long")), gap)
+    both = F.zip_with(found, flags, lambda x, keep: F.struct(x.alias("x"), keep.alias("keep")))
+    return F.transform(F.filter(both, lambda b: b["keep"]), lambda b: b["x"])
 
 
 def split_chapters(texts: DataFrame, key: str, text: str = "text", patterns: Sequence[str] = HEADINGS) -> DataFrame:
@@ -61,24 +71,33 @@ def split_chapters(texts: DataFrame, key: str, text: str = "text", patterns: Seq
         return F.struct(h["title"].alias("title"), X.strip(F.substring(part, F.char_length(h["title"]) + 1, F.char_length(part))).alias("text"))
 
     parts = F.filter(F.transform("kept", body), lambda c: F.char_length(c["text"]) > 20)
-    return rows.select(key, F.posexplode(F.when(F.size("kept") > 0, parts).otherwise(whole)).alias("at", "c")).select(key, (F.col("at") + 1).alias("number"), "c.title", "c.text")
+    return exploded(rows, key, F.when(F.size("kept") > 0, parts).otherwise(whole), "at", "c").select(key, (F.col("at") + 1).alias("number"), "c.title", "c.text")
+
+
+def sentence_array(text: Column, delimiter: str = r"\n\n+", split=X.sentences_by_capital) -> Column:
+    """array of struct(paragraph_index, text, is_dialogue, is_paragraph_start, is_paragraph_end), in order.
+
+    A sentence is dialogue if its first occurrence in the paragraph overlaps a quoted span; a
+    paragraph's spans are found once.
+    """
+
+    def record(p: Column, at: Column, own: Column, spans: Column, s: Column, j: Column) -> Column:
+        overlaps = let(F.call_function("instr", p, s) - 1, lambda a: (a >= 0) & F.exists(spans, lambda q: (a < q["e"]) & (a + F.char_length(s) > q["s"])))
+        inside = F.when(F.size(spans) == 0, F.lit(False)).otherwise(overlaps)
+        return F.struct(at.alias("paragraph_index"), s.alias("text"), inside.alias("is_dialogue"), (j == 0).alias("is_paragraph_start"), (j == F.size(own) - 1).alias("is_paragraph_end"))
+
+    of = lambda p, at: let(split(p), lambda own: let(quote_spans(p), lambda spans: F.transform(own, lambda s, j: record(p, at, own, spans, s, j))))
+    return F.flatten(F.transform(X.paragraphs(text, delimiter), of))
 
 
 def sentence_records(chapters: DataFrame, key: str, text: str = "text", delimiter: str = r"\n\n+", split=X.sentences_by_capital) -> DataFrame:
     """key, paragraph_index, index, text, is_dialogue, is_paragraph_start, is_paragraph_end of each sentence.
 
-    index counts over the chapter.  A sentence is dialogue if its first occurrence in the
-    paragraph overlaps a quoted span.
+    index counts over the chapter.  ``split`` is the sentence splitter, a function of a column.
+    Nothing is shuffled.
     """
-    paras = chapters.select(key, F.posexplode(X.paragraphs(F.col(text), delimiter)).alias("paragraph_index", "paragraph"))
-    sents = paras.select(key, "paragraph_index", "paragraph", F.posexplode(split(F.col("paragraph"))).alias("_at", "text"), F.size(split(F.col("paragraph"))).alias("_n"))
-    start = F.expr("instr(paragraph, text)") - 1
-    inside = _overlaps_quote(F.col("paragraph"), start, start + F.char_length("text"))
-    order = Window.partitionBy(key).orderBy("paragraph_index", "_at")
-    return sents.select(
-        key, "paragraph_index", (F.row_number().over(order) - 1).alias("index"), "text", ((start >= 0) & inside).alias("is_dialogue"),
-        (F.col("_at") == 0).alias("is_paragraph_start"), (F.col("_at") == F.col("_n") - 1).alias("is_paragraph_end"),
-    )
+    rows = chapters.select(key, F.posexplode(sentence_array(F.col(text), delimiter, split)).alias("index", "s"))
+    return rows.select(key, "s.paragraph_index", "index", "s.text", "s.is_dialogue", "s.is_paragraph_start", "s.is_paragraph_end")
 
 
 def quote_spans(paragraph: Column) -> Column:
@@ -91,27 +110,27 @@ def quote_spans(paragraph: Column) -> Column:
         e = a + F.char_length(m)
         return F.struct(e.alias("at"), F.concat(s["out"], F.array(F.struct(a.alias("s"), e.alias("e")))).alias("out"))
 
-    return F.aggregate(matches, state, step, lambda s: s["out"])
+    return F.when(paragraph.rlike("[\"“]"), F.aggregate(matches, state, step, lambda s: s["out"])).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
 
 
-def _overlaps_quote(paragraph: Column, start: Column, end: Column) -> Column:
-    return F.exists(quote_spans(paragraph), lambda q: (start < q["e"]) & (end > q["s"]))
+def dialogue_segments(chapters: DataFrame, key: str, text: str = "text", delimiter: str = r"\n\n+", verbs: Sequence[str] = vocab.SPEECH_VERBS) -> DataFrame:
+    """key, paragraph, at, type, text, speaker: narration and quotes of each paragraph, in order."""
+    nobody = F.lit(None).cast("string")
 
+    def pieces(p: Column, spans: Column, q: Column, k: Column) -> Column:
+        before = F.coalesce(F.get(spans, k - 1)["e"], F.lit(0))
+        narration = X.strip(F.substring(p, before + 1, q["s"] - before))
+        quote = X.strip(F.substring(p, q["s"] + 2, q["e"] - q["s"] - 2))
+        who = F.when(quote != "", X.speaker_in(F.substring(p, q["e"] + 1, F.lit(150)), F.left(p, q["s"]), verbs))
+        return F.array(
+            F.struct((k * 2).alias("at"), F.lit("narration").alias("type"), narration.alias("text"), nobody.alias("speaker")),
+            F.struct((k * 2 + 1).alias("at"), F.lit("dialogue").alias("type"), quote.alias("text"), who.alias("speaker")),
+        )
 
-def dialogue_segments(chapters: DataFrame, key: str, text: str = "text", delimiter: str = r"\n\n+") -> DataFrame:
-    """key, paragraph, at, type, text, speaker: narration and quotes of each paragraph, in order."""
-    paras = chapters.select(key, F.posexplode(X.paragraphs(F.col(text), delimiter)).alias("paragraph", "p"))
-    spans = F.concat(quote_spans(F.col("p")), F.array(F.struct(F.char_length("p").alias("s"), F.char_length("p").alias("e"))))
-    pieces = paras.select(key, "paragraph", "p", F.posexplode(spans).alias("k", "q"), spans.alias("qs"))
-    before = F.coalesce(F.get("qs", F.col("k") - 1)["e"], F.lit(0))
-    narration = X.strip(F.substring("p", before + 1, F.col("q.s") - before))
-    quote = X.strip(F.substring("p", F.col("q.s") + 2, F.col("q.e") - F.col("q.s") - 2))
-    who = X.speaker_in(F.substring("p", F.col("q.e") + 1, F.char_length("p")), F.left("p", F.col("q.s")))
-    kinds = F.array(
-        F.struct((F.col("k") * 2).alias("at"), F.lit("narration").alias("type"), narration.alias("text"), F.lit(None).cast("string").alias("speaker")),
-        F.struct((F.col("k") * 2 + 1).alias("at"), F.lit("dialogue").alias("type"), quote.alias("text"), who.alias("speaker")),
-    )
-    return pieces.select(key, "paragraph", F.explode(F.filter(kinds, lambda x: x["text"] != "")).alias("x")).select(key, "paragraph", "x.*")
+    end = lambda p: F.array(F.struct(F.char_length(p).alias("s"), F.char_length(p).alias("e")))
+    of = lambda p: let(F.concat(quote_spans(p), end(p)), lambda spans: F.flatten(F.transform(spans, lambda q, k: pieces(p, spans, q, k))))
+    rows = chapters.select(key, F.posexplode(X.paragraphs(F.col(text), delimiter)).alias("paragraph", "p"))
+    return rows.select(key, "paragraph", F.explode(of(F.col("p"))).alias("x")).where("x.text <> ''").select(key, "paragraph", "x.*")
 
 
 def merge_short_narration(segments: DataFrame, key: str, order: Sequence[str], least: int = 3) -> DataFrame:
@@ -122,51 +141,44 @@ def merge_short_narration(segments: DataFrame, key: str, order: Sequence[str], l
     return grouped.groupBy(key, "_g").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_o", "text"))), lambda x: x["text"]), " ").alias("text"), F.min_by("type", "_o").alias("type"), F.min_by("speaker", "_o").alias("speaker")).withColumnRenamed("_g", "number")
 
 
+def _runs(items: Column, numbers: Column) -> Column:
+    """array of struct(at, own): the parts of ``items`` with one number, and where each begins."""
+
+    def cut(b: Column) -> Column:
+        starts = F.filter(F.transform(b["n"], lambda n, i: F.when((i == 0) | (n != F.get(b["n"], i - 1)), i)), lambda i: i.isNotNull())
+        return let(starts, lambda st: F.transform(st, lambda i, k: F.struct(i.alias("at"), F.slice(b["x"], i + 1, F.coalesce(F.get(st, k + 1), F.size(b["x"])) - i).alias("own"))))
+
+    return let(F.struct(items.alias("x"), numbers.alias("n")), cut)
+
+
+def _seconds(own: Column) -> Column:
+    return F.aggregate(own, F.lit(0.0), lambda t, s: t + s["seconds"])
+
+
 def pack_chunks(sentences: Column, target: float = 10.0, cap: float = 12.0) -> Column:
     """Greedy packing of array<struct(text, seconds, is_end)>: array<struct(text, seconds, indices, is_end)>.
 
     A sentence joins while the sum stays within the larger of ``target`` and ``cap``; a
-    paragraph's end closes a chunk of at least 0.3 * target.
+    paragraph's end closes a chunk of at least 0.3 * target.  Give it a column: an expression
+    would be computed once for the fold and once for the texts.
     """
-    kind = "array<struct<text:string,seconds:double,indices:array<int>,is_end:boolean>>"
-    state = F.struct(F.array().cast(kind).alias("out"), F.lit("").alias("t"), F.lit(0.0).alias("d"), F.array().cast("array<int>").alias("i"), F.lit(False).alias("e"))
-    made = lambda t, d, i, e: F.array(F.struct(t.alias("text"), d.alias("seconds"), i.alias("indices"), e.alias("is_end")))
-    numbered = F.transform(sentences, lambda s, i: F.struct(s["text"].alias("text"), s["seconds"].alias("seconds"), s["is_end"].alias("is_end"), i.alias("at")))
-
-    def step(s: Column, x: Column) -> Column:
-        bare = F.size(s["i"]) == 0
-        fits = ~bare & (s["d"] + x["seconds"] <= max(target, cap))
-        out = F.when(bare | fits, s["out"]).otherwise(F.concat(s["out"], made(s["t"], s["d"], s["i"], s["e"])))
-        t = F.when(fits, F.concat(s["t"], F.lit(" "), x["text"])).otherwise(x["text"])
-        d = F.when(fits, s["d"] + x["seconds"]).otherwise(x["seconds"])
-        i = F.when(fits, F.concat(s["i"], F.array(x["at"]))).otherwise(F.array(x["at"]))
-        flush = x["is_end"] & (d >= target * 0.3)
-        return F.struct(
-            F.when(flush, F.concat(out, made(t, d, i, F.lit(True)))).otherwise(out).alias("out"), F.when(flush, F.lit("")).otherwise(t).alias("t"),
-            F.when(flush, F.lit(0.0)).otherwise(d).alias("d"), F.when(flush, F.array().cast("array<int>")).otherwise(i).alias("i"), x["is_end"].alias("e"),
-        )
-
-    return F.aggregate(numbered, state, step, lambda s: F.when(F.size(s["i"]) > 0, F.concat(s["out"], made(s["t"], s["d"], s["i"], s["e"]))).otherwise(s["out"]))
+    runs = _runs(sentences, folds.pack_numbers(sentences, max(target, cap), target * 0.3))
+    text = lambda own: F.array_join(F.transform(own, lambda s: s["text"]), " ")
+    return F.transform(runs, lambda r: F.struct(text(r["own"]).alias("text"), _seconds(r["own"]).alias("seconds"), F.sequence(r["at"], r["at"] + F.size(r["own"]) - 1).alias("indices"), F.element_at(r["own"], -1)["is_end"].alias("is_end")))
 
 
 def split_oversize(chunks: Column, cap: float = 12.0, rate: float = 2.5) -> Column:
     """Chunks over 1.2 * cap are cut at clauses and packed again up to ``cap``; the last keeps the flag."""
-    kind = "array<struct<text:string,seconds:double,indices:array<int>,is_end:boolean>>"
-
-    def one(c: Column) -> Column:
-        parts = X._pieces(c["text"], r"(?<=[,;:—\-])\s+")
-        state = F.struct(F.array().cast(kind).alias("out"), F.lit("").alias("t"), F.lit(0.0).alias("d"))
-
-        def step(s: Column, p: Column) -> Column:
-            d = X.duration(p, rate)
-            full = (s["t"] != "") & (s["d"] + d > cap)
-            flushed = F.concat(s["out"], F.array(F.struct(s["t"].alias("text"), s["d"].alias("seconds"), c["indices"].alias("indices"), F.lit(False).alias("is_end"))))
-            return F.struct(F.when(full, flushed).otherwise(s["out"]).alias("out"), F.when(full | (s["t"] == ""), p).otherwise(F.concat(s["t"], F.lit(" "), p)).alias("t"), F.when(full, d).otherwise(s["d"] + d).alias("d"))
+    timed = lambda t: F.transform(X._pieces(t, r"(?<=[,;:—\-])\s+"), lambda p: F.struct(p.alias("text"), X.duration(p, rate).alias("seconds")))
+    parts = F.transform(chunks, lambda c: F.when(c["seconds"] > cap * 1.2, timed(c["text"])).otherwise(F.array().cast("array<struct<text:string,seconds:double>>")))
+    numbers = folds.part_numbers(F.transform(parts, lambda ps: F.transform(ps, lambda p: p["seconds"])), cap)
 
-        done = F.aggregate(parts, state, step, lambda s: F.concat(s["out"], F.array(F.struct(s["t"].alias("text"), s["d"].alias("seconds"), c["indices"].alias("indices"), c["is_end"].alias("is_end")))))
-        return F.when((c["seconds"] > cap * 1.2) & (F.size(parts) > 1), done).otherwise(F.array(c))
+    def one(c: Column, ps: Column, ns: Column) -> Column:
+        made = lambda r, k, n: F.struct(F.array_join(F.transform(r["own"], lambda p: p["text"]), " ").alias("text"), _seconds(r["own"]).alias("seconds"), c["indices"].alias("indices"), (c["is_end"] & (k == n - 1)).alias("is_end"))
+        return F.when(F.size(ps) > 1, let(_runs(ps, ns), lambda runs: F.transform(runs, lambda r, k: made(r, k, F.size(runs))))).otherwise(F.array(c))
 
-    return F.flatten(F.transform(chunks, one))
+    cut = F.zip_with(F.zip_with(chunks, parts, lambda c, ps: F.struct(c.alias("c"), ps.alias("ps"))), numbers, lambda x, ns: one(x["c"], x["ps"], ns))
+    return F.flatten(cut)
 
 
 def chunk_sentences(text: Column, rate: float = 2.5, delimiter: str = r"\n\n+") -> Column:
@@ -182,28 +194,10 @@ def group_segments(sentences: Column, soft: int = 80, slack: int = 30, most: int
     ``soft`` words end a segment.  The first change of emotion or emphasis in narration is
     absorbed while the words stay within soft + slack; an absorbed sentence skips other checks.
     """
-    state = F.struct(
-        F.array().cast("array<int>").alias("out"), F.lit(0).alias("g"), F.lit(0).alias("n"), F.lit(0).alias("words"), F.lit(False).alias("absorbed"),
-        F.lit(None).cast("boolean").alias("dlg"), F.lit("").alias("who"), F.lit("").alias("emo"), F.lit("").alias("emp"),
-    )
-
-    def step(s: Column, x: Column) -> Column:
-        first = s["dlg"].isNull()
-        turn = (s["emo"] != x["emotion"]) | (s["emp"] != x["emphasis"])
-        absorb = ~first & ~x["is_dialogue"] & ~s["dlg"] & turn & ~s["absorbed"] & (s["words"] + x["words"] <= soft + slack)
-        size = x["starts"] | (s["n"] >= most) | (s["words"] + x["words"] > soft)
-        narration = F.when(turn, ~absorb).otherwise(size)
-        cut = F.when(first, F.lit(False)).when(s["dlg"] != x["is_dialogue"], F.lit(True)).when(x["is_dialogue"], s["who"] != x["speaker"]).otherwise(narration)
-        g = s["g"] + F.when(cut, 1).otherwise(0)
-        return F.struct(
-            F.concat(s["out"], F.array(g)).alias("out"), g.alias("g"), F.when(cut, F.lit(1)).otherwise(s["n"] + 1).alias("n"),
-            F.when(cut, x["words"]).otherwise(s["words"] + x["words"]).alias("words"), F.when(cut, F.lit(False)).otherwise(s["absorbed"] | absorb).alias("absorbed"),
-            x["is_dialogue"].alias("dlg"), x["speaker"].alias("who"), x["emotion"].alias("emo"), x["emphasis"].alias("emp"),
-        )
-
-    return F.aggregate(sentences, state, step, lambda s: s["out"])
+    return folds.segment_numbers(sentences, soft, slack, most)
 
 
+# Where a legacy dialogue's speaker is named, after a quote and before it.
 LEGACY_AFTER = (r"(?i)[,.]?\s*said\s+(\w+)", r"(?i)[,.]?\s*(\w+)\s+said", rf"(?i)[,.]?\s*(\w+)\s+(?:{'|'.join(vocab.SHORT_VERBS)})", rf"(?i)[,.]?\s*(?:{'|'.join(vocab.SHORT_VERBS)})\s+(\w+)")
 LEGACY_BEFORE = (r"(?i)(\w+)\s+said[,:]?\s*$", rf"(?i)(\w+)\s+(?:{'|'.join(vocab.SHORT_VERBS)})[,:]?\s*$")
 

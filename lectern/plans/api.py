@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import tables as T
 from ..operators.backends import synthesise
-from ..operators.chapters import chunk_sentences, pack_chunks
+from ..operators.chapters import chunk_sentences, exploded, pack_chunks
 
 Db = Mapping[str, DataFrame]
 
@@ -118,7 +118,8 @@ def segment_audio(db: Db, segment_id: int) -> DataFrame:
 
 def preview_segment(db: Db, segment_id: int, load=None) -> DataFrame:
     """Chunks of one segment with their sound."""
-    rows = T.lookup(db["segments"], "id", segment_id).select("id", F.posexplode(pack_chunks(chunk_sentences(F.col("text")))).alias("chunk", "c"))
+    timed = T.lookup(db["segments"], "id", segment_id).select("id", chunk_sentences(F.col("text")).alias("s"))
+    rows = exploded(timed, "id", pack_chunks(F.col("s")), "chunk", "c")
     return synthesise(rows.select("id", "chunk", F.col("c.text").alias("text"), F.lit("Ryan").alias("voice"), (F.lit(42) + F.col("chunk")).alias("seed")), "text", "voice", "seed", load)
 
 

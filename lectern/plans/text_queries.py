@@ -125,7 +125,8 @@ def _(events):
 
 
 def _packed(docs):
-    return docs.select("doc_id", C.pack_chunks(C.chunk_sentences(F.col("text"), delimiter=LINES), 10.0, 12.0).alias("c"))
+    timed = docs.select("doc_id", C.chunk_sentences(F.col("text"), delimiter=LINES).alias("s"))
+    return timed.select("doc_id", C.pack_chunks(F.col("s"), 10.0, 12.0).alias("c"))
 
 
 _T16 = f"""
@@ -146,13 +147,13 @@ from f join s on s.doc_id = f.doc_id and s.i = f.i group by f.doc_id, chunk
 
 @query("t16_greedy_chunks", "documents", sql=_T16)
 def _(docs):
-    out = _packed(docs).select("doc_id", F.posexplode("c").alias("chunk", "c"))
+    out = C.exploded(_packed(docs), "doc_id", F.col("c"), "chunk", "c")
     return out.select("doc_id", "chunk", "c.text", F.round("c.seconds", 6).alias("seconds"), F.size("c.indices").alias("n"), "c.is_end")
 
 
 @query("t17_oversize_split", "documents")
 def _(docs):
-    split = _packed(docs).select("doc_id", F.posexplode(C.split_oversize(F.col("c"), 12.0)).alias("chunk", "c"))
+    split = C.exploded(_packed(docs), "doc_id", C.split_oversize(F.col("c"), 12.0), "chunk", "c")
     return split.select("doc_id", "chunk", "c.text", F.round("c.seconds", 6).alias("seconds"), "c.indices", "c.is_end")
 
 
@@ -232,11 +233,12 @@ select doc_id, i::int as "index", g::int as segment from f
 
 @query("t23_segments", "documents", sql=_T23)
 def _(docs):
-    rows = C.sentence_records(docs, "doc_id", delimiter=LINES)
-    soft = F.when(F.col("text").rlike(r"(?i)\b(?:with|was)\b"), "soft").otherwise("normal")
-    told = F.struct("index", X.word_count(F.col("text")).alias("words"), "is_dialogue", F.lit("Narrator").alias("speaker"), X.emotion(F.col("text"), EMOTIONS).alias("emotion"), soft.alias("emphasis"), F.col("is_paragraph_start").alias("starts"))
-    by_doc = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(told)).alias("s"))
-    return by_doc.select("doc_id", F.posexplode(C.group_segments(F.col("s"))).alias("index", "segment"))
+    def told(s):
+        soft = F.when(s["text"].rlike(r"(?i)\b(?:with|was)\b"), "soft").otherwise("normal")
+        return F.struct(X.word_count(s["text"]).alias("words"), s["is_dialogue"].alias("is_dialogue"), F.lit("Narrator").alias("speaker"), X.emotion(s["text"], EMOTIONS).alias("emotion"), soft.alias("emphasis"), s["is_paragraph_start"].alias("starts"))
+
+    by_doc = docs.select("doc_id", F.transform(C.sentence_array(F.col("text"), LINES), told).alias("s"))
+    return C.exploded(by_doc, "doc_id", C.group_segments(F.col("s")), "index", "segment")
 
 
 _PHRASE = lambda key, table: "case " + " ".join(f"when {key} = '{k}' then '{v}'" for k, v in table.items() if v) + " end"
@@ -338,7 +340,7 @@ _HEAD = (r"(?m)^[A-ZÀ-Ý][a-zà-ÿ]+ [a-zà-ÿ]+\b", r"(?m)^[A-ZÀ-Ý][a-zà-ÿ
 
 @query("a3_chapter_boundaries", "documents")
 def _(docs):
-    return C.headings(docs, "doc_id", patterns=_HEAD).select("doc_id", F.explode(C.keep_apart(F.col("found"))).alias("h")).select("doc_id", "h.start", "h.title")
+    return C.exploded(C.headings(docs, "doc_id", patterns=_HEAD), "doc_id", C.keep_apart(F.col("found")), "at", "h").select("doc_id", "h.start", "h.title")
 
 
 @query(
@@ -349,7 +351,7 @@ def _(docs):
 )
 def _(events):
     by = events.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct(F.col("event_id").alias("start")))).alias("found"))
-    return by.select("user_id", F.explode(C.keep_apart(F.col("found"))).alias("h")).select("user_id", "h.start")
+    return C.exploded(by, "user_id", C.keep_apart(F.col("found")), "at", "h").select("user_id", "h.start")
 
 
 @query("a4_chapter_slices", "documents")
