@@ -10,9 +10,11 @@ A shard holds, in ascending doc_id order:
   compressed size, decompressed size and checksum (low 32 bits of XXH64) of every frame
   and a footer, so a reader finds any document from the end of the file.
 
-Any zstandard decoder reads a shard as one stream.  Executors encode and compress before
-the one shuffle, by ranges of doc_id; shards are written by Spark's own writer and commit
-protocol, so a lost task is run again and leaves nothing behind.
+Any zstandard decoder reads a shard as one stream.  Texts are shuffled once, by ranges of
+(doc_id, text, row), so a doc_id of a third of all rows is in many ranges too.  A task encodes
+its sorted rows as a stream and closes a shard at a bound of bytes, so its memory does not
+depend on the size of its range.  Each shard is one file of Spark's own writer and commit
+protocol, so a lost task is run again and leaves nothing behind; file names ascend with doc_id.
 """
 
 from __future__ import annotations
@@ -41,7 +43,10 @@ INDEX_FRAME, SEEK_FRAME, SEEK_MAGIC, INDEX_MAGIC = 0x184D2A5C, 0x184D2A5E, 0x8F9
 REMEMBERED = 2_000_000
 #: chunks that the library encodes at once
 ENCODED_AT_ONCE = 2048
+#: a shard is closed when its frames reach this
 SHARD_BYTES = 32 << 20
+#: text of one range of documents; beyond MOST_RANGES ranges grow instead, with more shards in each
+RANGE_BYTES, MOST_RANGES = 32 << 20, 50_000
 
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -180,17 +185,24 @@ class ChunkIds:
         return [next(rest) if whole[i] else ids[edge[i] : edge[i + 1]] for i in range(len(at) - 1)]
 
 
+@lru_cache(maxsize=1)
+def _chunk_ids(path: str) -> ChunkIds:
+    """One for a worker: what it remembers serves all tasks that the worker runs."""
+    return ChunkIds(path)
+
+
 class ShardWriter:
     """Builds the bytes of one shard from frames in order."""
 
     def __init__(self, width: int):
-        self.width, self.frames, self.table, self.ids, self.counts = width, [], [], [], []
+        self.width, self.frames, self.table, self.ids, self.counts, self.n_bytes = width, [], [], [], [], 0
 
     def add(self, doc_id: int | None, n_tokens: int, checksum: int, frame: bytes) -> None:
         self.frames.append(frame)
         self.table.append(struct.pack("<III", len(frame), n_tokens * self.width, checksum))
         self.ids.append(doc_id)
         self.counts.append(n_tokens)
+        self.n_bytes += len(frame)
 
     def content(self) -> bytes:
         known = bytes(i is not None for i in self.ids)
@@ -202,17 +214,23 @@ class ShardWriter:
 
 
 class ShardReader:
-    """Random access to the documents of one shard; only frames asked for are decompressed."""
+    """Random access to the documents of one shard: its bytes, or an open file that can seek.
+
+    Of a file, the footer, the seek table, the index and the frames asked for are read, and
+    nothing else; only frames asked for are decompressed.
+    """
 
-    def __init__(self, content: bytes):
-        self.content = memoryview(content)
-        n, _, magic = struct.unpack("<IBI", self.content[-9:])
+    def __init__(self, shard):
+        self.file = shard if hasattr(shard, "seek") else pa.BufferReader(shard)
+        size = self.file.seek(0, os.SEEK_END)
+        n, _, magic = struct.unpack("<IBI", self._read(size - 9, 9))
         if magic != SEEK_MAGIC:
             raise ValueError("no seek table")
-        table = np.frombuffer(self.content[len(content) - 9 - 12 * n : len(content) - 9], "<u4").reshape(n, 3)
+        table = np.frombuffer(self._read(size - 9 - 12 * n, 12 * n), "<u4").reshape(n, 3)
         ends = np.cumsum(table[:, 0], dtype=np.int64)
-        index = self.content[ends[-2] + 8 if n > 1 else 8 : ends[-1]]
-        if bytes(index[:4]) != INDEX_MAGIC:
+        start = int(ends[-2]) + 8 if n > 1 else 8
+        index = self._read(start, int(ends[-1]) - start)
+        if index[:4] != INDEX_MAGIC:
             raise ValueError("no index")
         self.width, count = struct.unpack("<IQ", index[4:16])
         known = np.frombuffer(index[16 + 8 * count : 16 + 9 * count], np.uint8)
@@ -220,89 +238,64 @@ class ShardReader:
         self.n_tokens = np.frombuffer(index[16 + 9 * count :], "<i8")
         self.ends, self.table, self.reader = ends, table, zstandard.ZstdDecompressor()
 
+    def _read(self, start: int, n: int) -> bytes:
+        self.file.seek(start)
+        return self.file.read(n)
+
     def __len__(self) -> int:
         return len(self.doc_ids)
 
     def ids(self, i: int) -> np.ndarray:
         """Ids of the i-th document, after a check of its checksum."""
         start = self.ends[i - 1] if i else 0
-        raw = self.reader.decompress(self.content[start : self.ends[i]], max_output_size=int(self.table[i, 1]))
+        raw = self.reader.decompress(self._read(int(start), int(self.ends[i] - start)), max_output_size=int(self.table[i, 1]))
         if xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF != self.table[i, 2]:
             raise ValueError(f"checksum of document {i}")
         return np.frombuffer(raw, f"<u{self.width}")
 
 
-def encode_documents(documents: DataFrame, tokenizer_path: str, end_id: int, bounds: np.ndarray) -> DataFrame:
-    """shard, doc_id, n_tokens, checksum, frame of each row; a null text is an empty text.
+def _ranges(documents: DataFrame) -> int:
+    """Ranges of documents to write: enough for all cores, RANGE_BYTES of text each, MOST_RANGES at most."""
+    total = documents.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, min(MOST_RANGES, -(-total // RANGE_BYTES)), min(documents.sparkSession.sparkContext.defaultParallelism, total >> 20))
+
 
-    ``bounds``: the first doc_id of each shard but the first; a null doc_id is in the first.
+def write_token_files(documents: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, shard_bytes: int = SHARD_BYTES, ranges: int | None = None) -> None:
+    """Write the shards of ``documents`` as files below ``path`` (any file system that Spark writes).
+
+    Files by name, and documents in a file, ascend by doc_id, nulls first; rows that repeat a
+    doc_id are all written, ordered by a hash of their texts.  A shard holds ``shard_bytes`` of
+    frames and what its last document has beyond.  A null text is an empty text.  An empty
+    table writes no shard.
     """
+    place = [F.col("doc_id").asc_nulls_first(), F.col("_text_hash"), F.col("_row")]
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("_text_hash"), F.monotonically_increasing_id().alias("_row"))
+    ordered = rows.repartitionByRange(ranges or _ranges(documents), *place).sortWithinPartitions(*place).select("doc_id", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        chunk_ids = ChunkIds(tokenizer_path)
+        chunk_ids = _chunk_ids(tokenizer_path)
         end = np.array([end_id], chunk_ids.kind)
         packer = zstandard.ZstdCompressor(level=1, write_checksum=True)
+        writer = ShardWriter(chunk_ids.width)
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([writer.content()[:-1]], pa.binary())], ["content"])
         for batch in batches:
-            n, sums, frames = [], [], []
             data, offsets, _ = texts_of(batch["text"])
+            doc_ids = batch["doc_id"].to_pylist()
             for i, j in slices(offsets, 1 << 20):
-                for ids in chunk_ids.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
+                for doc_id, ids in zip(doc_ids[i:j], chunk_ids.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), strict=True):
                     raw = np.append(ids, end).tobytes()
-                    n.append(len(raw) // chunk_ids.width)
-                    sums.append(xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF)
-                    frames.append(packer.compress(raw))
-            shard = np.searchsorted(bounds, batch["doc_id"].fill_null(-(2**63)).to_numpy(), side="right")
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), batch["doc_id"], pa.array(n, pa.int64()), pa.array(sums, pa.int64()), pa.array(frames, pa.binary())], ["shard", "doc_id", "n_tokens", "checksum", "frame"])
-
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "shard int, doc_id long, n_tokens long, checksum long, frame binary")
-
-
-def _bounds(documents: DataFrame, shards: int) -> np.ndarray:
-    """First doc_id of each shard but the first, from quantiles of all doc_ids; one number for each shard."""
-    if shards < 2:
-        return np.zeros(0, np.int64)
-    cuts = [i / shards for i in range(1, shards)]
-    found = documents.select(F.percentile_approx(F.col("doc_id").cast("long"), cuts, 10_000)).first()[0]
-    return np.unique(np.array(found or [], np.int64))
-
-
-def write_token_files(documents: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, shards: int | None = None) -> None:
-    """Write the shards of ``documents`` below ``path`` (any file system that Spark writes).
-
-    Shard numbers and documents in a shard ascend by doc_id, nulls first; rows that repeat a
-    doc_id are all written, ordered by their ids' bytes.  ``shards``: by default one for each
-    32 MB of UTF-8 text.  An empty table writes no shard.
-    """
-    width = 2 if _tokenizer(tokenizer_path).get_vocab_size() <= 1 << 16 else 4
-    if shards is None:
-        total = documents.select(F.sum(F.octet_length("text"))).first()[0] or 0
-        shards = max(1, -(-total // SHARD_BYTES), min(12, total >> 20))
-    bounds = _bounds(documents, shards)
-    encoded = encode_documents(documents, tokenizer_path, end_id, bounds)
-    ordered = encoded.repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "frame")
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, writer = None, None
-
-        def done() -> pa.RecordBatch:
-            content = writer.content()
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([content[:-1]], pa.binary())], ["shard", "content"])
-
-        for batch in batches:
-            for row in zip(*(batch[c].to_pylist() for c in ("shard", "doc_id", "n_tokens", "checksum", "frame")), strict=True):
-                if row[0] != now:
-                    if writer:
+                    writer.add(doc_id, len(raw) // chunk_ids.width, xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF, packer.compress(raw))
+                    if writer.n_bytes >= shard_bytes:
                         yield done()
-                    now, writer = row[0], ShardWriter(width)
-                writer.add(*row[1:])
-        if writer:
+                        writer = ShardWriter(chunk_ids.width)
+        if writer.ids:
             yield done()
 
-    # A text row is its bytes and the separator: here the last byte of the seek table's magic number.
+    # A text row is its bytes and the separator: here the last byte of the seek table's magic number.  One row a file.
     last = struct.pack("<I", SEEK_MAGIC)[-1:].decode("latin-1")
-    blobs = ordered.mapInArrow(build, "shard int, content binary").select("shard", F.expr("cast(content as string)").alias("value"))
-    blobs.write.partitionBy("shard").option("encoding", "ISO-8859-1").option("lineSep", last).text(path)
+    blobs = ordered.mapInArrow(build, "content binary").select(F.expr("cast(content as string)").alias("value"))
+    blobs.write.option("encoding", "ISO-8859-1").option("lineSep", last).option("maxRecordsPerFile", 1).text(path)
 
 
 def read_token_files(spark, path: str) -> DataFrame:
@@ -314,10 +307,11 @@ def read_token_files(spark, path: str) -> DataFrame:
                 shard_file = ShardReader(content.as_buffer())
                 n = len(shard_file)
                 sums = [crc32(shard_file.ids(i).astype("<u4").tobytes()) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int32()), pa.array(range(n), pa.int64()), pa.array(shard_file.doc_ids, pa.int64()), pa.array(shard_file.n_tokens, pa.int64()), pa.array(sums, pa.int64())], ["shard", "at", "doc_id", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(shard_file.doc_ids, pa.int64()), pa.array(shard_file.n_tokens, pa.int64()), pa.array(sums, pa.int64())], ["shard", "at", "doc_id", "n_tokens", "ids_crc32"])
 
-    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary, shard int").load(path)
-    return files.select("shard", "content").mapInArrow(run, "shard int, at long, doc_id long, n_tokens long, ids_crc32 long")
+    files = spark.read.format("binaryFile").load(path).where("length > 0")
+    number = lambda i: F.regexp_extract("path", r"part-(\d+)-[^/]*-c(\d+)[^/]*$", i).cast("long")
+    return files.select((F.shiftleft(number(1), 32) + number(2)).alias("shard"), "content").mapInArrow(run, "shard long, at long, doc_id long, n_tokens long, ids_crc32 long")
 
 
 def token_files(documents: DataFrame, tokenizer_path: str, end_id: int = 0, path: str | None = None) -> DataFrame:
@@ -325,16 +319,12 @@ def token_files(documents: DataFrame, tokenizer_path: str, end_id: int = 0, path
 
     start is the number of ids of all documents before, in doc_id order (nulls first).  A null
     text is an empty text: only the end id.  Rows that repeat a doc_id are documents of their
-    own, in the order of their frames; other columns are not read; an empty table gives an
+    own, in the order of a hash of their texts; other columns are not read; an empty table gives an
     empty table.  ``path``: where the shards stay; by default a new folder in the shared one.
     """
     spark = documents.sparkSession
     path = path or scratch_dir(spark)
     write_token_files(documents, path, tokenizer_path, end_id)
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    shards = [f for f in hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(hadoop_path) if f.isDirectory()]
-    if not shards:
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     found = materialise(read_token_files(spark, path))
     totals = found.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
     before = totals.select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("base"))
