@@ -7,10 +7,11 @@ the constraints, so that the words and the documents taken from a source stay at
 expected totals, until all are 0 or 1 but for two for each block: the landing problem.
 
 Blocks of a bounded number of documents fly apart from each other; what is left of each
-meets in new blocks, until one block of a source is left and lands.  A hot source is only
-more blocks.  The landing rounds the last units and then, while words are missing or too many
-by more than a small share, turns the choice of the documents whose sizes fit best: a source
-of few documents of very different sizes has no other way to come near its target.
+meets in new blocks, until one block of a source is left.  That block keeps LANDING units of
+spread sizes back; the rest flies, and the landing problem (these and the two units that the
+flight leaves) is solved exactly: of all its subsets the one that misses the words least, or,
+of those within NEAR of them, the one that misses the number of documents least.  Only the
+landing's units give up their probabilities.  A hot source is only more blocks.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ from .scratch import materialise
 
 BLOCK = 2048
 _EPS = 1e-9
-#: share of the expected words by which a landing may miss them before documents are turned
-NEAR = 0.002
+#: units that the last block of a source keeps back for its landing
+LANDING = 14
+#: share of the expected words by which a landing may miss them in favour of the number of documents
+NEAR = 0.0005
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -57,22 +60,40 @@ def _null_vector(sizes: list[float]) -> list[float] | None:
     return None
 
 
-def fly(sizes: list[float], p: list[float], rng: random.Random, land: bool) -> list[float]:
-    """Probabilities after the flight through one block (and its landing), in the given order.
+def _kept_back(sizes: list[float], active: list[int]) -> list[int]:
+    """Units for the landing: evenly spread over the sizes, the largest and the smallest among them."""
+    order = sorted(active, key=lambda i: (-sizes[i], i))
+    if len(order) <= LANDING:
+        return order
+    return [order[round(k * (len(order) - 1) / (LANDING - 1))] for k in range(LANDING)]
 
-    Without a landing at most two stay between 0 and 1.  The landing first gives up the
-    number of documents and keeps the words, then rounds one unit by its probability.
+
+def land(sizes: list[float], p: list[float], expected: float) -> list[float]:
+    """0 or 1 for each unit of a small landing problem: the subset nearest to the expected words and documents.
+
+    ``expected``: the words that the whole source is to take of fractional units.
     """
-    start, p = p, list(p)
-    active: list[int] = []
-    waiting = iter(i for i in range(len(p)) if _EPS <= p[i] <= 1 - _EPS)
+    words, docs = np.zeros(1), np.zeros(1)
+    for s in sizes:
+        words, docs = np.concatenate([words, words + s]), np.concatenate([docs, docs + 1])
+    off = np.abs(words - float(np.dot(sizes, p)))
+    near = off <= max(off.min(), NEAR * expected)
+    miss = np.where(near, np.abs(docs - sum(p)), np.inf)
+    best = min(np.flatnonzero(miss == miss.min()).tolist(), key=lambda k: (off[k], k))
+    return [float(best >> i & 1) for i in range(len(sizes))]
 
-    def advance(i: list[int], u: list[float]) -> None:
-        own = [p[k] for k in i]
-        _move(own, u, rng)
-        for k, x in zip(i, own, strict=True):
-            p[k] = x
 
+def fly(sizes: list[float], p: list[float], rng: random.Random, last: bool) -> list[float]:
+    """Probabilities after the flight through one block, in the given order; the ``last`` block of a source lands too.
+
+    Without a landing at most two stay between 0 and 1.
+    """
+    p = [0.0 if x < _EPS else 1.0 if x > 1 - _EPS else x for x in p]
+    expected = sum(s * x for s, x in zip(sizes, p, strict=True))
+    back = _kept_back(sizes, [i for i, x in enumerate(p) if 0.0 < x < 1.0]) if last else []
+    held = set(back)
+    active: list[int] = []
+    waiting = iter(i for i, x in enumerate(p) if 0.0 < x < 1.0 and i not in held)
     while True:
         active = [i for i in active if 0.0 < p[i] < 1.0]
         while len(active) < 3 and (i := next(waiting, None)) is not None:
@@ -80,39 +101,30 @@ def fly(sizes: list[float], p: list[float], rng: random.Random, land: bool) -> l
         u = _null_vector([sizes[i] for i in active])
         if u is None:
             break
-        advance(active, u)
-    if land:
-        while len(active) > 1:
-            i, j = active[:2]
-            advance([i, j], [sizes[j], -sizes[i]] if sizes[i] or sizes[j] else [1.0, -1.0])
-            active = [k for k in active if 0.0 < p[k] < 1.0]
-        for i in active:
-            p[i] = float(rng.random() < p[i])
-        _repair(sizes, start, p)
+        own = [p[i] for i in active]
+        _move(own, u, rng)
+        for i, x in zip(active, own, strict=True):
+            p[i] = x
+    if last:
+        rest = [*active, *back]
+        for i, x in zip(rest, land([sizes[i] for i in rest], [p[i] for i in rest], expected), strict=True):
+            p[i] = x
     return p
 
 
-def _repair(sizes: list[float], start: list[float], p: list[float]) -> None:
-    """Turn single documents, or pairs, that bring the words nearest to their expected sum."""
-    free = [i for i, x in enumerate(start) if _EPS <= x <= 1 - _EPS and sizes[i]]
-    missing = sum(s * (a - b) for s, a, b in zip(sizes, start, p, strict=True))
-    enough = NEAR * sum(s * a for s, a in zip(sizes, start, strict=True))
-    for _ in range(len(free) and 64):
-        if abs(missing) <= enough:
-            break
-        change = np.array([sizes[i] * (1 - 2 * p[i]) for i in free])
-        left = np.abs(missing - change)
-        turn, best = [int(np.argmin(left))], float(left.min())
-        if len(free) <= 256:
-            pairs = np.abs(missing - change[:, None] - change[None, :])
-            np.fill_diagonal(pairs, np.inf)
-            if pairs.min() < 0.5 * best:
-                turn, best = [int(k) for k in np.unravel_index(np.argmin(pairs), pairs.shape)], float(pairs.min())
-        if best >= abs(missing):
-            break
-        for k in turn:
-            missing -= change[k]
-            p[free[k]] = 1 - p[free[k]]
+def _running(rows: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """``rows`` with _nth (from 0, in ``order``) and, for each out -> column, the sum of the rows before.
+
+    Rows are ranged and summed within ranges; what meets in one task is a row for each range.
+    """
+    ranged = materialise(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy("_part").agg(F.count("*").alias("_n"), *(F.sum(c).alias(f"_{o}") for o, c in sums.items()))
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(F.col("_part").alias("_p"), *(F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"_before{c}") for c in ("_n", *(f"_{o}" for o in sums))))
+    both = ranged.join(offsets, F.col("_part") == F.col("_p"))
+    upto = lambda c, o: (F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_before_{o}")).alias(o)
+    return both.select(*rows.columns, (F.count(F.lit(1)).over(inside) + F.col("_before_n")).alias("_nth"), *(upto(c, o) for o, c in sums.items()))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -120,16 +132,16 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
 
     What a capped source cannot take is shared again by weight, until none is above: targets
     are min(cap, level * weight) for the one level at which they sum to the whole.  Works on
-    one row for each source.
+    one row for each source; ranks and running sums go by ranges, so sources may be many.
     """
-    w = F.element_at(F.array(*map(F.lit, map(float, weights))), ((F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights) + 1).cast("int"))
-    rows = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("weight", w).withColumn("cap", most * F.col("source_size"))
-    by_cap = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    rows = rows.withColumn("order", F.row_number().over(by_cap)).withColumn("capped", F.sum("cap").over(by_cap) - F.col("cap")).withColumn("open", F.sum("weight").over(by_cap.rowsBetween(0, Window.unboundedFollowing)))
-    everything = Window.partitionBy()
-    rows = rows.withColumn("level", (share * F.sum("source_size").over(everything) - F.col("capped")) / F.col("open"))
-    level = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct("order", "level"))).over(everything)["level"]
-    return rows.select("source", "source_size", F.coalesce(F.least("cap", level * F.col("weight")), "cap").alias("target"))
+    by_source = materialise(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("_nth") % len(weights) + 1).cast("int"))
+    rows = _running(by_source, [F.col("source").asc_nulls_last()], {}).select("source", "source_size", weight.alias("weight"), (most * F.col("source_size")).alias("cap"))
+    totals = rows.agg(F.sum("weight").alias("all_weights"), (share * F.sum("source_size")).alias("whole"))
+    by_cap = _running(rows, [F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()], {"capped": "cap", "passed": "weight"}).crossJoin(F.broadcast(totals))
+    # the first source, by cap / weight, that its share of what is left does not fill: its level holds for it and all after it
+    level = by_cap.withColumn("level", (F.col("whole") - F.col("capped")) / (F.col("all_weights") - F.col("passed"))).where(F.col("level") * F.col("weight") <= F.col("cap")).agg(F.min_by("level", "_nth").alias("level"))
+    return rows.crossJoin(F.broadcast(level)).select("source", "source_size", F.coalesce(F.least("cap", F.col("level") * F.col("weight")), "cap").alias("target"))
 
 
 def mix_sources(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
@@ -139,7 +151,9 @@ def mix_sources(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sh
     ``most`` rounded up; taken = size * copies.  A null source is a source of its own, last in
     order; a null doc_id is allowed.  Rows that repeat a doc_id are units of their own.  Units
     in a block are ordered by size and doc_id, so reruns agree; equal units are
-    interchangeable.  An empty table gives an empty table; other columns are not read.
+    interchangeable.  A source's taken words miss its target by what the landing could not
+    place: next to nothing where it has documents of many sizes, up to half of its smallest
+    document where it has few.  An empty table gives an empty table; other columns are not read.
     """
     sizes = materialise(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_of("text").alias("size")))
     targets = materialise(source_targets(sizes, weights, share, most))
@@ -151,8 +165,8 @@ def mix_sources(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sh
         part = part.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", na_position="first")
         name = part["source"].iloc[0]
         key = f"{seed}|{part['level'].iloc[0]}|{part['block'].iloc[0]}|{'' if name is None else 's' + str(name)}"
-        land = part["blocks"].iloc[0] == 1
-        part["p"] = fly(part["size"].astype(float).tolist(), part["p"].tolist(), random.Random(zlib.crc32(key.encode())), land)
+        last = part["blocks"].iloc[0] == 1
+        part["p"] = fly(part["size"].astype(float).tolist(), part["p"].tolist(), random.Random(zlib.crc32(key.encode())), last)
         return part.drop(columns=["level", "block", "blocks"])
 
     settled, level = [], 0
