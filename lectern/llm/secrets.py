@@ -9,7 +9,8 @@ random are live-looking credentials.  Only
 live-looking proposals become added spans; base spans get a verdict beside them.
 
 Counting goes in two steps, each combined before its shuffle: distinct (hash, owner,
-repository), then one row for each hash.  A value in a third of all documents is a few rows.
+repository), then one row for each hash.  A value in a third of all documents is a few rows,
+and its spans meet its verdict in SALTS tasks.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -35,6 +36,8 @@ WIDELY = 3
 SPREAD = 2 * WIDELY
 #: bits a character, over the value's own characters, from which it looks random
 RANDOM_BITS = 3.0
+#: tasks among which the spans of one copied value are dealt
+SALTS = 32
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile("AKIA[A-Z0-9]+")
@@ -43,6 +46,8 @@ _MARK = re.compile(r"-----(BEGIN|END) [A-Z ]*PRIVATE KEY-----")
 _URL = re.compile(r"://[^\s:/@]+:([^\s:/@]{6,})@")
 _SCHEME = "abcdefghijklmnopqrstuvwxyz0123456789+.-"
 _FIRST = re.compile(r"\b[a-z](?=[a-z0-9+.-])")
+_TOKEN_RUN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++)++")
+_JSON_START = re.compile(r"\beyJ")
 
 
 def _blocks(text: str) -> Iterator[tuple[int, int, str]]:
@@ -69,6 +74,21 @@ def _urls(text: str) -> Iterator[tuple[int, int, str]]:
         last = m.end()
 
 
+def _web_tokens(text: str) -> Iterator[tuple[int, int, str]]:
+    """Three parts of ten characters or more between points, the first from eyJ on; each part is looked at once."""
+    for run in _TOKEN_RUN.finditer(text):
+        parts = run.group().split(".")
+        at, i = run.start(), 0
+        while i < len(parts) - 2:
+            begin = _JSON_START.search(parts[i])
+            if begin and len(parts[i]) - begin.end() >= 10 and len(parts[i + 1]) >= 10 and len(parts[i + 2]) >= 10:
+                start, end = at + begin.start(), at + sum(map(len, parts[i : i + 3])) + 2
+                yield start, end, text[start:end]
+                at, i = end + 1, i + 3
+            else:
+                at, i = at + len(parts[i]) + 1, i + 1
+
+
 def _matches(pattern: str, group: int = 0) -> Callable[[str], Iterator[tuple[int, int, str]]]:
     compiled = re.compile(pattern)
     return lambda text: ((*m.span(), m.group(group)) for m in compiled.finditer(text))
@@ -79,7 +99,8 @@ _PROPOSED: tuple[tuple[str, Callable[[str], Iterator[tuple[int, int, str]]], tup
     ("block", _blocks, ("-----BEGIN",)),
     ("bearer", _matches(r"\b[Bb]earer\x20+([A-Za-z0-9._~+/-]{20,}=*)", 1), ("earer ",)),
     ("url", _urls, ("://",)),
-    ("prefix", _matches(r"\b(?:gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{20,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})"), ("gh", "xox", "sk_live_", "AIza", "eyJ")),
+    ("prefix", _matches(r"\b(?:gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{20,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,})"), ("gh", "xox", "sk_live_", "AIza")),
+    ("prefix", _web_tokens, ("eyJ",)),
     ("random", _matches(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}"), ()),
 )
 
@@ -99,16 +120,40 @@ def bits_per_character(value: str) -> float:
     return -sum(k / n * math.log2(k / n) for k in Counter(value).values()) if n else 0.0
 
 
+def covered(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The places that ``spans`` cover, as disjoint intervals in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def proposed(text: str, taken: list[Found]) -> list[Found]:
-    """Random-looking values that no base span overlaps; earlier generators win over later ones."""
+    """Random-looking values that no base span overlaps; earlier generators win over later ones.
+
+    Each generator's matches come in order and are held against the intervals taken so far in
+    one sweep, so the work is linear in the text but for sorting.
+    """
     out: list[Found] = []
+    busy = covered((a, b) for _, a, b, _ in taken)
     for kind, find, needs in _PROPOSED:
         if needs and not any(x in text for x in needs):
             continue
+        k, new = 0, []
         for start, end, value in find(text):
+            while k < len(busy) and busy[k][1] <= start:
+                k += 1
+            if k < len(busy) and busy[k][0] < end:
+                continue
             mixed = kind != "random" or (any(c.isdigit() for c in value) and any(c.isupper() for c in value) and any(c.islower() for c in value))
-            if mixed and bits_per_character(value) >= RANDOM_BITS and not any(a < end and start < b for _, a, b, _ in (*taken, *out)):
-                out.append((kind, start, end, value))
+            if mixed and bits_per_character(value) >= RANDOM_BITS:
+                new.append((kind, start, end, value))
+        if new:
+            out += new
+            busy = covered([*busy, *((a, b) for _, a, b, _ in new)])
     return out
 
 
@@ -159,9 +204,11 @@ def find_secrets(documents: DataFrame, owner: str = "source", repository: str =
     null text is empty.  Rows that repeat a doc_id are read each; empty tables are fine.
     """
     scanned = materialise(scan(documents, owner, repository).withColumn("row", F.monotonically_increasing_id()))
-    shared = materialise(ownership(scanned).where((F.col("owners") >= widely) | (F.col("repositories") >= spread)).select(F.col("value").alias("copied"), "owners"))
-    spans = scanned.select("row", F.explode("spans").alias("s")).select("row", "s.*")
-    judged = spans.join(shared, F.col("value") == F.col("copied"), "left").withColumn("example", F.col("copied").isNotNull())
+    shared = materialise(ownership(scanned).where((F.col("owners") >= widely) | (F.col("repositories") >= spread)).select(F.col("value").alias("copied")))
+    # a value copied into a third of all documents is no single key: its spans are dealt by row, its verdict is repeated
+    dealt = shared.select("copied", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    spans = scanned.select("row", F.explode("spans").alias("s")).select("row", "s.*").withColumn("of", F.pmod("row", F.lit(SALTS)).cast("int"))
+    judged = spans.join(dealt, (F.col("value") == F.col("copied")) & (F.col("of") == F.col("salt")), "left").withColumn("example", F.col("copied").isNotNull())
     listed = F.struct("start", F.expr("case " + " ".join(f"when kind = '{k}' then {i}" for i, k in enumerate(KINDS)) + " end").alias("k"), "end", "kind", "base", "example")
     by_row = judged.groupBy(F.col("row").alias("r")).agg(F.sort_array(F.collect_list(listed)).alias("all"))
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
