@@ -1,14 +1,18 @@
 """Quality rules with risk-controlled thresholds; DataFrame functions only.
 
 Each learned rule rejects a document whose ratio is above a cutoff from a fixed grid.  The
-labelled documents of each stratum are split by a hash of doc_id.  On the first half, for
-each level of tolerance, every rule takes the strictest cutoff that rejects at most that
-share of the good documents and some bad one.  On the other half, the holdout, each level's
-rules together are certified if the exact (Clopper-Pearson) upper bound of the good documents
-they reject stays below ``risk``.  The bounds' error is divided by the number of strata and
-levels (Bonferroni), so with probability 1 - ``delta`` no stratum loses more than ``risk`` of
-its good documents to them.  Of the certified levels the one that rejects most bad documents
-is used; of equal ones, the most lenient.  A stratum with too few labels rejects nothing.
+labelled documents of each stratum are split by a hash of doc_id.  On a quarter of them every
+rule gets its usable cutoffs, those that reject some bad document and at most TOLERATED of the
+good ones; step j of a stratum takes of every rule the j-th of these, from the most lenient
+on, so each step rejects all that the one before it does.  On the other three quarters, the
+holdout, the steps are tested in that order and only while they pass: a step passes if the
+exact (Clopper-Pearson) upper bound of the good documents that its rules together reject stays
+below ``risk``.  Testing nested steps in a fixed order up to the first failure spends the error
+once; it is divided by the number of strata (Bonferroni).  So with probability 1 - ``delta`` no
+stratum loses more than ``risk`` of its good documents (those that pass the base rule) to the
+learned rules.  Of the steps that passed the one that rejects most bad documents is used; of
+equal ones, the most lenient.  A stratum whose holdout has too few good documents for any proof
+(144 at 3 % and four strata) rejects nothing.
 """
 
 from __future__ import annotations
@@ -23,8 +27,10 @@ from .scratch import materialise
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]+"
 RISK, DELTA = 0.03, 0.05
-#: tolerated shares of good documents a rule, on the half that chooses cutoffs
-LEVELS = (0.0, 0.0005, 0.002, 0.005)
+#: share of the good documents that a usable cutoff may reject where cutoffs are chosen
+TOLERATED = 0.002
+#: of so many parts of the labels one chooses cutoffs and the others certify them
+PARTS = 4
 #: Rule -> (ratio of feature columns, grid of cutoffs).  Fixed values.
 RULES: dict[str, tuple[str, tuple[float, ...]]] = {
     "symbols": ("n_symbols / n_words", (0.05, 0.1, 0.2, 0.3, 0.5, 0.8)),
@@ -98,27 +104,31 @@ def choose_cutoffs(labelled: DataFrame, risk: float = RISK, delta: float = DELTA
     """Cutoffs by stratum and rule from rows with FEATURES, doc_id, stratum and good (boolean).
 
     Only documents that pass the base rules count.  What comes to the driver is one row of
-    counts for each stratum and half.
+    counts for each stratum and part.
     """
-    judged = labelled.where(~base_failed()).withColumn("holdout", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 1)
+    judged = labelled.where(~base_failed()).withColumn("holdout", F.crc32(F.col("doc_id").cast("string").cast("binary")) % PARTS != 0)
     tests = [(rule, c) for rule, (_, grid) in RULES.items() for c in grid]
     sums = [F.count_if((_ratio(rule) > c) & (F.col("good") == good)).alias(f"{int(good)}_{i}") for i, (rule, c) in enumerate(tests) for good in (True, False)]
-    proposed: list[dict[str | None, dict[str, float]]] = [{} for _ in LEVELS]
+    usable: dict[str | None, dict[str, list[float]]] = {}
     for row in judged.where("not holdout").groupBy("stratum").agg(F.count_if("good").alias("n"), *sums).collect():
-        for level, cutoffs in zip(LEVELS, proposed, strict=True):
-            own = cutoffs.setdefault(row["stratum"], {})
-            for i, (rule, c) in reversed(list(enumerate(tests))):  # ever stricter cutoffs of a rule
-                if row[f"0_{i}"] and row[f"1_{i}"] <= level * row["n"]:
-                    own[rule] = c
-    hits = [rejected_by(cutoffs, F.col("stratum")) for cutoffs in proposed]
-    sums = [F.count_if(hit & (F.col("good") == good)).alias(f"{int(good)}_{i}") for i, hit in enumerate(hits) for good in (True, False)]
+        own = usable.setdefault(row["stratum"], {})
+        for i, (rule, c) in reversed(list(enumerate(tests))):  # from lenient to strict
+            if row[f"0_{i}"] and row[f"1_{i}"] <= TOLERATED * row["n"]:
+                own.setdefault(rule, []).append(c)
+    n_steps = max(len(grid) for _, grid in RULES.values())
+    steps = [{s: {rule: cs[min(j, len(cs) - 1)] for rule, cs in own.items()} for s, own in usable.items()} for j in range(n_steps)]
+    hits = [rejected_by(cutoffs, F.col("stratum")) for cutoffs in steps]
+    sums = [F.count_if(hit & (F.col("good") == good)).alias(f"{int(good)}_{j}") for j, hit in enumerate(hits) for good in (True, False)]
     counts = judged.where("holdout").groupBy("stratum").agg(F.count_if("good").alias("n"), *sums).collect()
-    error = delta / max(1, len(counts) * len(LEVELS))
     chosen: dict[str | None, dict[str, float]] = {}
     for row in counts:
-        certified = [(row[f"0_{i}"], -i) for i in range(len(LEVELS)) if exact_upper_bound_holds(row[f"1_{i}"], row["n"], risk, error)]
-        if certified:
-            chosen[row["stratum"]] = proposed[-max(certified)[1]].get(row["stratum"], {})
+        passed: list[tuple[int, int]] = []
+        for j in range(n_steps):
+            if not exact_upper_bound_holds(row[f"1_{j}"], row["n"], risk, delta / len(counts)):
+                break
+            passed.append((row[f"0_{j}"], -j))
+        if passed:
+            chosen[row["stratum"]] = steps[-max(passed)[1]].get(row["stratum"], {})
     return chosen
 
 
