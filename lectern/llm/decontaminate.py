@@ -7,8 +7,11 @@ fingerprint.  Each common fingerprint is extended left and right, word by word,
 if the run has w + k - 1 words, so every such span is found and nothing shorter.  Items with
 fewer words are one window each and looked up by hashes of just that many words.
 
-The benchmark is read in blocks of a bounded size.  A block's fingerprints are broadcast and
-met inside the scan of the documents: no shuffle, and no row of a document leaves its task.
+A benchmark of one block, whose size is measured, is broadcast and met inside the scan of the
+documents: no shuffle, and no row of a document leaves its task.  A larger one is met in a
+join of fingerprints, documents' with items', dealt by row so that a passage of a third of all
+documents is many keys; only documents with a common fingerprint are then extended, block by
+block of items.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from .textbytes import NOT_ALNUM, U64, hashed_words, shingles
 K, WINDOW = 5, 10
 #: bytes of benchmark text in one broadcast block
 BLOCK_BYTES = 16 << 20
+#: keys among which the documents of one fingerprint are dealt
+SALTS = 16
 _NONE = U64(2**64 - 1)
 
 
@@ -47,6 +52,15 @@ def _fingerprints(grams: np.ndarray, w: int) -> np.ndarray:
     return np.flatnonzero(chosen)
 
 
+def _apart(at: np.ndarray, words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of runs of ``k`` words of some documents (offsets ``at``); a run that crosses documents is _NONE."""
+    grams = shingles(words, k) if len(words) >= k else words[:0]
+    for j in range(1, k):
+        edge = at[1:-1] - j
+        grams[edge[(edge >= 0) & (edge < len(grams))]] = _NONE
+    return grams
+
+
 class BenchmarkIndex:
     """Fingerprints of the items of one block: (item_id, text) pairs."""
 
@@ -75,12 +89,7 @@ class BenchmarkIndex:
         items: dict[int, set[int]] = defaultdict(set)
         doc_of = lambda p: np.searchsorted(at, p, side="right") - 1
         if len(self.known) and len(words) >= self.window:
-            grams = shingles(words, self.k)
-            inside = np.ones(len(grams), bool)
-            for j in range(1, self.k):  # no run of words crosses documents
-                edge = at[1:-1] - j
-                inside[edge[(edge >= 0) & (edge < len(grams))]] = False
-            grams[~inside] = _NONE
+            grams = _apart(at, words, self.k)
             p = _fingerprints(grams, self.window - self.k + 1)
             p = p[_within(grams[p], self.known)]
             done: dict[tuple[int, int], int] = {}
@@ -141,24 +150,78 @@ def _search(rows: DataFrame, block: list[tuple[str | None, bytes]], found: str,
     return rows.mapInArrow(run, rows.schema)
 
 
+def _blocks(items: DataFrame, block_bytes: int) -> list[list[int]]:
+    """Hash buckets of items in groups of at most ``block_bytes``, by their measured sizes (a larger bucket is alone)."""
+    buckets = items.groupBy("bucket").agg(F.sum(F.octet_length("text")).alias("n")).orderBy("bucket").collect()
+    groups: list[list[int]] = []
+    room = 0
+    for bucket, n in buckets:
+        if not groups or n > room:
+            groups.append([])
+            room = block_bytes
+        groups[-1].append(bucket)
+        room -= n
+    return groups
+
+
+def _rows_with_common_fingerprints(rows: DataFrame, row: str, items: DataFrame, k: int, window: int) -> DataFrame:
+    """``row`` of all rows that share a fingerprint, or a whole short window, with some item; one shuffle of hashes."""
+
+    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, at, words in hashed_words(batch["text"], NOT_ALNUM):
+                for i in range(len(at) - 1):
+                    own = words[at[i] : at[i + 1]]
+                    m = 0 if len(own) >= window else len(own)
+                    hashes = shingles(own, m or k)
+                    hashes = hashes if m else hashes[_fingerprints(hashes, window - k + 1)]
+                    if len(own):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), m, np.int32)), pa.array(hashes.view(np.int64))], ["m", "hash"])
+
+    wanted = materialise(items.select("text").mapInArrow(of_items, "m int, hash long").distinct())
+    lengths = sorted(r[0] for r in wanted.where("m > 0").select("m").distinct().collect())  # below ``window``
+
+    def of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, at, words in hashed_words(batch["text"].cast(pa.binary()), NOT_ALNUM):
+                ids = batch[row].slice(i, len(at) - 1).to_numpy()
+                for m in (0, *lengths):
+                    grams = _apart(at, words, m or k)
+                    p = np.flatnonzero(grams != _NONE) if m else _fingerprints(grams, window - k + 1)
+                    p = p[p + (m or k) <= len(words)]
+                    if len(p):
+                        doc = np.searchsorted(at, p, side="right") - 1
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(np.full(len(p), m, np.int32)), pa.array(grams[p].view(np.int64))], [row, "m", "hash"])
+
+    of_docs = rows.select(row, "text").mapInArrow(of_documents, f"{row} long, m int, hash long").withColumn("salt", F.pmod(row, F.lit(SALTS)).cast("int"))
+    dealt = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return of_docs.join(dealt, ["m", "hash", "salt"], "left_semi").select(row).distinct()
+
+
 def find_overlaps(documents: DataFrame, benchmark: DataFrame, found: str = "found", k: int = K, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``documents`` with a struct column ``found``: n_words, n_hit, bits (of hit words), items (their ids).
 
-    Nothing is shuffled and all columns stay.  The benchmark is measured first; each block of
-    it that is broadcast holds about ``block_bytes``, however large it is; between blocks the
-    rows are written to the shared folder.  ``found`` must not be a column already.
+    All columns stay.  The benchmark is measured first.  Up to ``block_bytes`` it is broadcast
+    and nothing is shuffled; beyond, hashes are joined, and the few rows that meet an item are
+    searched for one block of items after another, written to the shared folder in between.
+    ``found`` must not be a column already.
     """
     kind = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("bits", T.BinaryType()), T.StructField("items", T.ArrayType(T.StringType()))])
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).distinct()
     total = items.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
     rows = documents.withColumn(found, F.lit(None).cast(kind))
-    for b in range(blocks):
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        if b:
-            rows = materialise(rows)
-        rows = _search(rows, [(r[0], bytes(r[1])) for r in own.toLocalIterator()], found, k, window)
-    return rows
+    if total <= block_bytes:
+        return _search(rows, [(r[0], bytes(r[1])) for r in items.toLocalIterator()], found, k, window)
+    items = materialise(items.withColumn("bucket", F.pmod(F.xxhash64("item_id", "text"), F.lit(64 * -(-total // block_bytes)))))
+    row = "_row" + "_" * max(map(len, documents.columns))  # longer than any column's name
+    rows = materialise(rows.withColumn(row, F.monotonically_increasing_id()))
+    met = materialise(_rows_with_common_fingerprints(rows, row, items, k, window))
+    near = rows.join(met, row, "left_semi")
+    for group in _blocks(items, block_bytes):
+        block = [(r[0], bytes(r[1])) for r in items.where(F.col("bucket").isin(group)).select("item_id", "text").toLocalIterator()]
+        near = materialise(_search(near, block, found, k, window))
+    far = _search(rows.join(met, row, "left_anti"), [], found, k, window)
+    return near.unionByName(far).drop(row)
 
 
 def decontamination(documents: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
