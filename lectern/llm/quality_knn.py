@@ -1,8 +1,9 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-A document's terms are the shapes of its text (runs of three byte classes: lower case, upper
-case, digit, space, line end, kinds of punctuation, non-ASCII) and counts of repetition;
-weights are logarithmic and inverse to document frequency.  A bounded sample of labelled
+A document's terms are its words (lower-cased, hashed to WORDS columns), the shapes of its text
+(runs of three byte classes: lower case, upper case, digit, space, line end, kinds of
+punctuation, non-ASCII) and counts of repetition; weights are logarithmic and inverse to
+document frequency.  A bounded sample of labelled
 training rows gives the axes (truncated singular value decomposition) and the labelled
 vectors, which are broadcast: SAMPLE x AXES numbers, however large the corpus is.  For every
 document exact cosine products with all labelled vectors are computed in blocks of rows, and
@@ -31,8 +32,8 @@ _CLASS = np.full(256, 15, np.uint8)  # other ASCII
 for _i, _chars in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", "\t\r\x0b\x0c", ".", ",", "!", "?", "\"'`", "|", "#*$%&<>", "-_/\\:;=+@~^(){}[]")):
     _CLASS[[ord(c) for c in _chars]] = _i
 _CLASS[128:] = 14
-SHAPES, REPEATS = 16**3, 8
-TERMS = SHAPES + REPEATS
+SHAPES, REPEATS, WORDS = 16**3, 8, 1 << 11
+TERMS = SHAPES + REPEATS + WORDS
 
 
 def _repetition(words: np.ndarray) -> np.ndarray:
@@ -61,10 +62,23 @@ def term_counts(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
                 c = _CLASS[data[offsets[r] : offsets[r + 1]]].astype(np.int32)
                 if len(c) > 2:
                     out[r - lo, :SHAPES] = np.bincount((c[:-2] << 8) | (c[1:-1] << 4) | c[2:], minlength=SHAPES)
-                out[r - lo, SHAPES:] = _repetition(words[at[r - i] : at[r - i + 1]])
+                own = words[at[r - i] : at[r - i + 1]]
+                out[r - lo, SHAPES : SHAPES + REPEATS] = _repetition(own)
+                out[r - lo, SHAPES + REPEATS :] = np.bincount((own % np.uint64(WORDS)).astype(np.int64), minlength=WORDS)
             yield lo, out
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    return x
+
+
+def _weighted(counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    x = np.log1p(counts)
+    x *= weight
+    return _unit(x)
+
+
 @dataclass
 class Model:
     weight: np.ndarray  # of terms
@@ -74,10 +88,7 @@ class Model:
     prior: float
 
     def embed(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts) * self.weight
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-        z = x @ self.axes
-        return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+        return _unit(_weighted(counts, self.weight) @ self.axes)
 
     def score(self, counts: np.ndarray) -> np.ndarray:
         """Similarity-weighted share of label 1 among the nearest labelled vectors."""
@@ -99,8 +110,7 @@ def fit_model(counts: np.ndarray, labels: np.ndarray, axes: int = AXES) -> Model
         return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32), 0.5)
     weight = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 0.3).astype(np.float32)
     model = Model(weight, np.zeros(0), np.zeros(0), labels.astype(np.float32), float(labels.mean()))
-    x = np.log1p(counts) * weight
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    x = _weighted(counts, weight)
     rng = np.random.default_rng(3)
     q = rng.standard_normal((TERMS, min(axes + 16, len(counts)))).astype(np.float32)
     for _ in range(4):  # subspace iteration
@@ -108,7 +118,7 @@ def fit_model(counts: np.ndarray, labels: np.ndarray, axes: int = AXES) -> Model
     _, s, vt = np.linalg.svd(x @ q, full_matrices=False)
     # axes of weak spread matter as much as strong ones for telling rare junk apart
     model.axes = ((q @ vt.T)[:, :axes] / np.maximum(s[:axes], 1e-6) ** 0.5).astype(np.float32)
-    model.vectors = model.embed(counts)
+    model.vectors = _unit(x @ model.axes)
     return model
 
 
@@ -118,7 +128,10 @@ def fold(doc_id) -> object:
 
 
 def train(documents: DataFrame, labels: DataFrame, held_out_fold: int = 1, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled rows outside the held-out fold, those of the smallest hash."""
+    """Fit on at most ``sample`` labelled rows outside the held-out fold, those of the smallest hash.
+
+    Of rows that repeat a doc_id one is taken, the one whose text has the smallest hash.
+    """
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("of")).agg(F.min("quality").cast("int").alias("quality"))
     chosen = known.where(fold("of") != held_out_fold).orderBy(F.xxhash64("of"), "of").limit(sample)
 
@@ -134,8 +147,9 @@ def train(documents: DataFrame, labels: DataFrame, held_out_fold: int = 1, sampl
 
     # at most ``sample`` rows of two numbers: a proven bound for the broadcast
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("of", "quality", "text").mapInArrow(run, "of long, quality int, terms array<smallint>, counts array<float>").collect()
-    rows = sorted(rows, key=lambda r: (r["of"], r["terms"], r["counts"]))[: 2 * sample]
+    one = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).groupBy("of", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = one.mapInArrow(run, "of long, quality int, terms array<smallint>, counts array<float>").collect()
+    rows.sort(key=lambda r: r["of"])
     counts = np.zeros((len(rows), TERMS), np.float32)
     for i, r in enumerate(rows):
         counts[i, r["terms"]] = r["counts"]
