@@ -104,7 +104,7 @@ def longest_run(flags: Column) -> Column:
 
 def silence_report(x: Column, rate: int, window_s: float = 0.05) -> Column:
     """struct(ratio, longest_s, silent): windows 40 dB below the mean level of those with sound."""
-    return let(energies(x, int(rate * window_s)), lambda e: let(F.coalesce(mean(F.filter(e, lambda v: v > 0)), F.lit(0.0)), lambda level: _silence(e, level, window_s)))
+    return let(energies(x, max(1, round(rate * window_s, 6).__floor__())), lambda e: let(F.coalesce(mean(F.filter(e, lambda v: v > 0)), F.lit(0.0)), lambda level: _silence(e, level, window_s)))
 
 
 def _silence(e: Column, level: Column, window_s: float) -> Column:
@@ -143,6 +143,53 @@ def speaking_rate(x: Column) -> Column:
     return F.greatest(F.lit(1.5), F.least(F.lit(5.0), 2 + 20 * zero_crossings(x)))
 
 
+def frame_levels(x: Column, frame: int = 2048, hop: int = 512) -> Column:
+    """Levels of frames centred on every ``hop`` samples; the signal is taken as 0 beyond its ends."""
+    half = frame // 2
+    at = lambda i: F.slice(x, F.greatest(i * hop - half, F.lit(0)) + 1, F.least(F.size(x), i * hop + half) - F.greatest(i * hop - half, F.lit(0)))
+    power = lambda own: F.sqrt(F.aggregate(own, F.lit(0.0), lambda s, v: s + v * v) / frame)
+    return F.when(F.size(x) > 0, F.transform(F.sequence(F.lit(0), F.floor(F.size(x) / hop).cast("int")), lambda i: power(at(i)))).otherwise(empty())
+
+
+def spread(x: Column) -> Column:
+    """Population standard deviation; null for an empty array."""
+    return let(mean(x), lambda m: F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + (v - m) * (v - m)) / F.nullif(F.size(x), F.lit(0))))
+
+
+def pitch_contour(x: Column, rate: int, frame: int, low: float = 65.40639132514966, high: float = 2093.004522404789, voiced: float = 0.5) -> Column:
+    """A pitch for each whole frame by its strongest autocorrelation between ``low`` and ``high`` Hz; null where unvoiced.
+
+    The deterministic default of a pluggable tracker: a frame is voiced if that
+    autocorrelation is at least ``voiced`` of its power.
+    """
+    first, last = max(1, int(rate / high)), max(1, min(int(rate / low), frame // 2))
+    product = lambda w, k: F.aggregate(F.zip_with(F.slice(w, 1, F.lit(frame) - k), F.slice(w, k + 1, F.lit(frame) - k), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+
+    def pitch(w: Column) -> Column:
+        lags = F.transform(F.sequence(F.lit(first), F.lit(last)), lambda k: F.struct(product(w, k).alias("r"), (-k).alias("k")))
+        return let(F.array_max(lags), lambda best: F.when((best["r"] > 0) & (best["r"] >= voiced * product(w, F.lit(0))), F.lit(float(rate)) / (-best["k"])))
+
+    return F.transform(windows(x, frame), pitch)
+
+
+def prosody(x: Column, rate: int, frame: int, hop: int, tempo: Column | None = None, **pitch) -> Column:
+    """struct of pitch (mean, deviation, contour with gaps at the mean), level (mean, deviation), tempo, speaking rate, duration.
+
+    Without a voiced frame the pitch is 150 Hz throughout; without a ``tempo`` from a back-end it
+    is 120.  ``pitch``: low, high and voiced of ``pitch_contour``.
+    """
+    def described(contour: Column, levels: Column) -> Column:
+        own = F.filter(contour, lambda v: v.isNotNull())
+        center = F.coalesce(mean(own), F.lit(150.0))
+        filled = let(center, lambda c: F.when(F.size(own) > 0, F.transform(contour, lambda v: F.coalesce(v, c))).otherwise(F.array(F.lit(150.0))))
+        return F.struct(
+            center.alias("pitch_mean"), F.coalesce(spread(own), F.lit(0.0)).alias("pitch_std"), filled.alias("pitch_contour"), F.coalesce(mean(levels), F.lit(0.0)).alias("energy_mean"),
+            F.coalesce(spread(levels), F.lit(0.0)).alias("energy_std"), (tempo if tempo is not None else F.lit(120.0)).alias("tempo"), speaking_rate(x).alias("speaking_rate"), (F.size(x) / F.lit(float(rate))).alias("duration"),
+        )
+
+    return let(pitch_contour(x, rate, frame, **pitch), lambda c: let(frame_levels(x, frame, hop), lambda e: described(c, e)))
+
+
 def duration_issue(actual: Column, expected: Column) -> Column:
     ratio = actual / F.when(expected > 0, expected)
     return F.when(ratio > 2.5, "RUNAWAY").when(ratio > 1.8, "LONG").when(ratio < 0.3, "SHORT")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab
@@ -238,6 +240,23 @@ def prompt(names: Column, context: Column, sentences: Column) -> Column:
     )
 
 
+def char_census(texts: DataFrame, text: str = "text", sample: int = 3000) -> DataFrame:
+    """ch, code, name, n of the characters beyond ASCII in the opening of each text; names are looked up once a character."""
+
+    @F.arrow_udf("string")
+    def named(column: pa.Array) -> pa.Array:
+        return pa.array([None if c is None else unicodedata.name(c, "UNKNOWN") for c in column.to_pylist()], pa.string())
+
+    chars = texts.select(F.explode(F.split(F.left(text, F.lit(sample)), "")).alias("ch")).where("ch <> '' and octet_length(ch) > 1")
+    code = F.conv(F.right(F.hex(F.encode("ch", "UTF-32")), F.lit(8)), 16, 10).cast("int")
+    return chars.groupBy("ch").agg(F.count("*").alias("n")).select("ch", code.alias("code"), named("ch").alias("name"), "n")
+
+
+def samples_of(text: Column, pattern: str = r"[\"“][^\"”“]+[\"”]", most: int = 5, sample: int = 3000) -> Column:
+    """The first ``most`` matches in the opening of a text: a look at what dialogue is like there."""
+    return F.slice(F.regexp_extract_all(F.left(text, F.lit(sample)), F.lit(pattern), 0), 1, most)
+
+
 def or_else(a: Column, b: Column | str) -> Column:
     """``a`` unless it is null or empty."""
     return F.coalesce(F.nullif(a, F.lit("")), b if isinstance(b, Column) else F.lit(b))

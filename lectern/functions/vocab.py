@@ -107,6 +107,12 @@ ATTRIBUTION_VERBS = (
     "stammered", "gasped", "interrupted", "inquired", "retorted", "responded", "announced", "protested", "agreed", "acknowledged",
     "confessed", "admitted",
 )
+# Forms of a quote with a named speaker, in order of precedence; VERB stands for the verbs.
+ATTRIBUTION_PATTERNS = (
+    "[\"“‘][^\"”“’]+[\"”’]\\s*[,.]?\\s*(?:VERB)\\s+([A-Z][a-z]+(?:\\s+[A-Z][a-z]+){0,2})",
+    "[\"“‘][^\"”“’]+[\"”’]\\s*[,.]?\\s*([A-Z][a-z]+(?:\\s+[A-Z][a-z]+){0,2})\\s+(?:VERB)",
+    "([A-Z][a-z]+(?:\\s+[A-Z][a-z]+){0,2})\\s+(?:VERB)\\s*[,:]?\\s*[\"“‘]",
+)
 SHORT_VERBS = ("replied", "whispered", "shouted", "asked", "exclaimed", "muttered", "murmured")
 NAME_PATTERN = r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2})"
 

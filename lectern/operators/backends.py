@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 from difflib import SequenceMatcher
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,11 +81,43 @@ def context_windows(sentences: DataFrame, key: str, index: str, text: str, size:
     return placed.withColumn("context", F.when(F.col("at") == F.col("win") * step, F.col("context")))
 
 
-def first_window_wins(annotations: DataFrame, key: str, index: str, defaults: dict[str, str]) -> DataFrame:
-    """Of a sentence's annotations the earliest window's; missing fields take the defaults."""
-    w = Window.partitionBy(key, index).orderBy("win")
-    kept = annotations.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-    return kept.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
+def first_window_wins(sentences: DataFrame, annotations: DataFrame, key: str, index: str, defaults: dict[str, str]) -> DataFrame:
+    """Each sentence with the fields of its earliest window; missing fields, and sentences without any, take the defaults."""
+    fields = F.struct(*defaults)
+    first = annotations.groupBy(F.col(key).alias("_k"), F.col(index).alias("_i")).agg(F.min_by(fields, "win").alias("_f"))
+    rows = sentences.join(first, (F.col(key) == F.col("_k")) & (F.col(index) == F.col("_i")), "left")
+    return rows.select(*sentences.columns, *(F.coalesce(F.col("_f")[c], F.lit(v)).alias(c) for c, v in defaults.items()))
+
+
+def annotate(sentences: DataFrame, key: str, index: str, load: Callable[[], Annotate], names: Sequence[str] = (), size: int = 12, overlap: int = 3, defaults: dict[str, str] | None = None) -> DataFrame:
+    """Sentences (key, index, text) with the fields of ``defaults`` from a pluggable annotator, window by window.
+
+    The annotator is loaded once for each task and gets a window's sentences, the context
+    before it and the characters' names.  A window that fails is neutral and steady; of
+    overlapping windows the earliest counts.
+    """
+    defaults = defaults or {"speaker": "Narrator", "emotion": "neutral", "emphasis": "normal", "pacing": "normal", "vocal_direction": ""}
+    failed = dict(defaults) | ({"vocal_direction": "clear, steady narration"} if "vocal_direction" in defaults else {})
+    placed = context_windows(sentences, key, index, "text", size, overlap)
+    listed = placed.groupBy(key, "win").agg(F.sort_array(F.collect_list(F.struct("at", "text"))).alias("s"), F.max("context").alias("context"))
+    item = pa.struct([("at", pa.int64()), *((c, pa.string()) for c in defaults)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ask = load()
+        for batch in batches:
+            out = []
+            for own, context in zip(batch["s"].to_pylist(), batch["context"].to_pylist(), strict=True):
+                try:
+                    notes = ask(own, context or "", names)
+                except (ValueError, RuntimeError):
+                    notes = [failed] * len(own)
+                out.append([{"at": s["at"], **{c: (notes[i] or {}).get(c) if i < len(notes) else None for c in defaults}} for i, s in enumerate(own)])
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["win"], pa.array(out, pa.list_(item))], ["key", "win", "notes"])
+
+    kind = sentences.schema[key].dataType.simpleString()
+    rows = listed.select(F.col(key).alias("key"), "win", "s", "context").mapInArrow(run, f"key {kind}, win int, notes array<struct<at:long,{','.join(f'{c}:string' for c in defaults)}>>")
+    notes = rows.select(F.col("key").alias(key), "win", F.explode("notes").alias("n")).select(key, "win", F.col("n.at").alias(index), *(F.col(f"n.{c}").alias(c) for c in defaults))
+    return first_window_wins(sentences, notes, key, index, defaults)
 
 
 def retried(attempts: DataFrame, key: Sequence[str], passed: Column, order: str, best: Column | None = None) -> DataFrame:
@@ -93,29 +126,41 @@ def retried(attempts: DataFrame, key: Sequence[str], passed: Column, order: str,
     return attempts.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(rank))).where("_n = 1").drop("_n")
 
 
-def concatenate_chapters(chapters: DataFrame, book: str, order: str, samples: str, rate: int = 24000, silence_ms: int = 2000, fade_ms: int = 150) -> DataFrame:
-    """book, samples: chapters in order with silence and a linear fade between; missing ones are skipped.
+def resampled(x: np.ndarray, rate: int, to: int) -> np.ndarray:
+    """Linear resampling from ``rate`` to ``to`` samples a second."""
+    if rate == to or len(x) == 0:
+        return x
+    n = max(1, round(len(x) * to / rate))
+    return np.interp(np.arange(n) * rate / to, np.arange(len(x)), x)
 
-    A book without any chapter's sound is an error of its own row: it has no row.
-    """
-    n = int(rate * fade_ms / 1000)
 
-    def run(key, part):
-        import pandas as pd
+def concatenate_chapters(chapters: DataFrame, book: str, order: str, samples: str, rate: str | int = 24000, to: int = 24000, silence_ms: int = 2000, fade_ms: int = 150) -> DataFrame:
+    """book, samples, error: chapters in order with silence and a linear fade between; missing ones are skipped.
+
+    ``rate``: a number, or the column with each chapter's rate; other rates than ``to`` are
+    resampled.  A book without any chapter's sound has no samples and an error.  A book's sound
+    is one value of one row, so one task holds one book.
+    """
+    n = int(to * fade_ms / 1000)
 
-        out = None
-        for x in part.sort_values(order)[samples]:
-            x = np.asarray(x, float)
-            if out is None:
-                out = x
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        out: list[np.ndarray] = []
+        for x, r in zip(*(part.sort_values(order)[c] for c in ("samples", "rate")), strict=True):
+            if x is None or len(x) == 0:
                 continue
-            out = np.concatenate([out, np.zeros(int(rate * silence_ms / 1000))])
-            if n and min(len(out), len(x)) >= n:
-                t = np.linspace(0, 1, n)
-                out = np.concatenate([out[:-n], out[-n:] * (1 - t) + x[:n] * t, x[n:]])
-            else:
-                out = np.concatenate([out, x])
-        return pd.DataFrame({book: [key[0]], "samples": [out.tolist()]})
-
-    present = chapters.where(F.size(samples) > 0).select(book, order, samples)
-    return present.groupBy(book).applyInPandas(run, f"{book} {chapters.schema[book].dataType.simpleString()}, samples array<double>")
+            x = resampled(np.asarray(x, float), int(r), to)
+            if out:
+                out.append(np.zeros(int(to * silence_ms / 1000)))
+                before = np.concatenate(out[-2:]) if len(out[-1]) < n else out[-1]
+                if n and len(before) >= n and len(x) >= n:
+                    out[-2:] = [before] if len(out[-1]) < n else out[-2:]
+                    t = np.linspace(0, 1, n)
+                    mixed = out[-1][-n:] * (1 - t) + x[:n] * t
+                    out[-1] = out[-1][:-n]
+                    out += [mixed, x[n:]]
+                    continue
+            out.append(x)
+        return pd.DataFrame({book: [key[0]], "samples": [np.concatenate(out).tolist() if out else None], "error": [None if out else "no chapter has sound"]})
+
+    rows = chapters.select(book, order, F.col(samples).alias("samples"), (F.col(rate) if isinstance(rate, str) else F.lit(rate)).alias("rate"))
+    return rows.groupBy(book).applyInPandas(run, f"{book} {chapters.schema[book].dataType.simpleString()}, samples array<double>, error string")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -100,6 +100,23 @@ def sentence_records(chapters: DataFrame, key: str, text: str = "text", delimite
     return rows.select(key, "s.paragraph_index", "index", "s.text", "s.is_dialogue", "s.is_paragraph_start", "s.is_paragraph_end")
 
 
+def model_sentences(chapters: DataFrame, key: str, load: Callable[[], Callable[[str], Sequence[str]]], text: str = "text", most: int = 1_000_000) -> DataFrame:
+    """key, index, text: sentences by a pluggable model, loaded once for each task; blank ones are left out.
+
+    A text is given to the model in slices of ``most`` characters, as such models have a limit.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = load()
+        for batch in batches:
+            every = [[s.strip() for i in range(0, len(t or ""), most) for s in split(t[i : i + most]) if s.strip()] for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["key"], pa.array(every, pa.list_(pa.string()))], ["key", "sentences"])
+
+    rows = chapters.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    out = rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, sentences array<string>")
+    return out.select(F.col("key").alias(key), F.posexplode("sentences").alias("index", "text"))
+
+
 def quote_spans(paragraph: Column) -> Column:
     """array of struct(s, e): quoted spans with their quotes, by a fold over the matches' lengths."""
     matches = F.regexp_extract_all(paragraph, F.lit(r"[\"“][^\"”“]+[\"”]"), 0)

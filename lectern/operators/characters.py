@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
@@ -15,22 +16,52 @@ from ..functions import text as X
 from ..functions import vocab
 
 
+Recogniser = Callable[[], Callable[[str], Sequence[tuple[str, str]]]]
+
+
 def mentions(chapters: DataFrame, book: str, chapter: str, text: str = "text", pattern: str = vocab.NAME_PATTERN) -> DataFrame:
     """book, chapter, at, name: cleaned names of capitalised runs (the default entity recogniser)."""
     found = chapters.select(book, chapter, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), 0)).alias("at", "raw"))
     return found.select(book, chapter, "at", X.clean_name(F.col("raw")).alias("name")).where("name is not null")
 
 
+def entities(chapters: DataFrame, book: str, chapter: str, load: Recogniser, text: str = "text") -> DataFrame:
+    """book, chapter, at, name, label by a pluggable recogniser, loaded once for each task; names are cleaned.
+
+    ``load`` gives a function from a text to (entity, label) pairs; label PERSON marks persons,
+    any other label names that ``drop_non_persons`` takes as tagged otherwise.
+    """
+    kind = pa.list_(pa.struct([("raw", pa.string()), ("label", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recognise = load()
+        for batch in batches:
+            found = [[{"raw": raw, "label": label} for raw, label in recognise(t or "")] for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["book"], batch["chapter"], pa.array(found, kind)], ["book", "chapter", "found"])
+
+    rows = chapters.select(F.col(book).alias("book"), F.col(chapter).alias("chapter"), F.col(text).alias("text"))
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("book", "chapter")}
+    out = rows.mapInArrow(run, f"book {kinds['book']}, chapter {kinds['chapter']}, found array<struct<raw:string,label:string>>")
+    named = out.select(F.col("book").alias(book), F.col("chapter").alias(chapter), F.posexplode("found").alias("at", "f"))
+    return named.select(book, chapter, "at", X.clean_name(F.col("f.raw")).alias("name"), F.col("f.label").alias("label")).where("name is not null")
+
+
 def name_counts(found: DataFrame, book: str, chapter: str) -> DataFrame:
     """book, name, n, first_chapter, first_seen; combined before the shuffle."""
     return found.groupBy(book, "name").agg(F.count("*").alias("n"), F.min(chapter).alias("first_chapter"), F.min(F.struct(F.col(chapter).alias("c"), F.col("at").alias("a"))).alias("first_seen"))
 
 
-def drop_non_persons(counts: DataFrame, non_persons: DataFrame, keep_from: int = 20) -> DataFrame:
-    """Without known places and peoples; names tagged otherwise stay only if frequent. ``non_persons``: name_lower."""
-    tagged = non_persons.select(F.col("name_lower").alias("_n")).distinct()
+def drop_non_persons(counts: DataFrame, non_persons: DataFrame, keep_from: int = 20, by: Sequence[str] = ()) -> DataFrame:
+    """Without known places and peoples; names tagged otherwise stay only if frequent.
+
+    ``non_persons``: name_lower and, if tags hold for one book only, the columns ``by``.
+    """
+    tagged = non_persons.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("name_lower").alias("_n")).distinct()
     rows = counts.where(~X.is_non_character(F.col("name"))).withColumn("_k", F.lower("name"))
-    return rows.join(tagged, (F.col("_k") == F.col("_n")) & (F.col("n") < keep_from), "left_anti").drop("_k")
+    same = (F.col("_k") == F.col("_n")) & (F.col("n") < keep_from)
+    for c in by:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    return rows.join(tagged, same, "left_anti").drop("_k")
 
 
 def top_then_having(counts: DataFrame, book: str, k: int = 30, least: int = 3) -> DataFrame:
@@ -44,88 +75,128 @@ def merge_cores(cores: Sequence[tuple[str, int]]) -> list[int]:
 
     An unused core seeds a group; the group takes an unused core that shares a word of three
     letters with it if that core is one word or one word set holds the other, until none fits.
-    The order matters: this is no connected component.
+    The order matters: this is no connected component.  Cores are found by their words, so a
+    group looks at those that share a word with it and at no others.
     """
     words = [set(c.split()) for c, _ in cores]
+    holders: dict[str, list[int]] = {}
+    for i, own in enumerate(words):
+        for w in own:
+            if len(w) >= 3:
+                holders.setdefault(w, []).append(i)
     group = [-1] * len(cores)
     for seed in range(len(cores)):
         if group[seed] >= 0:
             continue
         group[seed] = seed
-        own, grew = set(words[seed]), True
-        while grew:
+        own, known, grew = set(words[seed]), set(), True
+        while grew:  # one pass over the candidates in order; words that join add candidates ahead, or for the next pass
             grew = False
-            for i, other in enumerate(words):
-                if group[i] < 0 and any(len(w) >= 3 for w in own & other) and (len(other) == 1 or other <= own or own <= other):
+            known = {i for i in known if group[i] < 0} | {i for w in own if len(w) >= 3 for i in holders[w] if group[i] < 0}
+            ahead = sorted(known)
+            heapq.heapify(ahead)
+            while ahead:
+                i = heapq.heappop(ahead)
+                other = words[i]
+                if group[i] < 0 and (len(other) == 1 or other <= own or own <= other):
                     group[i] = seed
-                    own |= other
                     grew = True
+                    for w in other - own:
+                        for j in holders.get(w, ()) if len(w) >= 3 else ():
+                            if j > i and group[j] < 0 and j not in known:
+                                heapq.heappush(ahead, j)
+                                known.add(j)
+                    own |= other
     return group
 
 
-def consolidate(counts: DataFrame, book: str) -> DataFrame:
-    """book, name, grp: forms of one character share ``grp`` (a core name).
+def with_core(counts: DataFrame, honorifics: Sequence[str] = vocab.HONORIFICS) -> DataFrame:
+    """``counts`` with bare (the name without honorifics) and core (in lower case)."""
+    bare = X.strip_honorifics(F.col("name"), honorifics)
+    return counts.withColumn("bare", bare).withColumn("core", F.lower("bare"))
+
 
-    Forms group by core (lower case, without honorifics); a book's cores are merged in one
-    group, whose rows are names and not texts.
+def consolidate(counts: DataFrame, book: str, honorifics: Sequence[str] = vocab.HONORIFICS) -> DataFrame:
+    """``counts`` (book, name, n, first_chapter, first_seen) with bare, core, grp and ord: forms of one character share ``grp``.
+
+    Forms group by core; a book's cores are merged in one group, whose rows are distinct
+    names and not texts.
     """
-    cored = counts.withColumn("core", F.lower(X.strip_honorifics(F.col("name"))))
+    cored = with_core(counts, honorifics)
     cores = cored.groupBy(book, "core").agg(F.sum("n").alias("total"), F.min("first_seen").alias("seen"))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.assign(c=[s["c"] for s in part["seen"]], a=[s["a"] for s in part["seen"]]).sort_values(["total", "c", "a", "core"], ascending=[False, True, True, True])
         names = part["core"].tolist()
-        return pd.DataFrame({book: part[book], "core": names, "grp": [names[g] for g in merge_cores(list(zip(names, part["total"], strict=True)))]})
+        groups = merge_cores(list(zip(names, part["total"], strict=True)))
+        return pd.DataFrame({book: part[book], "core": names, "grp": [names[g] for g in groups], "ord": groups})
 
-    merged = cores.groupBy(book).applyInPandas(run, f"{book} {cores.schema[book].dataType.simpleString()}, core string, grp string")
+    merged = cores.groupBy(book).applyInPandas(run, f"{book} {cores.schema[book].dataType.simpleString()}, core string, grp string, ord long")
     return cored.join(merged, [book, "core"])
 
 
 def canonical(grouped: DataFrame, book: str) -> DataFrame:
-    """book, canonical, aliases, n, first_chapter: the longest form without honorifics, then the most frequent, then the first."""
-    bare = F.char_length(X.strip_honorifics(F.col("name")))
-    best = F.struct(bare.alias("l"), F.col("n").alias("n"), (-F.col("first_seen.c")).alias("c"), (-F.col("first_seen.a")).alias("a"), F.col("name").alias("z"))
-    out = grouped.groupBy(book, "grp").agg(F.max_by("name", best).alias("canonical"), F.sort_array(F.collect_set("name")).alias("forms"), F.sum("n").alias("n"), F.min("first_chapter").alias("first_chapter"))
-    return out.select(book, "grp", "canonical", F.array_remove("forms", F.col("canonical")).alias("aliases"), "n", "first_chapter")
+    """book, grp, ord, canonical, aliases, n, first_chapter: one row for each canonical name.
+
+    canonical is the longest form without its honorifics, then that of the most frequent form,
+    then of the first seen.  Of groups with equal canonical names the last one stays.
+    """
+    bare = F.col("bare")
+    best = F.struct(F.char_length(bare).alias("l"), F.col("n").alias("n"), (-F.col("first_seen.c")).alias("c"), (-F.col("first_seen.a")).alias("a"), F.col("name").alias("z"))
+    out = grouped.groupBy(book, "grp", "ord").agg(F.max_by(bare, best).alias("canonical"), F.sort_array(F.collect_set("name")).alias("forms"), F.sum("n").alias("n"), F.min("first_chapter").alias("first_chapter"))
+    rows = F.struct("ord", "grp", F.array_remove("forms", F.col("canonical")).alias("aliases"), "n", "first_chapter")
+    last = out.groupBy(book, "canonical").agg(F.max_by(rows, "ord").alias("r"))
+    return last.select(book, "r.grp", "r.ord", "canonical", "r.aliases", "r.n", "r.first_chapter")
 
 
 def attributions(texts: DataFrame, key: str, text: str = "text", verbs: Sequence[str] = vocab.ATTRIBUTION_VERBS) -> DataFrame:
-    """key, start, speaker: quotes with a named speaker; of several patterns at one start the first counts."""
-    v, name = "(?:" + "|".join(verbs) + ")", vocab.NAME_PATTERN
-    quote = "[\"“‘][^\"”“’]+[\"”’]"
-    patterns = [re.compile(quote + r"\s*[,.]?\s*" + v + r"\s+" + name), re.compile(quote + r"\s*[,.]?\s*" + name + r"\s+" + v), re.compile(name + r"\s+" + v + r"\s*[,:]?\s*[\"“‘]")]
+    """key, start, pattern, speaker: every match of the three forms of a quote with a named speaker.
+
+    Two forms may match at one start; which one counts is decided once speakers are resolved.
+    """
+    patterns = [re.compile(p.replace("VERB", "|".join(verbs))) for p in vocab.ATTRIBUTION_PATTERNS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for t in batch["text"].to_pylist():
-                seen: dict[int, str] = {}
-                for p in patterns:
-                    for m in p.finditer(t or ""):
-                        seen.setdefault(m.start(), m.group(1).strip())
-                out.append([{"start": a, "speaker": s} for a, s in sorted(seen.items())])
+            out = [[{"start": m.start(), "pattern": i, "speaker": m.group(1).strip()} for i, p in enumerate(patterns) for m in p.finditer(t or "")] for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["key"], pa.array(out, kind)], ["key", "found"])
 
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("speaker", pa.string())]))
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("pattern", pa.int32()), ("speaker", pa.string())]))
     rows = texts.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    out = rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, found array<struct<start:long,speaker:string>>")
+    out = rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, found array<struct<start:long,pattern:int,speaker:string>>")
     return out.select(F.col("key").alias(key), F.explode("found").alias("f")).select(key, "f.*")
 
 
+def dialogue_counts(found: DataFrame, names: DataFrame, scope: Sequence[str], place: Sequence[str]) -> DataFrame:
+    """scope, id, dialogue: quotes of each character; ``found`` has scope, place, start, pattern and speaker.
+
+    A start belongs to the first pattern whose speaker is a known character; a match that
+    resolves to nobody leaves it to the later ones.
+    """
+    spoken = resolve(found, names, scope).where("character is not null")
+    one = spoken.groupBy(*scope, *(c for c in place if c not in scope), "start").agg(F.min_by("character", "pattern").alias("id"))
+    return one.groupBy(*scope, "id").agg(F.count("*").alias("dialogue"))
+
+
 def resolve(references: DataFrame, names: DataFrame, scope: Sequence[str], spoken: str = "speaker") -> DataFrame:
     """``references`` with character: the whole name, else the first of its words of three letters that a name holds.
 
     ``names``: scope, id, ord, name, aliases.  Full names and aliases win over parts of names;
     of equal keys the last full name or alias and the first part count.
     """
-    full = names.select(*scope, "id", "ord", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("k")).select(*scope, "id", F.lower("k").alias("k"), F.lit(0).alias("kind"), (-F.col("ord")).alias("o"))
-    part = names.select(*scope, "id", "ord", F.explode(X.words(F.col("name"))).alias("k")).where(F.char_length("k") >= 3).select(*scope, "id", F.lower("k").alias("k"), F.lit(1).alias("kind"), F.col("ord").alias("o"))
-    keys = full.unionByName(part).groupBy(*scope, "k").agg(F.min_by("id", F.struct("kind", "o", "id")).alias("id"))
-    asked = references.withColumn("_r", F.monotonically_increasing_id())
-    whole = F.lower(X.strip_honorifics(F.col(spoken)))
+    full = names.select(*scope, "id", "ord", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("_key")).select(*scope, "id", F.lower("_key").alias("_key"), F.lit(0).alias("_kind"), (-F.col("ord")).alias("_o"))
+    part = names.select(*scope, "id", "ord", F.explode(X.words(F.col("name"))).alias("_key")).where(F.char_length("_key") >= 3).select(*scope, "id", F.lower("_key").alias("_key"), F.lit(1).alias("_kind"), F.col("ord").alias("_o"))
+    keys = full.unionByName(part).groupBy(*scope, "_key").agg(F.min_by("id", F.struct("_kind", "_o", "id")).alias("_id"))
+    asked = references.select(*(F.col(c).alias(f"_{c}") for c in scope), F.col(spoken).alias("_said")).distinct()
+    whole = F.lower(X.strip_honorifics(F.col("_said")))
     tries = F.concat(F.array(F.struct(F.lit(-1).alias("at"), whole.alias("k"))), F.filter(F.transform(X.words(whole), lambda w, i: F.struct(i.alias("at"), w.alias("k"))), lambda x: F.char_length(x["k"]) >= 3))
-    hits = asked.select(*scope, "_r", F.explode(tries).alias("t")).select(*scope, "_r", F.col("t.at").alias("at"), F.col("t.k").alias("k")).join(keys, [*scope, "k"]).groupBy("_r").agg(F.min_by("id", "at").alias("character"))
-    return asked.join(hits, "_r", "left").drop("_r")
+    own = [f"_{c}" for c in scope]
+    tried = asked.select(*own, "_said", F.explode(tries).alias("_t")).select(*own, "_said", F.col("_t.at").alias("_at"), F.col("_t.k").alias("_key"))
+    hits = tried.join(keys.withColumnsRenamed({c: f"_{c}" for c in scope}), [*own, "_key"]).groupBy(*own, "_said").agg(F.min_by("_id", "_at").alias("character"))
+    same = F.col(spoken) == F.col("_said")
+    for c in scope:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    return references.join(hits, same, "left").drop(*own, "_said")
 
 
 def pronoun_hits(name: Column, text: Column, pronouns: Sequence[str], window: int = 300, sample: int = 500_000) -> Column:
@@ -152,11 +223,69 @@ def speakers(characters: DataFrame, book: str, order: str, gender: str = "gender
     return characters.withColumn("voice", voice)
 
 
+def _pitch(gender: str) -> Column:
+    return F.when(F.col(gender) == "male", -2.0).when(F.col(gender) == "female", 2.0).otherwise(0.0)
+
+
 def voice_profiles(characters: DataFrame, book: str, order: str) -> DataFrame:
-    """``characters`` (role, gender, age) with seed, temperature, speaking_rate and pitch_shift."""
+    """``characters`` (role, gender) with seed, temperature, speaking_rate and pitch_shift of their new voices."""
     i = F.row_number().over(Window.partitionBy(book).orderBy(order)) - 1
-    return characters.select(
+    return characters.select("*", (42 + i).alias("seed"), F.when(F.col("role") == "protagonist", 0.6).otherwise(0.7).alias("temperature"), F.lit(1.0).alias("speaking_rate"), _pitch("gender").alias("pitch_shift"))
+
+
+def trait_profiles(characters: DataFrame, book: str, order: str, profile: str = "voice_profile_id") -> DataFrame:
+    """Profiles by role, age and gender for the characters that have none; seeds count all characters."""
+    i = F.row_number().over(Window.partitionBy(book).orderBy(order)) - 1
+    rows = characters.select(
         "*", (42 + i).alias("seed"), F.when(F.col("role") == "protagonist", 0.6).when(F.col("role") == "supporting", 0.65).otherwise(0.7).alias("temperature"),
-        F.when(F.col("age") == "elderly", 0.9).when(F.col("age") == "child", 1.1).otherwise(1.0).alias("speaking_rate"),
-        F.when(F.col("gender") == "male", -2.0).when(F.col("gender") == "female", 2.0).otherwise(0.0).alias("pitch_shift"),
+        F.when(F.col("age") == "elderly", 0.9).when(F.col("age") == "child", 1.1).otherwise(1.0).alias("speaking_rate"), _pitch("gender").alias("pitch_shift"),
     )
+    return rows.where(F.col(profile).isNull())
+
+
+def character_table(chapters: DataFrame, book: str, chapter: str, text: str = "text", load: Recogniser | None = None, non_persons: DataFrame | None = None, verbs: Sequence[str] = vocab.ATTRIBUTION_VERBS, k: int = 30, least: int = 3, keep_from: int = 20) -> DataFrame:
+    """book, rank, name, aliases, n, dialogue, role, gender, first_chapter of each book's characters.
+
+    Entities are counted, non-persons dropped, names merged, dialogue counted, and only then
+    the ``k`` most frequent of each book taken and of these those with ``least`` mentions.
+    Gender is by first name, else by pronouns near the name in the first 500,000 characters of
+    the book (chapters joined by blank lines).  ``load``: a recogniser; by default
+    capitalised runs, with ``non_persons`` (name_lower) as the names tagged otherwise.
+    """
+    if load is None:
+        found = mentions(chapters, book, chapter, text)
+    else:
+        every = entities(chapters, book, chapter, load, text)
+        found = every.where("label = 'PERSON'").drop("label")
+        non_persons = every.where("label <> 'PERSON'").select(book, F.lower("name").alias("name_lower"))
+    counts = name_counts(found, book, chapter)
+    if non_persons is not None:
+        counts = drop_non_persons(counts, non_persons, keep_from, [book] if load else ())
+    else:
+        counts = counts.where(~X.is_non_character(F.col("name")))
+    merged = canonical(consolidate(counts, book), book)
+    names = merged.select(book, F.col("canonical").alias("id"), F.col("ord"), F.col("canonical").alias("name"), F.lit(None).cast("array<string>").alias("aliases"))
+    spoken = attributions(chapters.select(F.struct(book, chapter).alias("_at"), text), "_at", text, verbs).select(f"_at.{book}", f"_at.{chapter}", "start", "pattern", "speaker")
+    dialogue = dialogue_counts(spoken, names, [book], [book, chapter]).withColumnRenamed("id", "canonical")
+    ranked = Window.partitionBy(book).orderBy(F.desc("n"), "ord")
+    top = merged.withColumn("rank", F.row_number().over(ranked)).where((F.col("rank") <= k) & (F.col("n") >= least)).join(dialogue, [book, "canonical"], "left").withColumn("dialogue", F.coalesce("dialogue", F.lit(0)))
+    hits = near_pronouns(chapters, top.where(X.gender_by_name(F.col("canonical")).isNull()).select(book, "canonical"), book, chapter, text)
+    both = top.join(hits, [book, "canonical"], "left")
+    by_text = X.gender_by_pronouns(F.coalesce("male", F.lit(0)), F.coalesce("female", F.lit(0)))
+    return both.select(book, "rank", F.col("canonical").alias("name"), "aliases", "n", "dialogue", X.role(F.col("n"), F.col("dialogue")).alias("role"), F.coalesce(X.gender_by_name(F.col("canonical")), by_text).alias("gender"), "first_chapter")
+
+
+def near_pronouns(chapters: DataFrame, names: DataFrame, book: str, chapter: str, text: str = "text", sample: int = 500_000) -> DataFrame:
+    """book, canonical, male, female: matches of each name near pronouns in the opening of its book.
+
+    The opening is the first ``sample`` characters of the chapters joined by blank lines: at
+    most that much text meets for a book, whatever its size; what lies beyond is cut first.
+    """
+    before = Window.partitionBy(book).orderBy(chapter).rowsBetween(Window.unboundedPreceding, -1)
+    sized = chapters.select(book, chapter, F.col(text).alias("_t"), F.char_length(F.coalesce(text, F.lit(""))).alias("_n"))
+    placed = sized.select(book, chapter, "_n").withColumn("_from", F.coalesce(F.sum(F.col("_n") + 2).over(before), F.lit(0)))
+    needed = placed.where(F.col("_from") < sample).select(F.col(book).alias("_b"), F.col(chapter).alias("_c"), "_from")
+    parts = sized.join(needed, (F.col(book) == F.col("_b")) & (F.col(chapter) == F.col("_c"))).select(book, "_from", F.left("_t", (sample - F.col("_from")).cast("int")).alias("_t"))
+    opening = parts.groupBy(book).agg(F.left(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_from", "_t"))), lambda x: x["_t"]), "\n\n"), F.lit(sample)).alias("_head"))
+    asked = names.join(opening, book)
+    return asked.select(book, "canonical", pronoun_hits(F.col("canonical"), F.col("_head"), ("he", "him", "his")).alias("male"), pronoun_hits(F.col("canonical"), F.col("_head"), ("she", "her", "hers")).alias("female"))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..scratch import materialise
+
 
 def lookup(rows: DataFrame, column: str, value) -> DataFrame:
     """The row of a unique key; empty if there is none."""
@@ -80,6 +82,72 @@ def numbered(rows: DataFrame, part: Sequence[str], order: Sequence[Column | str]
     return rows.withColumn(out, F.row_number().over(Window.partitionBy(*part).orderBy(*order)) - 1 + first)
 
 
+def generated_keys(rows: DataFrame, order: Sequence[Column | str], out: str, first: int = 1) -> DataFrame:
+    """``rows`` numbered over the whole table in ``order``, without one task for all of them.
+
+    Rows are ranged, written to the shared folder, numbered within ranges, and each range starts
+    after the rows of those before: what meets in one task is one count for each range.
+    """
+    ranged = materialise(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("_part").agg(F.count("*").alias("_n")).select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.join(offsets, F.col("_part") == F.col("_p")).withColumn(out, F.col("_before") + inside - 1 + first).drop("_part", "_p", "_before")
+
+
+def zipped(rows: DataFrame, notes: DataFrame, key: str, order: Sequence[Column | str], note_order: Sequence[Column | str], fields: Sequence[str]) -> DataFrame:
+    """``rows`` with ``fields`` of the note at the same place within their key; rows beyond the notes go."""
+    side = numbered(notes, [key], note_order, "_j").select(F.col(key).alias("_k"), "_j", *fields)
+    return numbered(rows, [key], order, "_i").join(side, (F.col(key) == F.col("_k")) & (F.col("_i") == F.col("_j"))).drop("_i", "_j", "_k")
+
+
+def file_name(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def expected_texts(files: DataFrame, path: str, texts: DataFrame, text_path: str, text: str, order: str, out: str = "expected") -> DataFrame:
+    """``files`` with the text stored for a file of the same name, the last by ``order``; '' where there is none."""
+    side = texts.groupBy(file_name(F.col(text_path)).alias("_f")).agg(F.max_by(text, order).alias(out))
+    return files.join(side, file_name(F.col(path)) == F.col("_f"), "left").withColumn(out, F.coalesce(out, F.lit(""))).drop("_f")
+
+
+def acted(jobs: DataFrame, action: Column, mine: Column, now: Column) -> DataFrame:
+    """``jobs`` after an action on those that are ``mine``; one that is not allowed changes nothing.
+
+    A resumed job counts it, takes ``now`` as resumed_at and loses its error and completed_at; a
+    finished, failed or cancelled one takes ``now`` as completed_at.
+    """
+    to = F.when(mine, status_transition(F.col("status"), action)).otherwise(F.col("status"))
+    moved = to != F.col("status")
+    resumed, ended = moved & (action == "resume"), moved & to.isin("completed", "failed", "cancelled")
+    return jobs.withColumns({
+        "status": to, "resume_count": F.col("resume_count") + F.when(resumed, 1).otherwise(0), "error_message": F.when(resumed, F.lit(None)).otherwise(F.col("error_message")),
+        "resumed_at": F.when(resumed, now).otherwise(F.col("resumed_at")), "completed_at": F.when(resumed, F.lit(None)).when(ended, now).otherwise(F.col("completed_at")),
+    })
+
+
+def remaining(chapters: DataFrame, segments: DataFrame, chapter_id: str, link: str) -> DataFrame:
+    """Segments still to make: not made, and of no chapter that is made and has its sound."""
+    done = chapters.where("is_generated and audio_path is not null").select(F.col(chapter_id).alias("_c"))
+    return segments.where("not is_generated").join(done, F.col(link) == F.col("_c"), "left_anti")
+
+
+def until_cancelled(work: DataFrame, job: str, order: Sequence[str], cancels: Column, batch: int = 16) -> DataFrame:
+    """Work that is done although a job is cancelled: the flag is looked at once for each batch, before the next one."""
+    at = F.floor((F.row_number().over(Window.partitionBy(job).orderBy(*order)) - 1) / batch)
+    placed = work.withColumn("_b", at).withColumn("_stop", F.min(F.when(cancels, at)).over(Window.partitionBy(job)))
+    return placed.where("_stop is null or _b <= _stop").drop("_b", "_stop")
+
+
+def memory_guard(available_gb: Column, flush: float = 16, fail: float = 8) -> Column:
+    return F.when(available_gb < fail, "fail").when(available_gb < flush, "flush").otherwise("ok")
+
+
+def slow_requests(requests: DataFrame, milliseconds: Column, polling: Column, limit: float = 500) -> DataFrame:
+    """Logged requests with slow; polls of a job's state are not logged."""
+    return requests.where(~polling).withColumn("slow", milliseconds > limit)
+
+
 def progress(done: Column, total: Column, seconds: Column) -> Column:
     """struct(progress, rate, eta): per cent, units a second, and time left as 'Xm Ys'."""
     rate = done / F.greatest(seconds, F.lit(1.0))

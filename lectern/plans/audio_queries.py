@@ -7,6 +7,8 @@ from pyspark.sql.window import Window
 
 from ..functions import audio as S
 from ..functions import text as X
+from ..operators import backends as B
+from ..operators import reports as R
 from .common import clip, query, rms, words
 
 V = "embedding::double[]"
@@ -122,10 +124,17 @@ def _gapped():
     return F.transform(_x(), lambda v, i: F.when(F.floor(i / 8) % 3 == 0, F.lit(0.0)).otherwise(v))
 
 
-@query("s12_silence_check", "embeddings", sql=f"select vec_id, round(len(list_filter(en, lambda v: v < lev * 0.01)) / len(en), 9) as ratio, false as silent from {_S12}")
+#: every seventh signal is silent, the others have gaps
+_MUTED = "case when vec_id % 7 = 0 then list_transform(q, lambda v: 0.0) else q end"
+_GAPS = f"(select *, list_transform(en, lambda v: v < coalesce(lev, 0) * 0.01) as quiet from (select *, list_avg(list_filter(en, lambda v: v > 0)) as lev from (select vec_id, {_E8} as en from (select vec_id, {_MUTED} as q from (select vec_id, {_QUIET} as q from {_SRC})))))"
+_LONGEST = "list_max(list_transform(range(1, len(en) + 1), lambda i: list_max(list_transform(range(i, len(en) + 1), lambda j: case when list_bool_and(quiet[i:j]) then j - i + 1 else 0 end))))"
+
+
+@query("s12_silence_check", "embeddings", sql=f"select vec_id, case when lev is null then 1.0 else round(len(list_filter(quiet, lambda v: v)) / len(en), 9) end::double as ratio, case when lev is null then 0.0 else round({_LONGEST} * 0.05, 9) end::double as longest_s, lev is null as silent from {_GAPS}")
 def _(e):
-    r = e.select("vec_id", S.silence_report(_gapped(), 160, 0.05).alias("r"))
-    return r.select("vec_id", F.round("r.ratio", 9).alias("ratio"), "r.silent")
+    x = F.when(F.col("vec_id") % 7 == 0, F.transform(_x(), lambda v: F.lit(0.0))).otherwise(_gapped())
+    r = e.select("vec_id", S.silence_report(x, 160, 0.05).alias("r"))
+    return r.select("vec_id", F.round("r.ratio", 9).alias("ratio"), F.round("r.longest_s", 9).alias("longest_s"), "r.silent")
 
 
 @query("w6_longest_run", "events", sql="select user_id, coalesce(max(n), 0)::int as longest from (select user_id, count(*) filter (event_type <> 'error') as n from (select *, sum((event_type = 'error')::int) over (partition by user_id order by ts, event_id) as g from events) group by user_id, g) group by user_id")
@@ -162,17 +171,45 @@ def _(lineitem):
     return lineitem.select("l_orderkey", "l_linenumber", F.round(S.score(n % 3, n % 4, F.col("l_discount") * 10, F.col("l_tax") * 10), 6).alias("score"))
 
 
-@query("s17_quality_report", "embeddings", sql=f"select vec_id, array_to_string(list_filter([case when c > 0.5 then 'CLIPPING' end, case when s > 0.3 then 'MOSTLY_SILENT' end], lambda x: x is not null), ',') as issues from (select vec_id, len(list_filter(e, lambda v: abs(v) > 0.1)) / len(e) as c, len(list_filter(e, lambda v: abs(v) < 0.02)) / len(e) as s from {_SRC})")
+_S17 = f"""
+with q as (select vec_id, {_QUIET} as e, 64 / 4.0 as dur, case when vec_id % 5 = 0 then 0.0 else 4.0 + vec_id % 60 end as want, case vec_id % 4 when 0 then null when 1 then 0.5 when 2 then 0.7 else 0.9 end as sim from {_SRC}),
+g as (select *, list_transform(e, lambda v: sqrt(v * v)) as en from q),
+l as (select *, list_avg(list_filter(en, lambda v: v > 0)) as lev from g),
+m as (select *, len(list_filter(en, lambda v: v < lev * 0.01)) / len(en) as quiet, len(list_filter(e, lambda v: abs(v) > 0.2)) / len(e) as clip, case when want > 0 then dur / want end as ratio,
+  list_transform(range(len(e) // 4), lambda i: {rms('e[i * 4 + 1:i * 4 + 4]')}) as sec from l),
+z as (select *, list_stddev_pop(sec) as sd, list_transform(sec, lambda v: (v - list_avg(sec)) / (list_stddev_pop(sec) + 1e-10)) as zs from m),
+r as (select *, case when len(sec) > 10 and sd >= 1e-8 then greatest(0.0, list_max(list_transform(range(2, 10), lambda k: list_sum(list_transform(range(1, len(zs) - k + 1), lambda i: zs[i] * zs[i + k])) / (list_sum(list_transform(zs, lambda v: v * v)) + 1e-10)))) else 0 end as rep from z),
+s as (select vec_id, sim, rep, list_filter([case when ratio > 2.5 then 'RUNAWAY' end, case when quiet > 0.4 then 'MOSTLY_SILENT' end, case when clip > 0.2 then 'CLIPPING' end, case when rep > 0.3 then 'REPETITION' end, case when sim < 0.6 then 'GIBBERISH' end], lambda x: x is not null) as issues,
+  list_filter([case when ratio > 1.8 and ratio <= 2.5 then 'LONG' end, case when ratio < 0.3 then 'SHORT' end, case when clip > 0.05 and clip <= 0.2 then 'MINOR_CLIPPING' end, case when rep > 0.2 and rep <= 0.3 then 'POSSIBLE_REPETITION' end, case when sim >= 0.6 and sim < 0.75 then 'MISMATCH' end], lambda x: x is not null) as warnings from r)
+select vec_id, array_to_string(issues, ',') as issues, array_to_string(warnings, ',') as warnings, len(issues) = 0 as passed,
+  round(greatest(0.0, least(100.0, 100 - 20 * len(issues) - 5 * len(warnings) - case when sim < 1 then (1 - sim) * 40 else 0 end - case when rep > 0.3 then rep * 30 else 0 end)), 4)::double as score from s
+"""
+
+
+@query("s17_quality_report", "embeddings", sql=_S17)
 def _(e):
-    quiet = F.size(F.filter(_x(), lambda v: F.abs(v) < 0.02)) / F.size(_x())
-    issues = F.array_compact(F.array(F.when(S.clipping_ratio(_x(), 0.1) > 0.5, "CLIPPING"), F.when(quiet > 0.3, "MOSTLY_SILENT")))
-    return e.select("vec_id", F.array_join(issues, ",").alias("issues"))
+    k = F.col("vec_id")
+    rows = e.select("vec_id", _gapped().alias("x"), F.when(k % 5 == 0, 0.0).otherwise(4.0 + k % 60).alias("want"), F.when(k % 4 == 1, 0.5).when(k % 4 == 2, 0.7).when(k % 4 == 3, 0.9).alias("sim"))
+    limits = {"clipping_level": 0.2, "clipping_ratio_fail": 0.2, "clipping_ratio_warn": 0.05, "repetition_score_fail": 0.3, "repetition_score_warn": 0.2, "max_silence_s_fail": 1e9, "max_silence_s_warn": 1e8}
+    report = R.quality_report(rows, "x", 4, "want", "sim", limits, window_samples=1)
+    kinds = lambda c: F.array_join(F.transform(c, lambda m: F.split_part(m, F.lit(":"), F.lit(1))), ",").alias(c)
+    return report.select("vec_id", kinds("issues"), kinds("warnings"), "passed", F.round("score", 4).alias("score"))
 
 
 @query("s18_retry", "events", sql="select user_id, coalesce(min(event_id) filter (event_type = 'purchase'), max(event_id)) as attempt from events group by user_id")
 def _(events):
-    passed = F.when(F.col("event_type") == "purchase", F.col("event_id"))
-    return events.groupBy("user_id").agg(F.coalesce(F.min(passed), F.max("event_id")).alias("attempt"))
+    return B.retried(events, ["user_id"], F.col("event_type") == "purchase", "event_id").select("user_id", F.col("event_id").alias("attempt"))
+
+
+@query(
+    "s11_concatenate_chapters", "embeddings",
+    sql=f"""with c as (select label, vec_id, {V} as x, row_number() over (partition by label order by vec_id) as i from embeddings where vec_id % 3 <> 0)
+      select l.label, coalesce(n, 0)::int as n, total, case when n is null then 'no chapter has sound' end as error from (select distinct label from embeddings) l left join (select label, sum(len(x)) + 20 * (count(*) - 1) as n, round(list_sum(flatten(list(x order by vec_id))), 5) as total from c group by label) using (label)""",
+)
+def _(e):
+    rows = e.select("label", "vec_id", F.when(F.col("vec_id") % 3 != 0, _x()).alias("x"))
+    books = B.concatenate_chapters(rows, "label", "vec_id", "x", rate=10, to=10, silence_ms=2000, fade_ms=0)
+    return books.select("label", F.coalesce(F.size("samples"), F.lit(0)).alias("n"), F.when(F.col("samples").isNotNull(), _sum(F.col("samples"), 5)).alias("total"), "error")
 
 
 @query("s19_silence_substitute", "documents", sql=f"select doc_id, case when doc_id % 3 = 0 then floor(240 * greatest(0.5::double, len({words('text')}) * 0.15::double))::int else 1 end as n from documents")
@@ -192,6 +229,21 @@ def _(e):
     return e.select("vec_id", tail.alias("t")).select("vec_id", F.when(F.col("t").isNotNull(), _sum(F.col("t"), 5)).alias("carried"))
 
 
-@query("s22_prosody", "embeddings", sql=f"select vec_id, round({rms('e')}, 6) as energy, round(greatest(1.5, least(5.0, 2 + 20 * (list_sum(list_transform(range(1, len(e)), lambda i: ((e[i] >= 0) <> (e[i + 1] >= 0))::int)) / len(e)))), 6)::double as rate from {_SRC}")
+_POWER = "list_sum(list_transform(w, lambda v: v * v))"
+_LAGS = "list_transform(range(1, 9), lambda k: {'r': list_sum(list_transform(range(1, 16 - k + 1), lambda i: w[i] * w[i + k])), 'k': -k})"
+_S22 = f"""
+with f as (select vec_id, e, unnest(range(4)) as i from {_SRC}), w as (select vec_id, i, e[i * 16 + 1:i * 16 + 16] as w from f),
+b as (select vec_id, i, list_max({_LAGS}) as best, {_POWER} as power from w),
+p as (select vec_id, i, case when best.r > 0 and best.r >= 0.3 * power then 160.0 / -best.k end::double as hz from b),
+c as (select vec_id, coalesce(avg(hz), 150.0) as pitch_mean, coalesce(stddev_pop(hz), 0.0) as pitch_std, count(hz) as voiced, list(hz order by i) as hz from p group by vec_id)
+select vec_id, round(pitch_mean, 6) as pitch_mean, round(pitch_std, 6) as pitch_std, round(case when voiced = 0 then 150.0 else list_sum(list_transform(hz, lambda v: coalesce(v, pitch_mean))) end, 5) as contour,
+  round({rms('e')}, 6) as energy, 120.0::double as tempo, round(greatest(1.5, least(5.0, 2 + 20 * (list_sum(list_transform(range(1, len(e)), lambda i: ((e[i] >= 0) <> (e[i + 1] >= 0))::int)) / len(e)))), 6)::double as rate, 0.4::double as duration
+from c join {_SRC} using (vec_id)
+"""
+
+
+@query("s22_prosody", "embeddings", sql=_S22)
 def _(e):
-    return e.select("vec_id", F.round(S.rms(_x()), 6).alias("energy"), F.round(S.speaking_rate(_x()), 6).alias("rate"))
+    p = e.select("vec_id", _x().alias("x")).select("vec_id", "x", S.prosody(F.col("x"), 160, 16, 16, low=20, voiced=0.3).alias("p"))
+    six = lambda c: F.round(f"p.{c}", 6).alias(c)
+    return p.select("vec_id", six("pitch_mean"), six("pitch_std"), _sum(F.col("p.pitch_contour"), 5).alias("contour"), F.round(S.rms(F.col("x")), 6).alias("energy"), "p.tempo", F.round("p.speaking_rate", 6).alias("rate"), "p.duration")

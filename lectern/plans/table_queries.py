@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions import vocab
+from ..operators import backends as B
 from ..operators import characters as P
+from ..operators import reports as R
 from ..operators import tables as T
 from .common import listed, query, words
 
@@ -80,9 +84,9 @@ def _(lineitem):
     return lineitem.where(~(F.col("l_linestatus") == "F")).select("l_orderkey", "l_linenumber")
 
 
-@query("q13_generated_keys", "nation", sql="select n_name, row_number() over (order by n_name)::int as id from nation")
-def _(nation):
-    return T.numbered(nation, [], ["n_name"], "id").select("n_name", "id")
+@query("q13_generated_keys", "customer", sql="select c_custkey, c_name, row_number() over (order by c_name, c_custkey) as id from customer")
+def _(customer):
+    return T.generated_keys(customer, ["c_name", "c_custkey"], "id").select("c_custkey", "c_name", "id")
 
 
 @query("q14_patch", "customer", sql="select c_custkey, case c_custkey % 3 when 0 then 'patched' else c_name end as c_name, case when c_custkey % 3 = 1 then null else c_mktsegment end as c_mktsegment from customer")
@@ -176,11 +180,12 @@ def _(customer, nation):
     return P.resolve(said, names, ["region"]).select("c_custkey", "character")
 
 
-_COUNTS = "select source, name, count(*) as n, min(doc_id) as first_chapter, min((doc_id, pos)) as seen from (select source, doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+(?:\\s+[A-Z][a-z]+){0,2}')) as name, unnest(range(len(regexp_extract_all(text, '[A-Z][a-z]+(?:\\s+[A-Z][a-z]+){0,2}')))) as pos from documents) where length(name) >= 3 and not list_has_any(string_split(lower(name), ' '), " + listed(vocab.STOP_NAMES) + ") and not regexp_matches(name, '\\s\\s|\\n') group by source, name"
+_SHORT = ", ".join(f"'{w}'" for w in vocab.SHORT_WORDS)
+_COUNTS = "select source, name, count(*) as n, min(doc_id) as first_chapter, min((doc_id, pos)) as seen from (select source, doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+(?:\\s+[A-Z][a-z]+){0,2}')) as name, unnest(range(len(regexp_extract_all(text, '[A-Z][a-z]+(?:\\s+[A-Z][a-z]+){0,2}')))) as pos from documents) where not (length(name) <= 2 and lower(name) in (" + _SHORT + ")) and not list_has_any(regexp_split_to_array(lower(name), '\\s+'), " + listed(vocab.STOP_NAMES) + ") group by source, name"
 
 
 def _names(docs):
-    return P.name_counts(P.mentions(docs, "source", "doc_id").where(~F.col("name").rlike(r"\s\s|\n") & (F.char_length("name") >= 3)), "source", "doc_id")
+    return P.name_counts(P.mentions(docs, "source", "doc_id"), "source", "doc_id")
 
 
 @query("g2_entity_counts", "documents", sql=f"select source, name, n, first_chapter from ({_COUNTS})")
@@ -194,14 +199,22 @@ def _(docs, region):
     return P.drop_non_persons(_names(docs), tagged).select("source", "name", "n")
 
 
-@query("j4_expected_text", "pages", "benchmark", sql="select page_id, coalesce(text, '') as expected from pages left join benchmark on item_id = page_id")
+_FILE = r"regexp_extract(url, '([^/]*)$', 1)"
+
+
+@query("j4_expected_text", "pages", "benchmark", sql=f"select page_id, {_FILE} as file, coalesce(text, '') as expected from pages left join (select f, arg_max(text, item_id) as text from (select item_id, text, 'page' || (item_id % 60) || '.html' as f from benchmark) group by f) on f = 'page' || (page_id % 100) || '.html'")
 def _(pages, benchmark):
-    return pages.join(benchmark, F.col("item_id") == F.col("page_id"), "left").select("page_id", F.coalesce("text", F.lit("")).alias("expected"))
+    texts = benchmark.select(F.concat(F.lit("/store/texts/page"), F.col("item_id") % 60, F.lit(".html")).alias("path"), "text", "item_id")
+    files = pages.select("page_id", "url", F.concat(F.lit("out/sounds/page"), F.col("page_id") % 100, F.lit(".html")).alias("file_path"))
+    joined = T.expected_texts(files, "file_path", texts, "path", "text", "item_id")
+    return joined.select("page_id", F.element_at(F.split("url", "/"), -1).alias("file"), "expected")
 
 
-@query("j5_annotation_zip", "conversations", "documents", sql="select conv_id, turn, c.text, lang from conversations c join documents d on d.doc_id = c.conv_id")
-def _(conv, docs):
-    return conv.join(docs.select("doc_id", "lang"), F.col("conv_id") == F.col("doc_id")).select("conv_id", "turn", "text", "lang")
+@query("j5_annotation_zip", "conversations", sql="""with n as (select conv_id, turn, text, row_number() over (partition by conv_id order by turn, text) as i, row_number() over (partition by conv_id order by text desc, turn) as j, role from conversations)
+select a.conv_id, a.turn, a.text, b.role as annotation from n a join n b on a.conv_id = b.conv_id and a.i = b.j""")
+def _(conv):
+    notes = conv.select("conv_id", F.col("text").alias("note_text"), "turn", F.col("role").alias("annotation"))
+    return T.zipped(conv, notes, "conv_id", ["turn", "text"], [F.desc("note_text"), "turn"], ["annotation"]).select("conv_id", "turn", "text", "annotation")
 
 
 # ---- G: aggregates -----------------------------------------------------------------------
@@ -217,25 +230,50 @@ def _(docs):
     return P.top_then_having(_names(docs), "source").select("source", "name", "n", "rank")
 
 
-@query("g4_first_chapter", "documents", sql=f"select source, left(name, 3) as form, min(first_chapter) as first_chapter from ({_COUNTS}) group by 1, 2")
-def _(docs):
-    return _names(docs).groupBy("source", F.left("name", F.lit(3)).alias("form")).agg(F.min("first_chapter").alias("first_chapter"))
+#: words of the tables that stand for honorifics
+_TITLES = ("the", "and", "die", "und", "der", "la", "el", "le", "les", "that", "she", "mr")
+_BARE = f"select *, case when len(w) > 0 then array_to_string(w, ' ') else name end as bare from (select *, list_filter({words('name')}, lambda w: not list_contains({listed(_TITLES)}, lower(w))) as w from ({_COUNTS}))"
+_CORES = f"select source, lower(bare) as core, arg_max(bare, (length(bare), n, -seen[1], -seen[2], name)) as canonical, list_sort(list(name)) as forms, sum(n)::bigint as n, min(first_chapter) as first_chapter from ({_BARE}) group by source, lower(bare)"
+
+
+def _characters(docs):
+    """Canonical names by core alone: the closure over cores has no SQL."""
+    cored = P.with_core(_names(docs), _TITLES)
+    return P.canonical(cored.withColumn("grp", F.col("core")).withColumn("ord", F.lit(0)), "source")
 
 
-@query("g5_distinct_aliases", "documents", sql=f"select source, left(name, 4) as form, array_to_string(list_sort(list_filter(list_distinct(list(name)), lambda x: x <> 'The')), ',') as aliases from ({_COUNTS}) group by 1, 2")
+@query("g4_first_chapter", "documents", sql=f"select source, canonical, first_chapter from ({_CORES})")
 def _(docs):
-    by = _names(docs).groupBy("source", F.left("name", F.lit(4)).alias("form")).agg(F.sort_array(F.collect_set("name")).alias("a"))
-    return by.select("source", "form", F.array_join(F.array_remove("a", "The"), ",").alias("aliases"))
+    return _characters(docs).select("source", "canonical", "first_chapter")
 
 
-@query("g6_canonical", "documents", sql=f"select source, left(name, 4) as form, arg_max(name, (length(name), n, name)) as canonical, sum(n)::bigint as n from ({_COUNTS}) group by 1, 2")
+@query("g5_distinct_aliases", "documents", sql=f"select source, canonical, array_to_string(list_filter(forms, lambda f: f <> canonical), ',') as aliases from ({_CORES})")
 def _(docs):
-    return _names(docs).groupBy("source", F.left("name", F.lit(4)).alias("form")).agg(F.max_by("name", F.struct(F.char_length("name"), "n", "name")).alias("canonical"), F.sum("n").alias("n"))
+    return _characters(docs).select("source", "canonical", F.array_join("aliases", ",").alias("aliases"))
 
 
-@query("g7_attributions", "documents")
+@query("g6_canonical", "documents", sql=f"select source, canonical, n from ({_CORES})")
 def _(docs):
-    return P.attributions(docs, "doc_id", verbs=("the", "of", "was", "token"))
+    return _characters(docs).select("source", "canonical", "n")
+
+
+#: speakers by turn: a full name, a part of it, a name with a title, an unknown one
+_SAID = ("Anna Bell", "Bell", "Carl Stone", "Dora")
+_NAMED = "select * from (values ('Anna Bell', 'Anna Bell', 0), ('Carl Stone', 'Carl Stone', 1)) v(id, name, ord)"
+
+
+@query(
+    "g7_attributions", "conversations", "region",
+    sql="""select conv_id, id, count(*) as dialogue from (select conv_id, unnest(case turn % 4 when 0 then ['Anna Bell', 'Carl Stone'] when 1 then ['Anna Bell', 'Carl Stone'] when 2 then ['Carl Stone', 'Carl Stone'] else ['Carl Stone'] end) as id from conversations) group by conv_id, id""",
+)
+def _(conv, region):
+    quote = F.translate("text", "\"“”‘’", "     ")
+    who = F.get(F.array(*map(F.lit, _SAID)), (F.col("turn") % 4).cast("int"))
+    said = conv.select("conv_id", "turn", F.concat(F.lit("“x"), quote, F.lit(".” said "), who, F.lit(". Then Stone whispered: “"), quote, F.lit("y” and left")).alias("text"))
+    names = region.limit(1).select(F.explode(F.array(*(F.struct(F.lit(n).alias("id"), F.lit(n).alias("name"), F.lit(i).alias("ord")) for i, n in enumerate((_SAID[0], _SAID[2]))))).alias("n")).select("n.*", F.lit(None).cast("array<string>").alias("aliases"))
+    found = P.attributions(said.select(F.struct("conv_id", "turn").alias("k"), "text"), "k").select("k.conv_id", "k.turn", "start", "pattern", "speaker")
+    every = conv.select("conv_id").distinct().join(F.broadcast(names))
+    return P.dialogue_counts(found, every, ["conv_id"], ["conv_id", "turn"])
 
 
 @query("g8_role", "documents", sql=f"select source, name, case when n + 2 * (n % 7) > 50 then 'protagonist' when n + 2 * (n % 7) > 20 then 'supporting' else 'minor' end as role from ({_COUNTS})")
@@ -255,14 +293,15 @@ def _(docs):
 
 @query("g10_summary", "labels", sql="select count(*) filter (quality = 1) as passed, count(*) filter (quality = 0) as failed, count(*) filter (quality = 1 and toxic = 1) as warned, round(sum(quality * 100.0) / greatest(count(*), 1), 6) as avg_score from labels")
 def _(labels):
-    ok = F.col("quality") == 1
-    return labels.agg(F.count_if(ok).alias("passed"), F.count_if(~ok).alias("failed"), F.count_if(ok & (F.col("toxic") == 1)).alias("warned"), F.round(F.sum(F.col("quality") * 100.0) / F.greatest(F.count("*"), F.lit(1)), 6).alias("avg_score"))
+    some = lambda c, text: F.when(c, F.array(F.lit(text))).otherwise(F.array().cast("array<string>"))
+    reports = labels.select(some(F.col("quality") != 1, "BAD: x").alias("issues"), some(F.col("toxic") == 1, "TOXIC: y").alias("warnings"), (F.col("quality") * 100.0).alias("score"))
+    return R.summary(reports).select("passed", "failed", "warned", F.round("avg_score", 6).alias("avg_score"))
 
 
 @query("g11_issue_histogram", "events", sql="select issue, count(*) as n from (select event_type as issue from events union all select case when value > 50 then 'HIGH' else 'LOW' end from events where event_id % 2 = 0) group by issue")
 def _(events):
-    issues = F.concat(F.array(F.concat("event_type", F.lit(": first"))), F.when(F.col("event_id") % 2 == 0, F.array(F.when(F.col("value") > 50, "HIGH: x").otherwise("LOW: y"))).otherwise(F.array().cast("array<string>")))
-    return events.select(F.explode(issues).alias("i")).groupBy(F.split_part("i", F.lit(":"), F.lit(1)).alias("issue")).agg(F.count("*").alias("n"))
+    warnings = F.when(F.col("event_id") % 2 == 0, F.array(F.when(F.col("value") > 50, "HIGH: x").otherwise("LOW: y"))).otherwise(F.array().cast("array<string>"))
+    return R.issue_histogram(events.select(F.array(F.concat("event_type", F.lit(": first"))).alias("issues"), warnings.alias("warnings"))).select("issue", "n")
 
 
 @query("g12_peak", "events", sql="select event_id, max(value) over (partition by user_id order by ts, event_id rows unbounded preceding) as peak from events")
@@ -298,17 +337,20 @@ def _(conv):
 
 @query("w2_context_windows", "events", sql="with n as (select user_id, event_id, row_number() over (partition by user_id order by event_id) - 1 as i, count(*) over (partition by user_id) as m, string_agg(event_type, ' ') over (partition by user_id order by event_id rows between 5 preceding and 1 preceding) as context from events) select user_id, w::int as win, event_id, case when i = w * 9 then coalesce(context, '') end as context from n, lateral (select unnest(range(greatest(0, (i - 3) // 9), i // 9 + 1)) as w) where i >= w * 9 and i < w * 9 + 12")
 def _(events):
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    n = events.withColumn("i", F.row_number().over(w) - 1).withColumn("c", F.array_join(F.collect_list("event_type").over(w.rowsBetween(-5, -1)), " "))
-    first = F.greatest(F.lit(0), F.floor((F.col("i") - 3) / 9)).cast("int")
-    placed = n.withColumn("win", F.explode(F.sequence(first, F.floor(F.col("i") / 9).cast("int")))).where("i >= win * 9 and i < win * 9 + 12")
-    return placed.select("user_id", "win", "event_id", F.when(F.col("i") == F.col("win") * 9, F.col("c")).alias("context"))
+    n = T.numbered(events, ["user_id"], ["event_id"], "i", 0)
+    placed = B.context_windows(n, "user_id", "i", "event_type")
+    return placed.join(n.select("user_id", F.col("i").alias("at"), "event_id"), ["user_id", "at"]).select("user_id", "win", "event_id", "context")
 
 
-@query("w3_first_window_wins", "lineitem", sql="select l_partkey, arg_min(l_returnflag, (l_orderkey, l_linenumber)) as annotation from lineitem group by l_partkey")
-def _(lineitem):
-    w = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber")
-    return lineitem.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("l_partkey", F.col("l_returnflag").alias("annotation"))
+@query(
+    "w3_first_window_wins", "lineitem", "part",
+    sql="""select p_partkey, case when k is null then 'neutral' else coalesce(k[1], 'neutral') end as emotion, case when k is null then 'normal' else coalesce(k[2], 'normal') end as pacing from part
+      left join (select l_partkey, arg_min([nullif(l_returnflag, 'N'), l_linestatus], l_orderkey * 10 + l_linenumber) as k from lineitem group by l_partkey) on l_partkey = p_partkey""",
+)
+def _(lineitem, part):
+    notes = lineitem.select(F.lit(1).alias("chapter"), F.col("l_partkey").alias("i"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("win"), F.nullif("l_returnflag", F.lit("N")).alias("emotion"), F.col("l_linestatus").alias("pacing"))
+    sentences = part.select(F.lit(1).alias("chapter"), F.col("p_partkey").alias("i"))
+    return B.first_window_wins(sentences, notes, "chapter", "i", {"emotion": "neutral", "pacing": "normal"}).select(F.col("i").alias("p_partkey"), "emotion", "pacing")
 
 
 @query("w4_boundary_fades", "events", sql="select event_id, case when event_type <> lead(event_type) over w then 300 when lead(event_type) over w is not null then 100 end as fade_ms from events window w as (partition by user_id order by ts, event_id)")
@@ -349,43 +391,68 @@ def _(lineitem):
 # ---- N: consolidation --------------------------------------------------------------------
 
 
-@query("n1_mentions", "documents", sql=f"select source, sum(n)::bigint as mentions from ({_COUNTS}) group by source")
+_PLACES = ("The", "Die", "And", "Las", "Les")
+
+
+def _recogniser():
+    """A recogniser back-end: capitalised runs, of which some words are places."""
+    pattern = re.compile(vocab.NAME_PATTERN, re.ASCII)
+    return lambda text: [(m.group(), "PLACE" if m.group() in _PLACES else "PERSON") for m in pattern.finditer(text)]
+
+
+@query("n1_mentions", "documents", sql=f"select source, case when name in ({', '.join(f"'{p}'" for p in _PLACES)}) then 'PLACE' else 'PERSON' end as label, sum(n)::bigint as mentions from ({_COUNTS}) group by 1, 2")
 def _(docs):
-    return _names(docs).groupBy("source").agg(F.sum("n").alias("mentions"))
+    return P.entities(docs, "source", "doc_id", _recogniser).groupBy("source", "label").agg(F.count("*").alias("mentions"))
 
 
-@query("n3_cores", "documents", sql=f"select source, lower(name) as core, sum(n)::bigint as total from ({_COUNTS}) where not list_has_any(string_split(lower(name), ' '), {listed(vocab.HONORIFICS)}) group by 1, 2")
+@query("n2_persons", "documents", sql=f"select source, name, n, first_chapter from ({_COUNTS}) c where name not in ({', '.join(f"'{p}'" for p in _PLACES)}) and not (n < 20 and lower(name) in ({', '.join(f"'{p.lower()}'" for p in _PLACES)})) and not list_has_any(list_concat([lower(name)], {words('lower(name)')}), {listed(vocab.KNOWN_NON_CHARACTERS)})")
 def _(docs):
-    rows = _names(docs).where(~F.arrays_overlap(F.split(F.lower("name"), " "), F.array(*map(F.lit, vocab.HONORIFICS))))
-    return rows.groupBy("source", F.lower(X.strip_honorifics(F.col("name"))).alias("core")).agg(F.sum("n").alias("total"))
+    found = P.entities(docs, "source", "doc_id", _recogniser)
+    tagged = found.where("label <> 'PERSON'").select("source", F.lower("name").alias("name_lower"))
+    return P.drop_non_persons(P.name_counts(found.where("label = 'PERSON'"), "source", "doc_id"), tagged, by=["source"]).select("source", "name", "n", "first_chapter")
+
+
+@query("n3_cores", "documents", sql=f"select source, lower(bare) as core, sum(n)::bigint as total from ({_BARE}) group by 1, 2")
+def _(docs):
+    return P.with_core(_names(docs), _TITLES).groupBy("source", "core").agg(F.sum("n").alias("total"))
 
 
 @query("n4_name_groups", "documents")
 def _(docs):
-    return P.consolidate(_names(docs).where("n >= 3"), "source").select("source", "name", "grp")
+    return P.consolidate(_names(docs), "source", _TITLES).select("source", "name", "grp")
 
 
 @query("n5_characters", "documents")
 def _(docs):
-    return P.canonical(P.consolidate(_names(docs).where("n >= 3"), "source"), "source").drop("aliases")
+    return P.canonical(P.consolidate(_names(docs), "source", _TITLES), "source").select("source", "canonical", "n", "first_chapter", F.array_join("aliases", ",").alias("aliases"))
 
 
 @query("n6_character_table", "documents")
 def _(docs):
-    people = P.canonical(P.consolidate(P.top_then_having(_names(docs), "source"), "source"), "source")
-    ranked = people.select("source", "canonical", "n", "first_chapter", X.role(F.col("n"), F.lit(0)).alias("role"), X.gender_by_name(F.col("canonical")).alias("gender"))
-    return P.speakers(ranked.withColumn("ord", F.struct(-F.col("n"), "canonical")), "source", "ord").drop("ord")
+    people = P.character_table(docs, "source", "doc_id", load=_recogniser, verbs=("the", "of", "was", "token"))
+    return P.speakers(people, "source", "rank").withColumn("aliases", F.array_join("aliases", ","))
+
+
+def _roles(customer):
+    k = F.col("c_custkey")
+    return customer.select("c_custkey", "c_nationkey", F.when(k % 3 == 0, "protagonist").when(k % 3 == 1, "supporting").otherwise("minor").alias("role"), F.when(k % 5 < 2, "male").when(k % 5 < 4, "female").alias("gender"), F.when(k % 7 == 0, "elderly").when(k % 7 == 1, "child").alias("age"), F.when(k % 4 == 0, k).alias("voice_profile_id"))
+
+
+_PITCH = "case when c_custkey % 5 < 2 then -2.0 when c_custkey % 5 < 4 then 2.0 else 0.0 end::double as pitch_shift"
+
+
+@query("n7_voice_profiles", "customer", sql=f"select c_custkey, (41 + row_number() over (partition by c_nationkey order by c_custkey))::int as seed, case c_custkey % 3 when 0 then 0.6 else 0.7 end::double as temperature, 1.0::double as speaking_rate, {_PITCH} from customer")
+def _(customer):
+    return P.voice_profiles(_roles(customer), "c_nationkey", "c_custkey").select("c_custkey", "seed", "temperature", "speaking_rate", "pitch_shift")
 
 
 @query(
-    "n7_voice_profiles", "customer",
-    sql="""select c_custkey, (41 + row_number() over (partition by c_nationkey order by c_custkey))::int as seed, case c_custkey % 3 when 0 then 0.6 when 1 then 0.65 else 0.7 end::double as temperature,
-      case when c_custkey % 7 = 0 then 0.9 when c_custkey % 7 = 1 then 1.1 else 1.0 end::double as speaking_rate, case when c_custkey % 2 = 0 then -2.0 else 2.0 end::double as pitch_shift from customer""",
+    "n8_trait_profiles", "customer",
+    sql=f"""select * from (select c_custkey, (41 + row_number() over (partition by c_nationkey order by c_custkey))::int as seed, case c_custkey % 3 when 0 then 0.6 when 1 then 0.65 else 0.7 end::double as temperature,
+      case when c_custkey % 7 = 0 then 0.9 when c_custkey % 7 = 1 then 1.1 else 1.0 end::double as speaking_rate, {_PITCH} from customer) where c_custkey % 4 <> 0""",
 )
 def _(customer):
-    k = F.col("c_custkey")
-    rows = customer.select("c_custkey", "c_nationkey", F.when(k % 3 == 0, "protagonist").when(k % 3 == 1, "supporting").otherwise("minor").alias("role"), F.when(k % 2 == 0, "male").otherwise("female").alias("gender"), F.when(k % 7 == 0, "elderly").when(k % 7 == 1, "child").alias("age"))
-    return P.voice_profiles(rows, "c_nationkey", "c_custkey").select("c_custkey", "seed", F.col("temperature").cast("double").alias("temperature"), F.col("speaking_rate").cast("double").alias("speaking_rate"), F.col("pitch_shift").cast("double").alias("pitch_shift"))
+    return P.trait_profiles(_roles(customer), "c_nationkey", "c_custkey").select("c_custkey", "seed", "temperature", "speaking_rate", "pitch_shift")
 
 
 # ---- L: jobs -----------------------------------------------------------------------------
@@ -409,20 +476,37 @@ def _(events):
     return T.replay(events.withColumn("action", act), "user_id", ["ts", "event_id"], "action")
 
 
-@query("l2_resume_fields", "orders", sql="select o_orderkey, (o_orderkey % 4 + 1)::int as resume_count, null::varchar as error_message, 'generating' as status from orders where o_orderstatus = 'P'")
+@query(
+    "l2_resume_fields", "orders",
+    sql="""select o_orderkey, case when p then 'generating' else s end as status, (o_orderkey % 4 + p::int)::int as resume_count, case when p then null else 'old' end as error_message, case when p then timestamp '2024-05-06 07:08:09' end as resumed_at,
+      case when p then null else o_orderdate::timestamp end as completed_at from (select *, s in ('paused', 'failed') as p from (select *, case o_orderstatus when 'P' then 'paused' when 'F' then 'failed' else 'completed' end as s from orders))""",
+)
 def _(orders):
-    return orders.where("o_orderstatus = 'P'").select("o_orderkey", (F.col("o_orderkey") % 4 + 1).cast("int").alias("resume_count"), F.lit(None).cast("string").alias("error_message"), F.lit("generating").alias("status"))
+    status = F.when(F.col("o_orderstatus") == "P", "paused").when(F.col("o_orderstatus") == "F", "failed").otherwise("completed")
+    jobs = orders.select("o_orderkey", status.alias("status"), (F.col("o_orderkey") % 4).cast("int").alias("resume_count"), F.lit("old").alias("error_message"), F.lit(None).cast("timestamp").alias("resumed_at"), F.col("o_orderdate").cast("timestamp").alias("completed_at"))
+    done = T.acted(jobs, F.lit("resume"), F.lit(True), F.lit("2024-05-06 07:08:09").cast("timestamp"))
+    return done.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("resumed_at", "completed_at")})
 
 
 @query("l3_remaining_work", "lineitem", "orders", sql="select l_orderkey, l_linenumber from lineitem where l_linestatus <> 'F' and l_orderkey not in (select o_orderkey from orders where o_orderstatus = 'F' and o_totalprice > 0)")
 def _(lineitem, orders):
-    done = orders.where("o_orderstatus = 'F' and o_totalprice > 0").select("o_orderkey")
-    return lineitem.join(done, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").where("l_linestatus <> 'F'").select("l_orderkey", "l_linenumber")
+    chapters = orders.select(F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "F").alias("is_generated"), F.when(F.col("o_totalprice") > 0, "x.wav").alias("audio_path"))
+    segments = lineitem.select("l_orderkey", "l_linenumber", (F.col("l_linestatus") == "F").alias("is_generated"))
+    return T.remaining(chapters, segments, "id", "l_orderkey").select("l_orderkey", "l_linenumber")
+
+
+@query(
+    "l4_cancelled_work", "events",
+    sql="""with n as (select user_id, event_id, (row_number() over (partition by user_id order by event_id) - 1) // 16 as batch, event_type from events)
+      select user_id, event_id from n where batch <= coalesce((select min(batch) from n m where m.user_id = n.user_id and m.event_type = 'purchase'), 1000000000)""",
+)
+def _(events):
+    return T.until_cancelled(events, "user_id", ["event_id"], F.col("event_type") == "purchase", 16).select("user_id", "event_id")
 
 
 @query("l5_memory_guard", "events", sql="select event_id, case when value < 8 then 'fail' when value < 16 then 'flush' else 'ok' end as verdict from events")
 def _(events):
-    return events.select("event_id", F.when(F.col("value") < 8, "fail").when(F.col("value") < 16, "flush").otherwise("ok").alias("verdict"))
+    return events.select("event_id", T.memory_guard(F.col("value")).alias("verdict"))
 
 
 @query(
@@ -458,4 +542,4 @@ def _(orders):
 
 @query("l11_slow_requests", "events", sql="select event_id, value * 10 > 500 as slow from events where event_type <> 'view'")
 def _(events):
-    return events.where("event_type <> 'view'").select("event_id", (F.col("value") * 10 > 500).alias("slow"))
+    return T.slow_requests(events, F.col("value") * 10, F.col("event_type") == "view").select("event_id", "slow")

@@ -61,23 +61,35 @@ def _(docs):
     return C.sentence_records(docs, "doc_id", delimiter=LINES).groupBy("doc_id").agg(F.count_if("is_dialogue").alias("n_dialogue"), F.count("*").alias("n"))
 
 
-@query("t8_dialogue_segments", "documents")
-def _(docs):
-    return C.dialogue_segments(docs, "doc_id", delimiter=LINES)
+_VERBS = ("the", "of", "and", "was", "que", "der", "la")
+_NEAR = f"[,.]?\\s*(?:(?:{'|'.join(_VERBS)})\\s+{NAMES}|{NAMES}\\s+(?:{'|'.join(_VERBS)}))"
+#: texts with dialogue: every line is followed by itself in quotes and by words of the next line
+_TALK = "select doc_id, text || chr(10) || '“' || replace(replace(left(text, 400), chr(10), '” la '), '”', '\"') || '\" ' || right(text, 200) as text from documents"
+_T8 = f"""
+with p as (select doc_id, unnest(range(len(x)))::int as paragraph, unnest(x) as q from (select doc_id, {PARAS} as x from ({_TALK}))),
+m as (select *, string_split(regexp_replace(q, '["“]([^"”“]+)["”]', chr(1) || '\\1' || chr(2), 'g'), chr(1)) as part from p),
+k as (select doc_id, paragraph, q, part, unnest(range(len(part))) as i, unnest(part) as piece from m),
+s as (select *, (list_sum(list_transform(part[1:i], lambda x: length(x))) + i - 1)::int as s, split_part(piece, chr(2), 1) as quote, split_part(piece, chr(2), 2) as after from k),
+r as (select doc_id, paragraph, q, 2 * i as "at", 'narration' as type, {strip("case when i = 0 then piece else after end")} as text, null::int as s, null::int as e from s
+  union all select doc_id, paragraph, q, 2 * i - 1, 'dialogue', {strip('quote')}, s, s + length(quote) + 2 from s where i > 0),
+w as (select *, left(q[e + 1:], 150) as a, right(left(q, s), 150) as b from r where text <> '')
+select doc_id, paragraph, "at"::int as "at", type, text, case when type = 'dialogue' then coalesce(nullif(regexp_extract(a, '{_NEAR}', 1), ''), nullif(regexp_extract(a, '{_NEAR}', 2), ''), nullif(regexp_extract(b, '{NAMES}\\s+(?:{'|'.join(_VERBS)})[,:]?\\s*$', 1), '')) end as speaker from w
+"""
 
 
-_VERBS = ("the", "of", "and", "was", "que", "der", "la")
+def _talk(docs):
+    quoted = F.replace(F.replace(F.left("text", F.lit(400)), F.lit("\n"), F.lit("” la ")), F.lit("”"), F.lit('"'))
+    return docs.select("doc_id", F.concat("text", F.lit("\n“"), quoted, F.lit('" '), F.right("text", F.lit(200))).alias("text"))
 
 
-@query(
-    "t9_speaker_attribution", "documents",
-    sql=f"""select doc_id, coalesce(nullif(regexp_extract(a, '{"[,.]?\\s*(?:(?:" + "|".join(_VERBS) + ")\\s+" + NAMES + "|" + NAMES + "\\s+(?:" + "|".join(_VERBS) + "))"}', 1), ''),
-      nullif(regexp_extract(a, '{"[,.]?\\s*(?:(?:" + "|".join(_VERBS) + ")\\s+" + NAMES + "|" + NAMES + "\\s+(?:" + "|".join(_VERBS) + "))"}', 2), ''),
-      nullif(regexp_extract(b, '{NAMES + "\\s+(?:" + "|".join(_VERBS) + ")[,:]?\\s*$"}', 1), '')) as speaker
-      from (select doc_id, left(text[301:], 150) as a, right(left(text, 300), 150) as b from documents)""",
-)
+@query("t8_dialogue_segments", "documents", sql=f'select doc_id, paragraph, "at", type, text from ({_T8})')
 def _(docs):
-    return docs.select("doc_id", X.speaker_in(F.substring("text", 301, 1 << 30), F.left("text", F.lit(300)), _VERBS).alias("speaker"))
+    return C.dialogue_segments(_talk(docs), "doc_id", delimiter=LINES, verbs=_VERBS).drop("speaker")
+
+
+@query("t9_speaker_attribution", "documents", sql=f"""select doc_id, paragraph, "at", speaker from ({_T8}) where type = 'dialogue'""")
+def _(docs):
+    return C.dialogue_segments(_talk(docs), "doc_id", delimiter=LINES, verbs=_VERBS).where("type = 'dialogue'").select("doc_id", "paragraph", "at", "speaker")
 
 
 _T10 = f"""
@@ -94,17 +106,34 @@ def _(conv):
     return C.merge_short_narration(typed, "conv_id", ["turn"], 12).select("conv_id", "number", "type", "text")
 
 
-@query("t11_legacy_dialogue", "documents")
-def _(docs):
-    return C.legacy_dialogue(docs, "doc_id")
+#: texts with straight quotes around every second line, and one unpaired quote in some
+_LEGACY = """select doc_id, array_to_string(list_transform(list_filter(string_split(replace(text, '"', ' '), chr(10)), lambda x: x <> ''), lambda x, i: case when i % 2 = 0 then '"' || x || '" Tom said of it.' else x end), chr(10)) || case when doc_id % 5 = 0 then ' " open' else '' end as text from documents"""
+_T12 = ", ".join(f"nullif(regexp_extract({side}, '{p}', 1), '')" for side, patterns in (("a", C.LEGACY_AFTER), ("b", C.LEGACY_BEFORE)) for p in patterns)
+_T11 = f"""
+with q as (select doc_id, text, string_split(text, '"') as part from ({_LEGACY})),
+n as (select *, (len(part) - 1) // 2 as pairs, list_transform(range(1, len(part) + 1), lambda i: (list_sum(list_transform(part[1:i], lambda x: length(x))) + i - 1)::int) as ends from q),
+d as (select doc_id, text, part, ends, pairs, unnest(range(pairs)) as k from n),
+e as (select *, {strip('part[2 * k + 2]')} as said, ends[2 * k + 3] as stop, case when k = 0 then 0 else ends[2 * k + 1] end as start from d),
+s as (select doc_id, k, 'dialogue' as type, said as text, text[stop + 1:stop + 100] as a, right(left(text, start), 100) as b from e where said <> ''
+  union all select doc_id, 1000000, 'narration', {strip('case when pairs = 0 then text else text[ends[2 * pairs + 1] + 1:] end')}, null, null from n where {strip('case when pairs = 0 then text else text[ends[2 * pairs + 1] + 1:] end')} <> '' or pairs = 0)
+select doc_id, (row_number() over (partition by doc_id order by k) - 1)::int as "at", type, text, case when type = 'dialogue' then coalesce({_T12}) end as speaker from s
+"""
 
 
-_T12 = ", ".join(f"nullif(regexp_extract({side}, '{p}', 1), '')" for side, patterns in (("a", C.LEGACY_AFTER), ("b", C.LEGACY_BEFORE)) for p in patterns)
+def _legacy(docs):
+    lines = F.filter(F.split(F.replace("text", F.lit('"'), F.lit(" ")), "\n"), lambda x: x != "")
+    quoted = F.transform(lines, lambda x, i: F.when(i % 2 == 1, F.concat(F.lit('"'), x, F.lit('" Tom said of it.'))).otherwise(x))
+    return docs.select("doc_id", F.concat(F.array_join(quoted, "\n"), F.when(F.col("doc_id") % 5 == 0, ' " open').otherwise("")).alias("text"))
 
 
-@query("t12_legacy_speaker", "documents", sql=f"select doc_id, coalesce({_T12}) as speaker from (select doc_id, text[101:200] as a, left(text, 100) as b from documents)")
+@query("t11_legacy_dialogue", "documents", sql=f'select doc_id, "at", type, text from ({_T11})')
 def _(docs):
-    return docs.select("doc_id", C.legacy_speaker(F.substring("text", 101, 100), F.left("text", F.lit(100))).alias("speaker"))
+    return C.legacy_dialogue(_legacy(docs), "doc_id").drop("speaker")
+
+
+@query("t12_legacy_speaker", "documents", sql=f'select doc_id, "at", speaker from ({_T11}) where type = \'dialogue\'')
+def _(docs):
+    return C.legacy_dialogue(_legacy(docs), "doc_id").where("type = 'dialogue'").select("doc_id", "at", "speaker")
 
 
 @query("t13_word_count", "documents", sql=f"select doc_id, len({words('text')})::int as n_words from documents")
@@ -151,10 +180,24 @@ def _(docs):
     return out.select("doc_id", "chunk", "c.text", F.round("c.seconds", 6).alias("seconds"), F.size("c.indices").alias("n"), "c.is_end")
 
 
-@query("t17_oversize_split", "documents")
+_T16_SPLIT = _T16.replace("round(arg_max(f.d, f.i), 6) as seconds, count(*)::int as n", "arg_max(f.d, f.i) as seconds, min(f.i)::int - 1 as lo, max(f.i)::int as hi")
+_T17 = f"""
+with recursive c as (select * from ({_T16_SPLIT})),
+p as (select *, case when seconds > 12::double * 1.2::double then {pieces("regexp_replace(text, '([,;:—-])" + chr(92) + "s+', '" + chr(92) + "1' || chr(1), 'g')", chr(92) + "x01")} else [] end as parts from c),
+u as (select doc_id, chunk, lo, hi, is_end, unnest(range(1, len(parts) + 1)) as i, unnest(parts) as part, len(parts) as m from p where len(parts) > 1),
+d as (select *, {duration('part')}::double as s from u),
+f(doc_id, chunk, i, g, t) as (select doc_id, chunk, i, 0, s from d where i = 1 union all
+  select d.doc_id, d.chunk, d.i, case when f.t + d.s > 12 then f.g + 1 else f.g end, case when f.t + d.s > 12 then d.s else f.t + d.s end from f join d on d.doc_id = f.doc_id and d.chunk = f.chunk and d.i = f.i + 1),
+o as (select doc_id, chunk, 0 as g, text, seconds, lo, hi, is_end from p where len(parts) <= 1
+  union all select f.doc_id, f.chunk, g, string_agg(part, ' ' order by f.i), arg_max(t, f.i), any_value(lo), any_value(hi), any_value(is_end) and max(f.i) = any_value(m) from f join d on d.doc_id = f.doc_id and d.chunk = f.chunk and d.i = f.i group by f.doc_id, f.chunk, g)
+select doc_id, (row_number() over (partition by doc_id order by chunk, g) - 1)::int as chunk, text, round(seconds, 6) as seconds, lo as first, hi - lo as n, is_end from o
+"""
+
+
+@query("t17_oversize_split", "documents", sql=_T17)
 def _(docs):
     split = C.exploded(_packed(docs), "doc_id", C.split_oversize(F.col("c"), 12.0), "chunk", "c")
-    return split.select("doc_id", "chunk", "c.text", F.round("c.seconds", 6).alias("seconds"), "c.indices", "c.is_end")
+    return split.select("doc_id", "chunk", "c.text", F.round("c.seconds", 6).alias("seconds"), F.element_at("c.indices", 1).alias("first"), F.size("c.indices").alias("n"), "c.is_end")
 
 
 _T18 = f"""
@@ -315,9 +358,12 @@ def _(docs):
     sql="select c as ch, unicode(c)::int as code, count(*) as n from (select unnest(string_split(left(text, 3000), '')) as c from documents) where c <> '' and unicode(c) > 127 group by c",
 )
 def _(docs):
-    chars = docs.select(F.explode(F.split(F.left("text", F.lit(3000)), "")).alias("ch")).where("ch <> '' and octet_length(ch) > 1")
-    code = F.conv(F.right(F.hex(F.encode("ch", "UTF-32")), F.lit(8)), 16, 10).cast("int")
-    return chars.groupBy("ch").agg(F.count("*").alias("n")).select("ch", code.alias("code"), "n")
+    return X.char_census(docs, "text", 3000).drop("name")
+
+
+@query("t31_dialogue_samples", "documents", sql="select doc_id, unnest(s) as sample from (select doc_id, (regexp_extract_all(left(text, 3000), '[A-Z][a-z]+ [a-z]+[.!?]'))[1:5] as s from documents)")
+def _(docs):
+    return docs.select("doc_id", F.explode(X.samples_of(F.col("text"), r"[A-Z][a-z]+ [a-z]+[.!?]", 5, 3000)).alias("sample"))
 
 
 @query(
@@ -338,7 +384,16 @@ def _(events):
 _HEAD = (r"(?m)^[A-ZÀ-Ý][a-zà-ÿ]+ [a-zà-ÿ]+\b", r"(?m)^[A-ZÀ-Ý][a-zà-ÿ]+\.$")
 
 
-@query("a3_chapter_boundaries", "documents")
+_A3 = f"""
+with recursive l as (select doc_id, unnest(range(len(x))) as i, unnest(x) as line, x from (select doc_id, string_split(text, chr(10)) as x from documents)),
+h as (select doc_id, (coalesce(list_sum(list_transform(x[1:i], lambda y: length(y))), 0) + i)::bigint as start, unnest([regexp_extract(line, '^([A-ZÀ-Ý][a-zà-ÿ]+ [a-zà-ÿ]+)(?:[^\\p{{L}}\\p{{N}}_]|$)', 1), regexp_extract(line, '^([A-ZÀ-Ý][a-zà-ÿ]+\\.)$', 1)]) as title, unnest([0, 1]) as o from l),
+s as (select *, row_number() over (partition by doc_id order by start, o) as k from h where title <> ''),
+f(doc_id, k, last, kept) as (select doc_id, k, start, true from s where k = 1 union all select s.doc_id, s.k, case when s.start - f.last > 200 then s.start else f.last end, s.start - f.last > 200 from f join s on s.doc_id = f.doc_id and s.k = f.k + 1)
+select s.doc_id, s.start, s.title from f join s on s.doc_id = f.doc_id and s.k = f.k where kept
+"""
+
+
+@query("a3_chapter_boundaries", "documents", sql=_A3)
 def _(docs):
     return C.exploded(C.headings(docs, "doc_id", patterns=_HEAD), "doc_id", C.keep_apart(F.col("found")), "at", "h").select("doc_id", "h.start", "h.title")
 
@@ -354,7 +409,16 @@ def _(events):
     return C.exploded(by, "user_id", C.keep_apart(F.col("found")), "at", "h").select("user_id", "h.start")
 
 
-@query("a4_chapter_slices", "documents")
+_A4 = f"""
+with b as (select doc_id, start, title, lead(start) over (partition by doc_id order by start) as stop from ({_A3})),
+c as (select doc_id, start, title, {strip("text[start + 1:coalesce(stop, length(text))]")} as part from b join documents using (doc_id)),
+d as (select doc_id, start, title, {strip("part[length(title) + 1:]")} as text from c),
+e as (select * from d where length(text) > 20 union all select doc_id, 0, null, {strip('text')} from documents where doc_id not in (select doc_id from b))
+select doc_id, title, text, (row_number() over (partition by doc_id order by start))::int as number from e
+"""
+
+
+@query("a4_chapter_slices", "documents", sql=_A4)
 def _(docs):
     return C.split_chapters(docs, "doc_id", patterns=_HEAD)
 
@@ -408,12 +472,12 @@ def _(pages):
     return html_pages(pages, "page_id")
 
 
-@query("t27_similarity", "benchmark", "documents")
-def _(benchmark, docs):
+@query("t27_similarity", "conversations")
+def _(conv):
     from ..operators.backends import with_similarity
 
-    rows = benchmark.join(docs.select("doc_id", F.col("text").alias("heard")), F.col("item_id") == F.col("doc_id")).select("item_id", "text", "heard")
-    return with_similarity(rows, "text", "heard").select("item_id", F.round("similarity", 9).alias("similarity"))
+    heard = conv.select("conv_id", "turn", "text", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn", "text")).alias("heard"))
+    return with_similarity(heard, "text", "heard").select("conv_id", "turn", F.round("similarity", 9).alias("similarity"))
 
 
 @query("s23_synthetic_speech", "conversations", sql=f"select conv_id, turn, floor(100 * greatest(0.3::double, len({words('text')}) / 2.5::double))::int as n from conversations")

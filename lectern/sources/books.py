@@ -8,10 +8,9 @@ from __future__ import annotations
 
 import io
 import re
-import uuid
 import wave
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, fields
 from html.parser import HTMLParser
 from xml.etree import ElementTree
@@ -109,10 +108,14 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
 
 
+def txt_documents(files: DataFrame) -> DataFrame:
+    """path, text of files (path, content): UTF-8 with bad bytes replaced, every line end a \\n."""
+    return files.select("path", F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), r"\r\n?", "\n").alias("text"))
+
+
 def read_txt(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
-    """path, text of whole text files: UTF-8 with bad bytes replaced, every line end a \\n."""
-    text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), r"\r\n?", "\n")
-    return read_files(spark, path, pattern).select("path", text.alias("text"))
+    """path, text of whole text files."""
+    return txt_documents(read_files(spark, path, pattern))
 
 
 def _epub(content: bytes) -> tuple[dict[str, str | None], list[str]]:
@@ -127,8 +130,8 @@ def _epub(content: bytes) -> tuple[dict[str, str | None], list[str]]:
     return {"title": first("title"), "author": first("creator"), "language": first("language")}, html
 
 
-def read_epub(spark: SparkSession, path: str, pattern: str = "*.epub", least: int = 50) -> DataFrame:
-    """path, book_title, author, language, item, title, text of each document of EPUB books.
+def epub_documents(files: DataFrame, least: int = 50) -> DataFrame:
+    """path, book_title, author, language, item, title, text of each document of EPUB files (path, content).
 
     Items whose text has fewer than ``least`` characters are left out; a file that is no EPUB
     gives no rows.
@@ -149,21 +152,39 @@ def read_epub(spark: SparkSession, path: str, pattern: str = "*.epub", least: in
 
     names = ["path", "book_title", "author", "language", "item", "title", "text"]
     kind = pa.schema([(n, pa.int32() if n == "item" else pa.string()) for n in names])
-    return read_files(spark, path, pattern).select("path", "content").mapInArrow(run, "path string, book_title string, author string, language string, item int, title string, text string")
+    return files.select("path", "content").mapInArrow(run, "path string, book_title string, author string, language string, item int, title string, text string")
 
 
-def parse_books(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """path, number, title, text, word_count, is_boilerplate of every chapter; ``kind`` is txt or epub."""
-    if kind == "txt":
-        chapters = split_chapters(read_txt(spark, path), "path")
-    elif kind == "epub":
-        items = read_epub(spark, path)
-        chapters = items.selectExpr("path", "row_number() over (partition by path order by item) as number", "title", "text")
-    else:
+def read_epub(spark: SparkSession, path: str, pattern: str = "*.epub", least: int = 50) -> DataFrame:
+    """``epub_documents`` of the files below ``path``."""
+    return epub_documents(read_files(spark, path, pattern), least)
+
+
+def _txt_chapters(files: DataFrame) -> DataFrame:
+    return split_chapters(txt_documents(files), "path")
+
+
+def _epub_chapters(files: DataFrame) -> DataFrame:
+    return epub_documents(files).selectExpr("path", "cast(row_number() over (partition by path order by item) as int) as number", "title", "text")
+
+
+#: format -> parser from files (path, content) to chapters (path, number, title, text); more can be added
+PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {"txt": _txt_chapters, "epub": _epub_chapters}
+
+
+def parse_files(files: DataFrame, kind: str) -> DataFrame:
+    """path, number, title, text, word_count, is_boilerplate of every chapter; ``kind`` is a key of PARSERS."""
+    if kind not in PARSERS:
         raise ValueError(f"no parser for {kind}")
+    chapters = PARSERS[kind](files)
     return chapters.select("path", "number", "title", "text", X.word_count(F.col("text")).alias("word_count"), X.is_boilerplate_chapter(F.col("title"), F.col("text")).alias("is_boilerplate"))
 
 
+def parse_books(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """``parse_files`` of the files below ``path`` whose names end in the format."""
+    return parse_files(read_files(spark, path, f"*.{kind}"), kind)
+
+
 def register_uploads(files: DataFrame) -> DataFrame:
     """Rows for uploaded files: stored name with an 8-character prefix, format, size, title from the name."""
     name = F.regexp_extract("path", "([^/]*)$", 1)
@@ -173,6 +194,30 @@ def register_uploads(files: DataFrame) -> DataFrame:
     )
 
 
+def store_uploads(files: DataFrame, folder: str) -> DataFrame:
+    """The rows of ``register_uploads`` with file_path, after each file's bytes were written below ``folder``.
+
+    ``folder`` is a path or URI of a file system that pyarrow knows and all executors share.  A
+    file is written whole under its final name, so a task that runs again writes the same.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        store.create_dir(base, recursive=True)
+        for batch in batches:
+            places = [f"{base.rstrip('/')}/{name}" for name in batch["stored_as"].to_pylist()]
+            for place, content in zip(places, batch["content"].to_pylist(), strict=True):
+                with store.open_output_stream(place) as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([batch["path"], pa.array(places, pa.string())], ["path", "file_path"])
+
+    rows = register_uploads(files)
+    stored = rows.select("path", "stored_as").join(files.select("path", "content"), "path").mapInArrow(run, "path string, file_path string")
+    return rows.join(stored, "path")
+
+
 def wav_samples(content: bytes) -> tuple[np.ndarray, int]:
     """Mono samples in -1 to 1 and the rate of a 16-bit WAV file."""
     with wave.open(io.BytesIO(content)) as w:
@@ -190,15 +235,20 @@ def wav_bytes(samples: np.ndarray, rate: int) -> bytes:
     return out.getvalue()
 
 
-def read_wav(spark: SparkSession, path: str, pattern: str = "*.wav") -> DataFrame:
-    """path, rate, samples (array<double>) of WAV files."""
+def wav_sounds(files: DataFrame) -> DataFrame:
+    """path, rate, samples (array<double>) of WAV files (path, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sounds = [wav_samples(c) for c in batch["content"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["path"], pa.array([r for _, r in sounds], pa.int32()), pa.array([s for s, _ in sounds], pa.list_(pa.float64()))], ["path", "rate", "samples"])
 
-    return read_files(spark, path, pattern).select("path", "content").mapInArrow(run, "path string, rate int, samples array<double>")
+    return files.select("path", "content").mapInArrow(run, "path string, rate int, samples array<double>")
+
+
+def read_wav(spark: SparkSession, path: str, pattern: str = "*.wav") -> DataFrame:
+    """``wav_sounds`` of the files below ``path``."""
+    return wav_sounds(read_files(spark, path, pattern))
 
 
 def to_wav(sounds: DataFrame, name: str, samples: str, rate: int) -> DataFrame:
@@ -212,59 +262,154 @@ def to_wav(sounds: DataFrame, name: str, samples: str, rate: int) -> DataFrame:
 
 
 def sound_files(files: DataFrame, limit: int | None = None) -> DataFrame:
-    """Files of segments (*seg*.wav) in order, or all WAV files if there are none; the first ``limit``."""
-    segments = files.where(F.col("path").rlike(r"seg[^/]*\.wav$"))
-    chosen = segments if segments.limit(1).count() else files.where(F.col("path").endswith(".wav"))
-    ordered = chosen.orderBy("path")
-    return ordered.limit(limit) if limit else ordered
-
+    """Files of segments (*seg*.wav) in order, or all WAV files if there are none; the first ``limit``.
 
-def new_job_id() -> str:
-    return str(uuid.uuid4())
+    Which of the two holds is one row, joined to the files, and no job of its own.
+    """
+    sounds = files.where(F.col("path").endswith(".wav")).withColumn("_segment", F.col("path").rlike(r"seg[^/]*\.wav$"))
+    some = sounds.agg(F.coalesce(F.bool_or("_segment"), F.lit(False)).alias("_any"))
+    ordered = sounds.crossJoin(F.broadcast(some)).where("_segment or not _any").drop("_segment", "_any").orderBy("path")
+    return ordered.limit(limit) if limit else ordered
 
 
 @dataclass
 class Server:
-    host: str = "127.0.0.1"
+    host: str = "0.0.0.0"
     port: int = 8000
+    reload: bool = True
+    timeout_keep_alive: int = 300
 
 
 @dataclass
-class Chunking:
-    target_seconds: float = 10.0
-    max_seconds: float = 12.0
-    words_per_second: float = 2.5
+class Speech:
+    engine: str = "synthetic"
+    model_name: str = ""
+    default_temperature: float = 0.7
+    default_top_k: int = 50
+    default_top_p: float = 1.0
+    repetition_penalty: float = 1.05
+    max_new_tokens: int = 2048
+    chunk_max_seconds: int = 12
+    voice_sample_seconds: int = 20
 
 
 @dataclass
 class Audio:
     sample_rate: int = 24000
-    crossfade_ms: int = 100
+    output_sample_rate: int = 44100
+    crossfade_ms: int = 150
+    paragraph_silence_ms: int = 500
+    chapter_silence_ms: int = 2000
+    normalization_target_db: int = -16
+    output_formats: list = field(default_factory=lambda: ["mp3", "m4b", "wav"])
+
+
+@dataclass
+class Chunking:
+    target_chunk_seconds: float = 10.0
+    max_chunk_seconds: float = 12.0
     sentence_silence_ms: int = 200
     paragraph_silence_ms: int = 500
-    target_lufs: float = -16.0
+    crossfade_ms: int = 100
+    words_per_second_estimate: float = 2.5
+
+
+@dataclass
+class Quality:
+    enabled: bool = True
+    use_whisper: bool = True
+    whisper_model: str = "base"
+    min_words_for_whisper: int = 5
+    max_retries: int = 2
+    retry_log_level: str = "WARNING"
+    failure_log_level: str = "ERROR"
+    text_similarity_fail: float = 0.6
+    text_similarity_warn: float = 0.75
+    duration_ratio_fail: float = 2.5
+    duration_ratio_warn: float = 1.8
+    max_silence_s_fail: float = 3.0
+    max_silence_s_warn: float = 1.5
+    clipping_ratio_fail: float = 0.01
+    repetition_score_fail: float = 0.7
+
+
+@dataclass
+class Resources:
+    batch_size: str = "auto"
+    memory_headroom_percent: float = 20.0
+    per_segment_cost_gb: float = 1.5
+    max_batch_size: int = 12
+    min_batch_size: int = 1
+    engine_pool_size: str = "auto"
+
+    def override(self, name: str) -> int | None:
+        """``batch_size`` or ``engine_pool_size`` as a number; None for auto and for what is no number."""
+        try:
+            return int(getattr(self, name))
+        except ValueError:
+            return None
+
+
+@dataclass
+class Language:
+    spacy_model: str = ""
+    llm_enabled: bool = True
+    llm_model: str = ""
+    llm_context_window: int = 12
+    llm_context_overlap: int = 3
+    emotion_detection: bool = True
+    speaker_attribution: bool = True
+    auto_voice_traits: bool = True
+
+
+@dataclass
+class Logging:
+    level: str = "INFO"
+    format: str = "detailed"
+    file_output: bool = True
+    log_dir: str = "logs"
 
 
 @dataclass
 class Config:
-    """Sections with defaults; a mapping (a parsed YAML file) and three variables override them."""
+    """Sections with defaults; a mapping or a YAML text and three variables override them."""
 
     server: Server = field(default_factory=Server)
-    chunking: Chunking = field(default_factory=Chunking)
+    tts: Speech = field(default_factory=Speech)
     audio: Audio = field(default_factory=Audio)
-    log_level: str = "INFO"
-    engine: str = "synthetic"
+    chunking: Chunking = field(default_factory=Chunking)
+    quality: Quality = field(default_factory=Quality)
+    resources: Resources = field(default_factory=Resources)
+    nlp: Language = field(default_factory=Language)
+    logging: Logging = field(default_factory=Logging)
+
 
+def load_config(values: dict | str | None = None, environment: dict[str, str] | None = None) -> Config:
+    """``values``: a mapping, or the text of a YAML file.  Unknown sections and keys are ignored.
 
-def load_config(values: dict | None = None, environment: dict[str, str] | None = None) -> Config:
-    """Unknown sections and keys are ignored; values take the type of the default."""
-    config, env = Config(), environment or {}
-    for name in ("server", "chunking", "audio"):
-        section = getattr(config, name)
-        for f in fields(section):
-            if f.name in ((values or {}).get(name) or {}):
-                setattr(section, f.name, type(getattr(section, f.name))(values[name][f.name]))
-    config.server.port = int(env.get("SERVER_PORT", config.server.port))
-    config.log_level = env.get("LOG_LEVEL", config.log_level)
-    config.engine = env.get("TTS_ENGINE", config.engine)
+    Values take the type of the default.  Settings of a speech model may stand in a section of
+    their own inside tts.  SERVER_PORT, LOG_LEVEL and TTS_ENGINE of ``environment`` win.
+    """
+    if isinstance(values, str):
+        import yaml  # only where a file is read: not part of the fixed environment
+
+        values = yaml.safe_load(values)
+    config, env, given = Config(), environment or {}, values or {}
+    for section in fields(config):
+        own, read = getattr(config, section.name), given.get(section.name) or {}
+        if section.name == "tts":
+            read = {**{k: v for x in read.values() if isinstance(x, dict) for k, v in x.items()}, **read}
+        for f in fields(own):
+            if f.name in read:
+                setattr(own, f.name, type(getattr(own, f.name))(read[f.name]))
+    if env.get("SERVER_PORT"):
+        config.server.port = int(env["SERVER_PORT"])
+    config.logging.level = env.get("LOG_LEVEL") or config.logging.level
+    config.tts.engine = env.get("TTS_ENGINE") or config.tts.engine
     return config
+
+
+def config_rows(spark: SparkSession, config: Config) -> DataFrame:
+    """section, key, value (as text) of every setting."""
+    rows = [(s.name, f.name, str(getattr(getattr(config, s.name), f.name))) for s in fields(config) for f in fields(getattr(config, s.name))]
+    return spark.createDataFrame(rows, "section string, key string, value string")

@@ -58,8 +58,11 @@ def test_wav(spark, tmp_path):
 
 
 def test_config():
-    c = K.load_config({"chunking": {"max_seconds": "15"}, "other": {}}, {"SERVER_PORT": "9"})
-    assert c.chunking.max_seconds == 15.0 and c.server.port == 9 and c.audio.sample_rate == 24000
+    c = K.load_config({"chunking": {"max_chunk_seconds": "15"}, "other": {}}, {"SERVER_PORT": "9"})
+    assert c.chunking.max_chunk_seconds == 15.0 and c.server.port == 9 and c.audio.sample_rate == 24000
+    pytest.importorskip("yaml")
+    c = K.load_config("server:\n  port: 81\ntts:\n  engine: x\n  y:\n    default_top_k: 7\nresources:\n  batch_size: 4\nlogging:\n  level: DEBUG\nother: 1\n", {"LOG_LEVEL": "ERROR", "TTS_ENGINE": ""})
+    assert (c.server.port, c.tts.engine, c.tts.default_top_k, c.resources.override("batch_size"), c.resources.override("engine_pool_size"), c.logging.level) == (81, "x", 7, 4, None, "ERROR")
 
 
 def test_splice_matches_plain(spark):
@@ -99,7 +102,7 @@ def test_backends(spark):
     tries = spark.createDataFrame([(1, 0, False), (1, 1, True), (1, 2, True), (2, 0, False), (2, 1, False)], "k int, i int, ok boolean")
     assert {r["k"]: r["i"] for r in B.retried(tries, ["k"], F.col("ok"), "i").collect()} == {1: 1, 2: 1}
     parts = spark.createDataFrame([(1, 1, [1.0] * 10), (1, 2, []), (1, 3, [1.0] * 10)], "b int, o int, s array<double>")
-    assert len(B.concatenate_chapters(parts, "b", "o", "s", rate=10, silence_ms=1000, fade_ms=500).first()["samples"]) == 25
+    assert len(B.concatenate_chapters(parts, "b", "o", "s", rate=10, to=10, silence_ms=1000, fade_ms=500).first()["samples"]) == 25
 
 
 def test_streams(spark, tmp_path):
@@ -132,7 +135,7 @@ def db(spark):
         "segments": spark.createDataFrame([(i, 1 + i // 4, f"Text {i}. More.", i, i < 5, None, 7, 8) for i in range(12)], "id int, chapter_id int, text string, sequence_number int, is_generated boolean, audio_path string, character_id int, detected_character_id int"),
         "characters": spark.createDataFrame([(7, 1, "Anna", "minor", 3, 5), (8, 1, "Bob", "minor", 9, None)], "id int, book_id int, name string, role string, dialogue_count int, voice_profile_id int"),
         "voice_profiles": spark.createDataFrame([(5, "v", 0.7)], "id int, name string, temperature double"),
-        "generation_jobs": spark.createDataFrame([("j1", 1, "generating", 0, None, 1, None), ("j2", 1, "completed", 0, None, 2, "o.wav")], "job_id string, book_id int, status string, resume_count int, error_message string, created_at int, output_path string"),
+        "generation_jobs": spark.createDataFrame([("j1", 1, "generating", 0, None, 1, None, None, None), ("j2", 1, "completed", 0, None, 2, "o.wav", None, None)], "job_id string, book_id int, status string, resume_count int, error_message string, created_at int, output_path string, resumed_at timestamp, completed_at timestamp"),
     }
 
 

@@ -15,8 +15,9 @@ def value(spark, column, **fields):
 
 
 def chunks(spark, text, target, cap, rate=2.5):
-    packed = C.pack_chunks(C.chunk_sentences(F.col("t"), rate), target, cap)
-    return value(spark, C.split_oversize(packed, cap, rate), t=text)
+    timed = spark.createDataFrame([(1, text)], "k int, t string").select("k", C.chunk_sentences(F.col("t"), rate).alias("s"))
+    packed = timed.select("k", C.pack_chunks(F.col("s"), target, cap).alias("c"))
+    return [r["x"] for r in C.exploded(packed, "k", C.split_oversize(F.col("c"), cap, rate), "at", "x").orderBy("at").collect()]
 
 
 @pytest.mark.parametrize(
