@@ -73,9 +73,9 @@ def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
         for batch in batches:
             rows = [(len(s), *fingerprint(s), s[: len(s) - need(len(s), percent) + first_matches(len(s), percent)]) for s in _sets(batch["text"], k)]
             n, hi, lo, head = zip(*rows, strict=True) if rows else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), _lists(list(head))], ["doc_id", "n_shingles", "hi", "lo", "head"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), _lists(list(head))], ["doc_id", "text_hash", "n_shingles", "hi", "lo", "head"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, hi long, lo long, head array<long>")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, hi long, lo long, head array<long>")
 
 
 def _whole_sets(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
@@ -241,16 +241,18 @@ def _join_families(sets: DataFrame, rarest: DataFrame, percent: int) -> DataFram
 
 
 def ngram_jaccard_join(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each row of ``documents``: doc_id, n_shingles, component_id.
+    """One row for each row of ``documents``: doc_id, n_shingles, component_id, group_id, text_hash.
 
     Words are lower-cased (A-Z) runs of [^\\x20\\x09-\\x0D].  component_id is the smallest
     doc_id that links reach.  A text with fewer than ``k`` words has its word sequence as
     its only shingle.  Null, empty and blank texts have no shingles, link with nothing and
     keep their own doc_id.  Rows with equal texts are linked; rows that repeat a doc_id are
-    separate documents.  A null doc_id links like others but never names a component.  An
-    empty table gives an empty table; columns besides doc_id and text are not read.
+    separate documents.  A null doc_id links like others but never names a component.
+    group_id is the same for all rows of a component, named or not, and null without shingles;
+    text_hash (xxhash64, of a null text that of the empty one) tells rows of one doc_id apart.
+    An empty table gives an empty table; columns besides doc_id and text are not read.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     heads = materialise(_prefixes(docs, k, percent))
     classes = materialise(heads.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n")))
 
@@ -268,6 +270,8 @@ def ngram_jaccard_join(documents: DataFrame, k: int = 5, percent: int = 80) -> D
     ranked = whole.join(often, "shingle").select("rep", "hi", "lo", "shingle", F.count("*").over(of_doc).alias("shared"), (F.count("*").over(of_doc) - F.ceil(F.lit(percent) * F.col("n") / 100)).alias("spare"), F.row_number().over(of_doc.orderBy("df", "shingle")).alias("rank"))
     rarest = materialise(ranked.where("rank <= spare + 1").select("lo", "shingle"))
     comps = _join_families(sets, rarest, percent)
-    named = comps.join(comps.groupBy("comp").agg(F.min("rep").alias("component")), "comp").select("hi", "lo", "component")
-    of_class = materialise(classes.join(named, ["hi", "lo"], "left").select("hi", "lo", F.coalesce("component", "rep").alias("component")))
-    return heads.select("doc_id", "n_shingles", "hi", "lo").join(of_class, ["hi", "lo"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = comps.join(comps.groupBy("comp").agg(F.min("rep").alias("component")), "comp").select("hi", "lo", "comp", "component")
+    of_class = materialise(classes.join(named, ["hi", "lo"], "left").select("hi", "lo", F.coalesce("component", "rep").alias("component"), F.coalesce("comp", F.xxhash64("hi", "lo")).alias("group_id")))
+    rows = heads.where("n_shingles > 0").select("doc_id", "text_hash", "n_shingles", "hi", "lo").join(of_class, ["hi", "lo"])
+    apart = heads.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("group_id"), "text_hash")
+    return rows.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "group_id", "text_hash").unionByName(apart)

@@ -55,7 +55,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(_table(spark, sf_dir, "documents"), k=4, percent=85)
+    return ngram_jaccard_join(_table(spark, sf_dir, "documents"), k=4, percent=85).drop("group_id", "text_hash")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
