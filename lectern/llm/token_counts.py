@@ -1,9 +1,9 @@
 """Token counts with a whole-token shortcut for a SentencePiece BPE vocabulary.
 
-Offline proof, made from the model file alone: no piece holds the space mark after
-another character, so no merge crosses from a word into the spaces before the next one,
-and a text's tokens are those of its pre-tokens (spaces and the run up to the next
-space).  Each piece that begins with the space mark is encoded once; those that come
+Offline proof, made from the model file alone: its normaliser maps no characters, keeps all
+spaces, marks them and puts one before the text, and no piece holds the space mark after
+another character.  So no merge crosses from a word into the spaces before the next one, and
+a text's tokens are those of its pre-tokens (spaces and the run up to the next space).  Each piece that begins with the space mark is encoded once; those that come
 back as themselves count as one token without any merging.  Other pre-tokens are merged
 by the library, once for each distinct one while a bounded memory of counts holds it.
 """
@@ -30,13 +30,52 @@ def _model(path: str) -> sentencepiece.SentencePieceProcessor:
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
+def _message(data: bytes) -> dict[int, list]:
+    """Field number -> values of a protocol buffer message: numbers, or bytes of strings and messages."""
+    out: dict[int, list] = {}
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        key = number()
+        if key & 7 == 0:
+            value: int | bytes = number()
+        else:
+            n = {1: 8, 5: 4}.get(key & 7) or number()
+            value = data[at : at + n]
+            at += n
+        out.setdefault(key >> 3, []).append(value)
+    return out
+
+
+def plain_normaliser(path: str) -> bool:
+    """True if the model file's settings leave every character as it is, and mark each space and the text's begin.
+
+    Fixed values are field numbers of the public model format: 2 trainer (24: space as suffix),
+    3 normaliser (2: map of characters, 3: mark before the text, 4: drop extra spaces, 5: mark spaces, 6: rules).
+    """
+    model = _message(_model(path).serialized_model_proto())
+    trainer, normaliser = _message(model.get(2, [b""])[-1]), _message(model.get(3, [b""])[-1])
+    flag = lambda message, field, default: bool(message.get(field, [default])[-1])
+    unmapped = not any(x for field in (2, 6) for x in normaliser.get(field, []))
+    return unmapped and flag(normaliser, 3, True) and not flag(normaliser, 4, True) and flag(normaliser, 5, True) and not flag(trainer, 24, False)
+
+
 def splits_at_spaces(path: str) -> bool:
     """True if the model file proves that pre-tokens can be counted one by one."""
     model = _model(path)
-    pieces = [model.id_to_piece(i) for i in range(model.vocab_size())]
-    apart = all(MARK not in p.lstrip(MARK) for p in pieces)
-    identity = model.encode("   aﬁ  b ", out_type=str) == model.encode(f"{MARK} {MARK}aﬁ{MARK}{MARK}b{MARK}", out_type=str)
-    return apart and identity and model.encode("", out_type=str) == []
+    apart = all(MARK not in model.id_to_piece(i).lstrip(MARK) for i in range(model.vocab_size()))
+    return plain_normaliser(path) and apart and model.encode("", out_type=str) == []
 
 
 @lru_cache(maxsize=2)
