@@ -141,18 +141,18 @@ def train(documents: DataFrame, labels: DataFrame, held_out_fold: int = 1, sampl
             for _, counts in term_counts(batch["text"]):
                 for row in counts:
                     own = np.flatnonzero(row)
-                    at.append(own.astype(np.int16))
-                    values.append(row[own])
-            yield pa.RecordBatch.from_arrays([batch["of"], batch["quality"], pa.array(at, pa.list_(pa.int16())), pa.array(values, pa.list_(pa.float32()))], ["of", "quality", "terms", "counts"])
+                    at.append(own.astype("<i2").tobytes())
+                    values.append(row[own].astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch["of"], batch["quality"], pa.array(at, pa.binary()), pa.array(values, pa.binary())], ["of", "quality", "terms", "counts"])
 
     # at most ``sample`` rows of two numbers: a proven bound for the broadcast
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     one = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).groupBy("of", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
-    rows = one.mapInArrow(run, "of long, quality int, terms array<smallint>, counts array<float>").collect()
+    rows = one.mapInArrow(run, "of long, quality int, terms binary, counts binary").collect()
     rows.sort(key=lambda r: r["of"])
     counts = np.zeros((len(rows), TERMS), np.float32)
     for i, r in enumerate(rows):
-        counts[i, r["terms"]] = r["counts"]
+        counts[i, np.frombuffer(r["terms"], "<i2")] = np.frombuffer(r["counts"], "<f4")
     return fit_model(counts, np.array([r["quality"] > 0 for r in rows], np.float32))
 
 
