@@ -289,7 +289,7 @@ def find_personal_data(documents: DataFrame) -> DataFrame:
 
 
 def redact(text: str, spans: str) -> str:
-    """``text`` with each span replaced by its kind in brackets; overlapping spans are redacted as one."""
+    """``text`` with each span replaced by its kind in brackets; overlapping spans are redacted as one, by the first one's kind."""
     cut = [(int(a), int(b), k) for k, a, b in (s.split(":") for s in spans.split(",") if s)]
     out, end = [], 0
     for a, b, k in sorted(cut):

@@ -1,37 +1,12 @@
-"""Intermediate tables in the folder that driver and executors share.
-
-A lineage is cut by writing Parquet below ``spark.checkpoint.dir`` and reading it
-again, so a lost executor costs a re-read and not a recomputation.  The setting is
-read from the session; only where it is unset and the master is local (tests, a laptop) a
-local folder is set, and on a cluster without the setting the job stops with an error.
-"""
+"""Intermediate tables in the folder that driver and executors share, and their removal."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import DataFrame
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new, unique path below the shared checkpoint folder (not created yet)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = os.path.join(tempfile.gettempdir(), "lectern-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/lectern-{uuid.uuid4().hex}"
+from ..scratch import materialise, scratch_dir
 
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder once and return a scan of what was written."""
-    spark = df.sparkSession
-    path = scratch_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["drop_scratch", "materialise", "scratch_dir"]
 
 
 def drop_scratch(df: DataFrame) -> None:

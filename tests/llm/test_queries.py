@@ -244,3 +244,30 @@ def test_op2_cutoffs_keep_their_promise(spark):
     labels = spark.createDataFrame([(i, int(i % 10 != 0)) for i in range(2000)], "doc_id long, quality int")
     got = R.quality_rules(docs, labels).select("doc_id", "kept").collect()
     assert all(k == (i % 10 != 0 or i >= 3000) for i, k in got)
+
+
+def test_pipeline_stages(spark, data):
+    """Whole pipeline on nulls, repeated rows, clashing columns and empty tables, each stage against a plain version."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{data[0]}/documents.parquet")
+    extra = docs.selectExpr("*", "doc_id as d", "text as t", "1 as k", "source as s", "2 as copies", "'x' as hi", "3 as _n")
+    pairs = lambda df: sorted((tuple(r) for r in df.select("doc_id", "text").collect()), key=repr)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = corpus_pipeline.materialise(stages["quality rules"](spark, extra, data[0]))
+    assert kept.columns == list(corpus_pipeline.COLUMNS)
+    fine = [(d, t) for d, t in data[1] if (j := brute.base_rules(t))[0] >= 10 and 100 * j[4] <= 20 * j[0]]
+    assert set(pairs(kept)) <= set(fine)
+    one = corpus_pipeline.materialise(stages["n-gram Jaccard join"](spark, kept, data[0]))
+    left, before = pairs(one), pairs(kept)
+    assert len(left) == len(set(left)) and set(left) <= set(before)
+    alone = brute.components(left, 5, 80)
+    named = {c for _, _, c in brute.components(before, 5, 80) if c is not None}
+    assert all(d == c for d, _, c in alone) and named <= {d for d, _ in left}
+    clean = corpus_pipeline.materialise(stages["benchmark decontamination"](spark, one, data[0]))
+    assert len(pairs(clean)) == sum(not r[5] for r in brute.decontaminate(left, data[2]))
+    mixed = corpus_pipeline.materialise(stages["mixing to target weights"](spark, clean, data[0]))
+    assert set(pairs(mixed)) <= set(pairs(clean))
+    out = stages["token-ID output"](spark, mixed, data[0])
+    assert sorted((r["doc_id"] for r in out.collect()), key=repr) == sorted((d for d, _ in pairs(mixed)), key=repr)
+    assert corpus_pipeline.run(spark, data[0]).count() == out.count()
