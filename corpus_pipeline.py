@@ -6,7 +6,7 @@ the columns of ``documents``; the last one writes token files and returns what i
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,26 +21,33 @@ from lectern.llm.token_files import token_files
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _same_row(doc_id: str, text_hash: str) -> Column:
+    """Joins documents with verdicts on rows, which doc_id and a hash of the text tell apart."""
+    return F.col("doc_id").eqNullSafe(F.col(doc_id)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(text_hash))
+
+
 def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go; rows of one doc_id are judged each."""
     judged = quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    kept = judged.where("kept").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("t"))
-    return docs.join(kept.hint("shuffle_hash"), same, "left_semi").select(*COLUMNS)
+    kept = judged.where("kept").select(F.col("doc_id").alias("_of"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.select(*COLUMNS).join(kept, _same_row("_of", "_hash"), "left_semi")
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the smallest doc_id (five words, 0.8).
+    """One row of each group of near copies stays (five words, 0.8): of the smallest doc_id, then of the smallest text hash.
 
-    Rows without doc_id cannot be told apart: they stay if one of them is in no group.  Of
-    rows that repeat a doc_id one stays.
+    Rows without doc_id come last and stay only if no row of their group has one.  Texts
+    without words are in no group and stay.  Of rows with equal doc_id and text one stays.
     """
-    joined = materialise(ngram_jaccard_join(docs, k=5, percent=80).select("doc_id", "component_id"))
-    stay = joined.where("doc_id <=> component_id").select(F.col("doc_id").alias("d")).distinct()
-    kept = docs.join(stay.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi").select(*COLUMNS)
-    if joined.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "lang", "source", "n_chars")
-        kept = kept.withColumn("_nth", F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.row_number().over(first))).where("_nth = 1").select(*COLUMNS)
+    joined = materialise(ngram_jaccard_join(docs, k=5, percent=80).select("group_id", "doc_id", "text_hash"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
+    of_groups = joined.where("group_id is not null").groupBy("group_id").agg(first.alias("first")).select("first.doc_id", "first.text_hash")
+    stay = of_groups.unionByName(joined.where("group_id is null").select("doc_id", "text_hash").distinct()).toDF("_of", "_hash")
+    kept = docs.select(*COLUMNS).join(stay, _same_row("_of", "_hash"), "left_semi")
+    if joined.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
+        # combined before the shuffle, so very many equal rows are few
+        one = kept.groupBy("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash")).agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("_row"))
+        kept = one.select("doc_id", "_row.*").select(*COLUMNS)
     return kept
 
 
@@ -57,13 +64,14 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     source and size comes as often as the mix takes the nth such unit (equal units are
     interchangeable).
     """
-    mixed = materialise(mix_sources(docs).select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("n"), "copies"))
-    same = F.col("doc_id").eqNullSafe(F.col("d"))
-    if mixed.groupBy("d").count().where("count > 1").limit(1).count():
-        mixed = mixed.withColumn("k", F.row_number().over(Window.partitionBy("d", "s", "n").orderBy("copies")))
+    docs = docs.select(*COLUMNS)
+    mixed = materialise(mix_sources(docs).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_m"), "copies"))
+    same = F.col("doc_id").eqNullSafe(F.col("_d"))
+    if mixed.groupBy("_d").count().where("count > 1").limit(1).count():
+        mixed = mixed.withColumn("_j", F.row_number().over(Window.partitionBy("_d", "_s", "_m").orderBy("copies")))
         docs = docs.withColumn("_n", words_of("text")).withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "source", "_n").orderBy(F.xxhash64("text"))))
-        same = same & F.col("source").eqNullSafe(F.col("s")) & (F.col("_n") == F.col("n")) & (F.col("_k") == F.col("k"))
-    both = docs.join(mixed.where("copies > 0").hint("shuffle_hash"), same)
+        same = same & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_n") == F.col("_m")) & (F.col("_k") == F.col("_j"))
+    both = docs.join(mixed.where("copies > 0"), same)
     return both.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
