@@ -13,6 +13,7 @@ from lectern.functions import vocab
 from lectern.operators import backends as B
 from lectern.operators import characters as P
 from lectern.plans import api, registry, table_queries
+from lectern.scratch import materialise
 from lectern.sources import books as K
 
 SF = "/root/testdata/sf0.001"
@@ -289,8 +290,8 @@ def test_upload_parse_analyze(spark, db, tmp_path):
     assert [(r["title"], r["skip_generation"]) for r in parsed] == [("Chapter 1", False), ("Chapter 2", False), ("Chapter 3: License", True)] and len({r["id"] for r in parsed}) == 3
     book = now["books"].where("id = 3").first()
     assert (book["is_parsed"], book["total_chapters"], book["total_words"]) == (True, 3, sum(r["word_count"] for r in parsed)) and now["chapters"].count() == 4
-    for _ in range(2):
-        now |= api.analyze_book(now, 3, load=recogniser)
+    now = {k: materialise(v) for k, v in now.items()}
+    now |= {k: materialise(v) for k, v in api.analyze_book(now, 3, load=recogniser).items()}
     people = {r["name"]: r for r in now["characters"].where("book_id = 3").collect()}
     assert sorted(people) == ["Henry Clerval", "Justine Moritz", "Victor Frankenstein"]
     assert people["Victor Frankenstein"]["dialogue_count"] == 6 and now["characters"].where("book_id = 2").count() == 1
@@ -306,7 +307,8 @@ def test_upload_parse_analyze(spark, db, tmp_path):
     def annotator():
         return lambda window, context, names: [{"speaker": "Dearest Clerval" if "Good day" in s["text"] else None} for s in window]
 
-    spoken = api.analyze_book(now, 3, load=recogniser, annotator=annotator)
+    spoken = {k: materialise(v) for k, v in api.analyze_book(now, 3, load=recogniser, annotator=annotator).items()}
+    assert spoken["characters"].count() == now["characters"].count() and spoken["segments"].where("text = 'Old text.'").count() == 1
     ids = {r["id"] for r in spoken["characters"].where("name = 'Henry Clerval' and book_id = 3").collect()}
     assert {r["character_id"] for r in spoken["segments"].where("character_id is not null and text like '%Good day%'").collect()} == ids
     with pytest.raises(ValueError):
