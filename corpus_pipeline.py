@@ -2,6 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows that the one before kept and returns
 the columns of ``documents``; the last one writes token files and returns what it reads back.
+Verdicts, one for each row, meet texts in sort-merge joins at every size: neither side has to
+fit a task's memory.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the quality rules reject go; rows of one doc_id are judged each."""
     judged = quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     kept = judged.where("kept").select(F.col("doc_id").alias("_of"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.select(*COLUMNS).join(kept, _same_row("_of", "_hash"), "left_semi")
+    return docs.select(*COLUMNS).join(kept.hint("merge"), _same_row("_of", "_hash"), "left_semi")
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +45,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
     of_groups = joined.where("group_id is not null").groupBy("group_id").agg(first.alias("first")).select("first.doc_id", "first.text_hash")
     stay = of_groups.unionByName(joined.where("group_id is null").select("doc_id", "text_hash").distinct()).toDF("_of", "_hash")
-    kept = docs.select(*COLUMNS).join(stay, _same_row("_of", "_hash"), "left_semi")
+    kept = docs.select(*COLUMNS).join(stay.hint("merge"), _same_row("_of", "_hash"), "left_semi")
     if joined.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
         # combined before the shuffle, so very many equal rows are few
         one = kept.groupBy("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash")).agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("_row"))
@@ -71,7 +73,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         mixed = mixed.withColumn("_j", F.row_number().over(Window.partitionBy("_d", "_s", "_m").orderBy("copies")))
         docs = docs.withColumn("_n", words_of("text")).withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "source", "_n").orderBy(F.xxhash64("text"))))
         same = same & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_n") == F.col("_m")) & (F.col("_k") == F.col("_j"))
-    both = docs.join(mixed.where("copies > 0"), same)
+    both = docs.join(mixed.where("copies > 0").hint("merge"), same)
     return both.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
