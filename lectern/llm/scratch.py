@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import gc
 
-from ..scratch import materialise, scratch_dir
+from pyspark.sql import SparkSession
 
-__all__ = ["drop_scratch", "materialise", "scratch_dir"]
+from ..scratch import drop_scratch, materialise, scratch_dir
 
+__all__ = ["drop_scratch", "materialise", "release", "scratch_dir"]
 
-def drop_scratch(df: DataFrame) -> None:
-    """Delete the files behind a table made by ``materialise`` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/lectern-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps, which it keeps until the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
