@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import heapq
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,19 +15,20 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions import vocab
-
+from ..functions.audio import let
+from ..scratch import materialise
+from .graphs import components
 
 Recogniser = Callable[[], Callable[[str], Sequence[tuple[str, str]]]]
 
 
-def mentions(chapters: DataFrame, book: str, chapter: str, text: str = "text", pattern: str = vocab.NAME_PATTERN) -> DataFrame:
-    """book, chapter, at, name: cleaned names of capitalised runs (the default entity recogniser)."""
-    found = chapters.select(book, chapter, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), 0)).alias("at", "raw"))
-    return found.select(book, chapter, "at", X.clean_name(F.col("raw")).alias("name")).where("name is not null")
+def raw_mentions(chapters: DataFrame, book: str, chapter: str, text: str = "text", pattern: str = vocab.NAME_PATTERN) -> DataFrame:
+    """book, chapter, at, raw: capitalised runs (the default entity recogniser)."""
+    return chapters.select(book, chapter, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), 0)).alias("at", "raw"))
 
 
-def entities(chapters: DataFrame, book: str, chapter: str, load: Recogniser, text: str = "text") -> DataFrame:
-    """book, chapter, at, name, label by a pluggable recogniser, loaded once for each task; names are cleaned.
+def raw_entities(chapters: DataFrame, book: str, chapter: str, load: Recogniser, text: str = "text") -> DataFrame:
+    """book, chapter, at, raw, label by a pluggable recogniser, loaded once for each task.
 
     ``load`` gives a function from a text to (entity, label) pairs; label PERSON marks persons,
     any other label names that ``drop_non_persons`` takes as tagged otherwise.
@@ -42,13 +44,32 @@ def entities(chapters: DataFrame, book: str, chapter: str, load: Recogniser, tex
     rows = chapters.select(F.col(book).alias("book"), F.col(chapter).alias("chapter"), F.col(text).alias("text"))
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("book", "chapter")}
     out = rows.mapInArrow(run, f"book {kinds['book']}, chapter {kinds['chapter']}, found array<struct<raw:string,label:string>>")
-    named = out.select(F.col("book").alias(book), F.col("chapter").alias(chapter), F.posexplode("found").alias("at", "f"))
-    return named.select(book, chapter, "at", X.clean_name(F.col("f.raw")).alias("name"), F.col("f.label").alias("label")).where("name is not null")
+    return out.select(F.col("book").alias(book), F.col("chapter").alias(chapter), F.posexplode("found").alias("at", "f")).select(book, chapter, "at", "f.*")
+
+
+def cleaned(found: DataFrame) -> DataFrame:
+    """Raw mentions with their cleaned name in place of ``raw``; what cannot be a name goes."""
+    return found.select(*(X.clean_name(F.col(c)).alias("name") if c == "raw" else c for c in found.columns)).where("name is not null")
 
 
-def name_counts(found: DataFrame, book: str, chapter: str) -> DataFrame:
-    """book, name, n, first_chapter, first_seen; combined before the shuffle."""
-    return found.groupBy(book, "name").agg(F.count("*").alias("n"), F.min(chapter).alias("first_chapter"), F.min(F.struct(F.col(chapter).alias("c"), F.col("at").alias("a"))).alias("first_seen"))
+def mentions(chapters: DataFrame, book: str, chapter: str, text: str = "text", pattern: str = vocab.NAME_PATTERN) -> DataFrame:
+    """book, chapter, at, name: cleaned names of capitalised runs."""
+    return cleaned(raw_mentions(chapters, book, chapter, text, pattern))
+
+
+def entities(chapters: DataFrame, book: str, chapter: str, load: Recogniser, text: str = "text") -> DataFrame:
+    """book, chapter, at, name, label: cleaned names by a pluggable recogniser."""
+    return cleaned(raw_entities(chapters, book, chapter, load, text))
+
+
+def name_counts(found: DataFrame, book: str, chapter: str, *by: str) -> DataFrame:
+    """book, name, ``by``, n, first_chapter, first_seen of raw mentions.
+
+    Mentions are combined before the shuffle, and each distinct form of a book is cleaned once.
+    """
+    forms = found.groupBy(book, "raw", *by).agg(F.count("*").alias("n"), F.min(F.struct(F.col(chapter).alias("c"), F.col("at").alias("a"))).alias("seen"))
+    named = forms.withColumn("name", X.clean_name(F.col("raw"))).where("name is not null")
+    return named.groupBy(book, "name", *by).agg(F.sum("n").alias("n"), F.min("seen.c").alias("first_chapter"), F.min("seen").alias("first_seen"))
 
 
 def drop_non_persons(counts: DataFrame, non_persons: DataFrame, keep_from: int = 20, by: Sequence[str] = ()) -> DataFrame:
@@ -116,23 +137,58 @@ def with_core(counts: DataFrame, honorifics: Sequence[str] = vocab.HONORIFICS) -
     return counts.withColumn("bare", bare).withColumn("core", F.lower("bare"))
 
 
+def related(cores: DataFrame, book: str) -> DataFrame:
+    """``cores`` (book, core) with part: the cores of a book that words of three letters link, directly or through others.
+
+    Greedy merging never leaves such a part, so parts merge apart from each other.
+    """
+    hashes = F.transform(F.filter(X.words(F.col("core")), lambda w: F.char_length(w) >= 3), lambda w: F.xxhash64(F.col(book), w))
+    keyed = cores.withColumn("_words", hashes).withColumn("_node", F.array_min("_words"))
+    labels = components(keyed.select(F.col("_node").alias("a"), F.explode("_words").alias("b")).distinct())
+    both = keyed.join(labels, F.col("_node") == F.col("node"), "left")
+    return both.withColumn("part", F.coalesce("label", F.xxhash64(F.col(book), F.lit(" "), F.col("core")))).drop("_words", "_node", "node", "label")
+
+
 def consolidate(counts: DataFrame, book: str, honorifics: Sequence[str] = vocab.HONORIFICS) -> DataFrame:
     """``counts`` (book, name, n, first_chapter, first_seen) with bare, core, grp and ord: forms of one character share ``grp``.
 
-    Forms group by core; a book's cores are merged in one group, whose rows are distinct
-    names and not texts.
+    Forms group by core; cores merge within the parts of ``related``, each walked in its task
+    in the order of the book.  ``ord`` orders groups: by their seeds' falling count, then first place.
     """
-    cored = with_core(counts, honorifics)
+    cored = materialise(with_core(counts, honorifics))  # read twice: for the cores and for their forms
     cores = cored.groupBy(book, "core").agg(F.sum("n").alias("total"), F.min("first_seen").alias("seen"))
+    rows = related(cores, book).select("part", F.col(book).alias("book"), "core", (-F.col("total")).alias("less"), F.col("seen.c").alias("c"), F.col("seen.a").alias("a"))
+    order = ["less", "c", "a", "core"]
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("book", *order)}
+
+    def merged(table: pa.Table) -> pa.RecordBatch:
+        part = table["part"].to_numpy()
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+        cores, less = table["core"].to_pylist(), table["less"].to_pylist()
+        seeds = [a + g for a, b in zip(cuts, cuts[1:]) for g in merge_cores([(c, -n) for c, n in zip(cores[a:b], less[a:b], strict=True)])]
+        own = table.select(["book", "core"]).combine_chunks()
+        seed = table.select(order).take(pa.array(seeds, pa.int64())).combine_chunks()
+        return pa.Table.from_arrays([*own.columns, *seed.columns], ["book", "of", *order]).combine_chunks().to_batches()[0]
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.assign(c=[s["c"] for s in part["seen"]], a=[s["a"] for s in part["seen"]]).sort_values(["total", "c", "a", "core"], ascending=[False, True, True, True])
-        names = part["core"].tolist()
-        groups = merge_cores(list(zip(names, part["total"], strict=True)))
-        return pd.DataFrame({book: part[book], "core": names, "grp": [names[g] for g in groups], "ord": groups})
-
-    merged = cores.groupBy(book).applyInPandas(run, f"{book} {cores.schema[book].dataType.simpleString()}, core string, grp string, ord long")
-    return cored.join(merged, [book, "core"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            part = table["part"].to_numpy()
+            cut = int(np.searchsorted(part, part[-1]))  # the last part may go on
+            held = table.slice(cut)
+            if cut:
+                yield merged(table.slice(0, cut))
+        if held is not None:
+            yield merged(held)
+
+    ordered = rows.repartition("part").sortWithinPartitions("part", *order)
+    walked = ordered.mapInArrow(run, f"book {kinds['book']}, of string, " + ", ".join(f"{c} {kinds[c]}" for c in order))
+    groups = walked.select(F.col("book").alias(book), F.col("of").alias("core"), F.col("core").alias("grp"), F.struct(*order).alias("ord"))
+    return cored.join(groups, [book, "core"])
 
 
 def canonical(grouped: DataFrame, book: str) -> DataFrame:
@@ -199,16 +255,71 @@ def resolve(references: DataFrame, names: DataFrame, scope: Sequence[str], spoke
     return references.join(hits, same, "left").drop(*own, "_said")
 
 
-def pronoun_hits(name: Column, text: Column, pronouns: Sequence[str], window: int = 300, sample: int = 500_000) -> Column:
-    """Matches of name ... pronoun and of pronoun ... name within ``window`` characters, whatever the case."""
-    n = F.concat(F.lit("\\Q"), name, F.lit("\\E"))
-    p = rf"\b(?:{'|'.join(pronouns)})\b"
-    head = F.left(text, F.lit(sample))
-    return F.regexp_count(head, F.concat(F.lit("(?is)"), n, F.lit(f".{{0,{window}}}{p}"))) + F.regexp_count(head, F.concat(F.lit(f"(?is){p}.{{0,{window}}}"), n))
+def _starts(text: str, name: str) -> list[int]:
+    """Every place of ``name`` in ``text``, overlapping ones too."""
+    found, at = [], text.find(name)
+    while at >= 0:
+        found.append(at)
+        at = text.find(name, at + 1)
+    return found
+
+
+def _near(starts: Sequence[int], ends: Sequence[int], others: Sequence[int], other_ends: Sequence[int], window: int) -> int:
+    """Non-overlapping matches of one of ``starts`` up to the farthest of ``others`` within ``window`` after its end.
+
+    Both lists ascend; a match ends with its farthest partner, and the next one begins there or later.
+    """
+    count = at = i = 0
+    while (i := bisect_left(starts, at, i)) < len(starts):
+        far = bisect_right(others, ends[i] + window) - 1
+        if far >= 0 and others[far] >= ends[i]:
+            count, at = count + 1, other_ends[far]
+        else:
+            i += 1
+    return count
+
+
+def near_counts(names: Sequence[str], text: str, pronouns: Sequence[Sequence[str]], window: int = 300) -> list[list[int]]:
+    """For each name, its matches with each set of pronouns, name first and pronoun first together.
+
+    The text is read once for the pronouns and searched once for each name: positions meet, no
+    pattern spans the window.
+    """
+    low = text.lower()
+    if len(low) != len(text):  # letters whose lower case is longer keep their places
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    sets = {p: i for i, own in enumerate(pronouns) for p in own}
+    places: list[tuple[list[int], list[int]]] = [([], []) for _ in pronouns]
+    for m in re.finditer(rf"\b(?:{'|'.join(sets)})\b", low):
+        starts, ends = places[sets[m.group()]]
+        starts.append(m.start())
+        ends.append(m.end())
+    out = []
+    for name in names:
+        own = _starts(low, name.lower()) if name else []
+        own_ends = [x + len(name) for x in own]
+        out.append([_near(own, own_ends, *p, window) + _near(*p, own, own_ends, window) for p in places])
+    return out
+
+
+PRONOUNS = (("he", "him", "his"), ("she", "her", "hers"))
+
+
+def pronoun_hits(names: Column, text: Column, window: int = 300, sample: int = 500_000) -> Column:
+    """array<struct(male, female)>: for each of ``names``, its matches near pronouns in the opening of ``text``, whatever the case."""
+    kind = pa.list_(pa.struct([("male", pa.int32()), ("female", pa.int32())]))
+
+    def run(names: pa.Array, texts: pa.Array) -> pa.Array:
+        rows = zip(names.to_pylist(), texts.to_pylist(), strict=True)
+        return pa.array([[{"male": m, "female": f} for m, f in near_counts([n or "" for n in own or ()], t or "", PRONOUNS, window)] for own, t in rows], kind)
+
+    run.__annotations__ = {"names": pa.Array, "texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<struct<male:int,female:int>>")(names, F.left(text, F.lit(sample)))
 
 
 def gender(name: Column, text: Column) -> Column:
-    by_text = X.gender_by_pronouns(pronoun_hits(name, text, ("he", "him", "his")), pronoun_hits(name, text, ("she", "her", "hers")))
+    """By first name, else by the pronouns near the name in the opening of ``text``."""
+    by_text = let(F.get(pronoun_hits(F.array(name), text), F.lit(0)), lambda h: X.gender_by_pronouns(h["male"], h["female"]))
     return F.coalesce(X.gender_by_name(name), by_text)
 
 
@@ -253,17 +364,17 @@ def character_table(chapters: DataFrame, book: str, chapter: str, text: str = "t
     capitalised runs, with ``non_persons`` (name_lower) as the names tagged otherwise.
     """
     if load is None:
-        found = mentions(chapters, book, chapter, text)
+        counts = name_counts(raw_mentions(chapters, book, chapter, text), book, chapter)
     else:
-        every = entities(chapters, book, chapter, load, text)
-        found = every.where("label = 'PERSON'").drop("label")
+        every = materialise(name_counts(raw_entities(chapters, book, chapter, load, text), book, chapter, "label"))
+        counts = every.where("label = 'PERSON'").drop("label")
         non_persons = every.where("label <> 'PERSON'").select(book, F.lower("name").alias("name_lower"))
-    counts = name_counts(found, book, chapter)
     if non_persons is not None:
         counts = drop_non_persons(counts, non_persons, keep_from, [book] if load else ())
     else:
         counts = counts.where(~X.is_non_character(F.col("name")))
-    merged = canonical(consolidate(counts, book), book)
+    order = Window.partitionBy(book).orderBy("ord")
+    merged = materialise(canonical(consolidate(counts, book), book).withColumn("ord", F.row_number().over(order)))
     names = merged.select(book, F.col("canonical").alias("id"), F.col("ord"), F.col("canonical").alias("name"), F.lit(None).cast("array<string>").alias("aliases"))
     spoken = attributions(chapters.select(F.struct(book, chapter).alias("_at"), text), "_at", text, verbs).select(f"_at.{book}", f"_at.{chapter}", "start", "pattern", "speaker")
     dialogue = dialogue_counts(spoken, names, [book], [book, chapter]).withColumnRenamed("id", "canonical")
@@ -279,7 +390,8 @@ def near_pronouns(chapters: DataFrame, names: DataFrame, book: str, chapter: str
     """book, canonical, male, female: matches of each name near pronouns in the opening of its book.
 
     The opening is the first ``sample`` characters of the chapters joined by blank lines: at
-    most that much text meets for a book, whatever its size; what lies beyond is cut first.
+    most that much text meets for a book, whatever its size; what lies beyond is cut first, and
+    it is one row with the book's names, of which ``character_table`` asks for the top few.
     """
     before = Window.partitionBy(book).orderBy(chapter).rowsBetween(Window.unboundedPreceding, -1)
     sized = chapters.select(book, chapter, F.col(text).alias("_t"), F.char_length(F.coalesce(text, F.lit(""))).alias("_n"))
@@ -287,5 +399,6 @@ def near_pronouns(chapters: DataFrame, names: DataFrame, book: str, chapter: str
     needed = placed.where(F.col("_from") < sample).select(F.col(book).alias("_b"), F.col(chapter).alias("_c"), "_from")
     parts = sized.join(needed, (F.col(book) == F.col("_b")) & (F.col(chapter) == F.col("_c"))).select(book, "_from", F.left("_t", (sample - F.col("_from")).cast("int")).alias("_t"))
     opening = parts.groupBy(book).agg(F.left(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_from", "_t"))), lambda x: x["_t"]), "\n\n"), F.lit(sample)).alias("_head"))
-    asked = names.join(opening, book)
-    return asked.select(book, "canonical", pronoun_hits(F.col("canonical"), F.col("_head"), ("he", "him", "his")).alias("male"), pronoun_hits(F.col("canonical"), F.col("_head"), ("she", "her", "hers")).alias("female"))
+    asked = names.groupBy(book).agg(F.sort_array(F.collect_list("canonical")).alias("_names")).join(opening, book)
+    counted = asked.select(book, F.explode(F.arrays_zip("_names", pronoun_hits(F.col("_names"), F.col("_head"), sample=sample).alias("_hits"))).alias("_x"))
+    return counted.select(book, F.col("_x._names").alias("canonical"), F.col("_x._hits.male").alias("male"), F.col("_x._hits.female").alias("female"))

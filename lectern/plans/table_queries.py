@@ -185,7 +185,7 @@ _COUNTS = "select source, name, count(*) as n, min(doc_id) as first_chapter, min
 
 
 def _names(docs):
-    return P.name_counts(P.mentions(docs, "source", "doc_id"), "source", "doc_id")
+    return P.name_counts(P.raw_mentions(docs, "source", "doc_id"), "source", "doc_id")
 
 
 @query("g2_entity_counts", "documents", sql=f"select source, name, n, first_chapter from ({_COUNTS})")
@@ -407,9 +407,9 @@ def _(docs):
 
 @query("n2_persons", "documents", sql=f"select source, name, n, first_chapter from ({_COUNTS}) c where name not in ({', '.join(f"'{p}'" for p in _PLACES)}) and not (n < 20 and lower(name) in ({', '.join(f"'{p.lower()}'" for p in _PLACES)})) and not list_has_any(list_concat([lower(name)], {words('lower(name)')}), {listed(vocab.KNOWN_NON_CHARACTERS)})")
 def _(docs):
-    found = P.entities(docs, "source", "doc_id", _recogniser)
-    tagged = found.where("label <> 'PERSON'").select("source", F.lower("name").alias("name_lower"))
-    return P.drop_non_persons(P.name_counts(found.where("label = 'PERSON'"), "source", "doc_id"), tagged, by=["source"]).select("source", "name", "n", "first_chapter")
+    counts = P.name_counts(P.raw_entities(docs, "source", "doc_id", _recogniser), "source", "doc_id", "label")
+    tagged = counts.where("label <> 'PERSON'").select("source", F.lower("name").alias("name_lower"))
+    return P.drop_non_persons(counts.where("label = 'PERSON'").drop("label"), tagged, by=["source"]).select("source", "name", "n", "first_chapter")
 
 
 @query("n3_cores", "documents", sql=f"select source, lower(bare) as core, sum(n)::bigint as total from ({_BARE}) group by 1, 2")

@@ -347,3 +347,49 @@ def test_long_chapter_sound(spark):
 def test_census(spark):
     got = {r["ch"]: (r["code"], r["name"], r["n"]) for r in X.char_census(spark.createDataFrame([("é“a”é",), (None,)], "text string")).collect()}
     assert got == {"é": (233, "LATIN SMALL LETTER E WITH ACUTE", 2), "“": (8220, "LEFT DOUBLE QUOTATION MARK", 1), "”": (8221, "RIGHT DOUBLE QUOTATION MARK", 1)}
+
+
+def test_pronouns_near_names_equal_patterns():
+    """Positions that meet give what four patterns with windows find."""
+    rng = random.Random(11)
+    for case in range(300):
+        words = [rng.choice(["Ann", "Annan", "he", "Him", "his", "she", "her", "hers", "the", "x" * rng.randint(1, 40), "\n", "there", "é"]) for _ in range(rng.randint(0, 60))]
+        text = rng.choice([" ", "", "-"]).join(words)
+        names, window = ["Ann", "ann an", "Annan", "é"], rng.choice([0, 5, 30, 300])
+        want = []
+        for n in map(re.escape, names):
+            want.append([sum(len(re.findall(p, text, re.I | re.S)) for p in (rf"{n}.{{0,{window}}}\b(?:{own})\b", rf"\b(?:{own})\b.{{0,{window}}}{n}")) for own in ("he|him|his", "she|her|hers")])
+        assert P.near_counts(names, text, P.PRONOUNS, window) == want, (case, text)
+
+
+def test_pronouns_in_long_texts_take_no_time():
+    import time
+
+    text = "the man said he saw the hers " * 17_000
+    began = time.perf_counter()
+    P.near_counts(["the", "man", "nobody"], text, P.PRONOUNS)
+    assert time.perf_counter() - began < 3
+
+
+def test_related_names_are_components(spark):
+    """Cores meet through words of three letters only, within their book, over any number of steps."""
+    from lectern.operators.graphs import components
+
+    cores = [(1, f"n{i:03} n{i + 1:03}") for i in range(40)] + [(1, "al li"), (1, "li al x"), (2, "n000 zed"), (2, "zed"), (2, "al")]
+    got = {}
+    for r in P.related(spark.createDataFrame(cores, "book int, core string").repartition(7), "book").collect():
+        got.setdefault(r["part"], set()).add((r["book"], r["core"]))
+    assert sorted(map(len, got.values())) == [1, 1, 1, 2, 40]
+    rng = random.Random(4)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1100)]
+    labels = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(9)).collect()}
+    plain = {x: x for e in edges for x in e}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            low = min(plain[a], plain[b])
+            changed |= plain[a] != low or plain[b] != low
+            plain[a] = plain[b] = low
+    assert labels == plain
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
