@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import connected_components
-from .scratch import materialise
+from .scratch import materialise, release
 from .textbytes import WHITE, U64, hashed_words, mix, shingles
 
 FIRST_MATCHES = 0.1
@@ -262,13 +262,16 @@ def ngram_jaccard_join(documents: DataFrame, k: int = 5, percent: int = 80) -> D
     smallest = F.ceil(F.lit(percent) * F.col("n") / 100)
     asked = F.greatest(F.lit(1), F.least(F.floor(FIRST_MATCHES * smallest), F.ceil(F.lit(percent) * smallest / 100)))
     alive = materialise(classes.join(matches, "lo").where(F.col("found") >= F.col("copies") * asked))
+    release(documents.sparkSession)
 
     sets = materialise(_whole_sets(docs, alive, k))
+    release(documents.sparkSession)
     whole = sets.select("rep", "hi", "lo", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     often = materialise(whole.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"))
     of_doc = Window.partitionBy("hi", "lo")
     ranked = whole.join(often, "shingle").select("rep", "hi", "lo", "shingle", F.count("*").over(of_doc).alias("shared"), (F.count("*").over(of_doc) - F.ceil(F.lit(percent) * F.col("n") / 100)).alias("spare"), F.row_number().over(of_doc.orderBy("df", "shingle")).alias("rank"))
     rarest = materialise(ranked.where("rank <= spare + 1").select("lo", "shingle"))
+    release(documents.sparkSession)
     comps = _join_families(sets, rarest, percent)
     named = comps.join(comps.groupBy("comp").agg(F.min("rep").alias("component")), "comp").select("hi", "lo", "comp", "component")
     of_class = materialise(classes.join(named, ["hi", "lo"], "left").select("hi", "lo", F.coalesce("component", "rep").alias("component"), F.coalesce("comp", F.xxhash64("hi", "lo")).alias("group_id")))
