@@ -15,9 +15,9 @@ from pyspark.sql.window import Window
 from lectern.llm.decontaminate import find_overlaps
 from lectern.llm.mixing import mix_sources, words_of
 from lectern.llm.ngram_join import ngram_jaccard_join
-from lectern.llm.quality_rules import quality_rules
+from lectern.llm.quality_rules import kept_documents
 from lectern.llm.queries import tokenizer_path
-from lectern.llm.scratch import materialise
+from lectern.llm.scratch import materialise, release
 from lectern.llm.token_files import token_files
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -29,10 +29,8 @@ def _same_row(doc_id: str, text_hash: str) -> Column:
 
 
 def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go; rows of one doc_id are judged each."""
-    judged = quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    kept = judged.where("kept").select(F.col("doc_id").alias("_of"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.select(*COLUMNS).join(kept.hint("merge"), _same_row("_of", "_hash"), "left_semi")
+    """Documents that the quality rules reject go, by a filter in the scan; rows of one doc_id are judged each."""
+    return kept_documents(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,6 +40,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     without words are in no group and stay.  Of rows with equal doc_id and text one stays.
     """
     joined = materialise(ngram_jaccard_join(docs, k=5, percent=80).select("group_id", "doc_id", "text_hash"))
+    release(spark)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
     of_groups = joined.where("group_id is not null").groupBy("group_id").agg(first.alias("first")).select("first.doc_id", "first.text_hash")
     stay = of_groups.unionByName(joined.where("group_id is null").select("doc_id", "text_hash").distinct()).toDF("_of", "_hash")
@@ -99,4 +98,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir))
+        release(spark)
     return docs

@@ -141,6 +141,25 @@ def rejected_by(cutoffs: dict[str | None, dict[str, float]], stratum: Column) ->
     return verdict
 
 
+def fitted_cutoffs(features: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[str | None, dict[str, float]]:
+    """Cutoffs from rows with doc_id, stratum and FEATURES that ``labels`` (doc_id, quality) cover."""
+    quality = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("of")).agg((F.min("quality") > 0).alias("good"))
+    return choose_cutoffs(features.join(quality, F.col("doc_id") == F.col("of")), risk, delta)
+
+
+def kept_documents(documents: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """The rows of ``documents`` that ``quality_rules`` keeps, with its columns.
+
+    Features depend on their row alone, so the second pass is a filter in the scan: no text is
+    shuffled and no verdict is joined.
+    """
+    text = F.coalesce("text", F.lit(""))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("stratum"), text.alias("text"))
+    cutoffs = fitted_cutoffs(materialise(with_features(rows, F.col("text")).drop("text")), labels, risk, delta)
+    judged = with_features(documents.select(F.struct(*documents.columns).alias("_row"), F.col("lang").cast("string").alias("stratum"), text.alias("text")), F.col("text"))
+    return judged.where(~base_failed() & ~rejected_by(cutoffs, F.col("stratum"))).select("_row.*")
+
+
 def quality_rules(documents: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """doc_id, text_hash, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
@@ -153,7 +172,6 @@ def quality_rules(documents: DataFrame, labels: DataFrame, risk: float = RISK, d
     text = F.coalesce("text", F.lit(""))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("stratum"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     features = materialise(with_features(rows, F.col("text")).drop("text"))
-    quality = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("of")).agg((F.min("quality") > 0).alias("good"))
-    cutoffs = choose_cutoffs(features.join(quality, F.col("doc_id") == F.col("of")), risk, delta)
+    cutoffs = fitted_cutoffs(features, labels, risk, delta)
     failed = base_failed()
     return features.select("doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~rejected_by(cutoffs, F.col("stratum"))).alias("kept"))
