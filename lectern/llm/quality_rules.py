@@ -157,7 +157,10 @@ def kept_documents(documents: DataFrame, labels: DataFrame, risk: float = RISK,
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("stratum"), text.alias("text"))
     cutoffs = fitted_cutoffs(materialise(with_features(rows, F.col("text")).drop("text")), labels, risk, delta)
     judged = with_features(documents.select(F.struct(*documents.columns).alias("_row"), F.col("lang").cast("string").alias("stratum"), text.alias("text")), F.col("text"))
-    return judged.where(~base_failed() & ~rejected_by(cutoffs, F.col("stratum"))).select("_row.*")
+    stays = ~base_failed() & ~rejected_by(cutoffs, F.col("stratum"))
+    # an outer explode, as a filter would be pushed below the features and repeat them for each rule
+    marked = judged.select("_row", F.posexplode_outer(F.when(stays, F.array(F.lit(True)))).alias("_at", "_stays"))
+    return marked.where("_at is not null").select("_row.*")
 
 
 def quality_rules(documents: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
