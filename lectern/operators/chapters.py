@@ -117,35 +117,64 @@ def model_sentences(chapters: DataFrame, key: str, load: Callable[[], Callable[[
     return out.select(F.col("key").alias(key), F.posexplode("sentences").alias("index", "text"))
 
 
+# A quote, straight or curly, with its marks.
+QUOTE = r"[\"“][^\"”“]+[\"”]"
+
+
 def quote_spans(paragraph: Column) -> Column:
-    """array of struct(s, e): quoted spans with their quotes, by a fold over the matches' lengths."""
-    matches = F.regexp_extract_all(paragraph, F.lit(r"[\"“][^\"”“]+[\"”]"), 0)
+    """array of struct(s, e): quoted spans with their quotes, from the lengths of what lies between them."""
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
+    lengths = F.zip_with(F.split(paragraph, QUOTE, -1), F.regexp_extract_all(paragraph, F.lit(QUOTE), 0), lambda a, q: F.struct(F.char_length(a).alias("a"), F.char_length(q).alias("q")))
+
+    def step(s: Column, n: Column) -> Column:
+        start = s["at"] + n["a"]
+        return F.struct((start + F.coalesce(n["q"], F.lit(0))).alias("at"), F.when(n["q"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(F.struct(start.alias("s"), (start + n["q"]).alias("e"))))).alias("out"))
+
+    return F.when(paragraph.rlike("[\"“]"), F.aggregate(lengths, state, step, lambda s: s["out"])).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
+
+
+def _alternating(text: Column, pattern: str, reach: int) -> Column:
+    """struct(all, heads, tails): what lies between the matches of ``pattern`` and the matches in turn, and ``reach`` characters of each.
 
-    def step(s: Column, m: Column) -> Column:
-        a = F.call_function("locate", m, paragraph, s["at"] + 1) - 1
-        e = a + F.char_length(m)
-        return F.struct(e.alias("at"), F.concat(s["out"], F.array(F.struct(a.alias("s"), e.alias("e")))).alias("out"))
+    Item 2k is what comes before match k, which is item 2k + 1; an empty one ends the list.
+    """
+    items = F.flatten(F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0), lambda a, m: F.array(a, F.coalesce(m, F.lit("")))))
+    return let(items, lambda x: F.struct(x.alias("all"), F.transform(x, lambda t: F.left(t, F.lit(reach))).alias("heads"), F.transform(x, lambda t: F.right(t, F.lit(reach))).alias("tails")))
+
+
+def _from(parts: Column, i: Column, reach: int) -> Column:
+    """The first ``reach`` characters from item ``i`` on; a match and what precedes it have three at least."""
+    few = 2 * (reach // 3 + 2)
+    own = F.coalesce(F.get(parts["heads"], i), F.lit(""))
+    return F.when(F.char_length(own) >= reach, own).otherwise(F.left(F.array_join(F.slice(parts["heads"], i + 1, F.lit(few)), ""), F.lit(reach)))
 
-    return F.when(paragraph.rlike("[\"“]"), F.aggregate(matches, state, step, lambda s: s["out"])).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
+
+def _up_to(parts: Column, i: Column, reach: int) -> Column:
+    """The last ``reach`` characters up to item ``i``, itself included; none for -1."""
+    few = 2 * (reach // 3 + 2)
+    own = F.coalesce(F.when(i >= 0, F.get(parts["tails"], i)), F.lit(""))
+    before = F.slice(parts["tails"], F.greatest(F.lit(1), i + 2 - few), F.greatest(F.lit(0), F.least(F.lit(few), i + 1)))
+    return F.when(F.char_length(own) >= reach, own).otherwise(F.right(F.array_join(before, ""), F.lit(reach)))
 
 
 def dialogue_segments(chapters: DataFrame, key: str, text: str = "text", delimiter: str = r"\n\n+", verbs: Sequence[str] = vocab.SPEECH_VERBS) -> DataFrame:
-    """key, paragraph, at, type, text, speaker: narration and quotes of each paragraph, in order."""
+    """key, paragraph, at, type, text, speaker: narration and quotes of each paragraph, in order.
+
+    A paragraph is split once; what surrounds a quote is put together from its neighbours, so
+    the work is linear in the text however many quotes it has.
+    """
     nobody = F.lit(None).cast("string")
 
-    def pieces(p: Column, spans: Column, q: Column, k: Column) -> Column:
-        before = F.coalesce(F.get(spans, k - 1)["e"], F.lit(0))
-        narration = X.strip(F.substring(p, before + 1, q["s"] - before))
-        quote = X.strip(F.substring(p, q["s"] + 2, q["e"] - q["s"] - 2))
-        who = F.when(quote != "", X.speaker_in(F.substring(p, q["e"] + 1, F.lit(150)), F.left(p, q["s"]), verbs))
+    def pieces(parts: Column, k: Column) -> Column:
+        marked = F.get(parts["all"], 2 * k + 1)
+        quote = X.strip(F.substring(marked, F.lit(2), F.char_length(marked) - 2))
+        who = F.when(quote != "", X.speaker_in(_from(parts, 2 * k + 2, 150), _up_to(parts, 2 * k, 150), verbs))
         return F.array(
-            F.struct((k * 2).alias("at"), F.lit("narration").alias("type"), narration.alias("text"), nobody.alias("speaker")),
+            F.struct((k * 2).alias("at"), F.lit("narration").alias("type"), X.strip(F.get(parts["all"], 2 * k)).alias("text"), nobody.alias("speaker")),
             F.struct((k * 2 + 1).alias("at"), F.lit("dialogue").alias("type"), quote.alias("text"), who.alias("speaker")),
         )
 
-    end = lambda p: F.array(F.struct(F.char_length(p).alias("s"), F.char_length(p).alias("e")))
-    of = lambda p: let(F.concat(quote_spans(p), end(p)), lambda spans: F.flatten(F.transform(spans, lambda q, k: pieces(p, spans, q, k))))
+    of = lambda p: let(_alternating(p, QUOTE, 150), lambda parts: F.flatten(F.transform(F.sequence(F.lit(0), (F.size(parts["all"]) / 2).cast("int") - 1), lambda k: pieces(parts, k))))
     rows = chapters.select(key, F.posexplode(X.paragraphs(F.col(text), delimiter)).alias("paragraph", "p"))
     return rows.select(key, "paragraph", F.explode(of(F.col("p"))).alias("x")).where("x.text <> ''").select(key, "paragraph", "x.*")
 
@@ -231,27 +260,25 @@ def legacy_dialogue(texts: DataFrame, key: str, text: str = "text") -> DataFrame
     A match runs from the end of the one before, over a quote, up to the next quote: what
     surrounds a quote belongs to its match and is no narration.  Narration is what no match
     reaches: text skipped by an empty quote, an unpaired quote at the end, or a text without quotes.
+    A text is split once and is linear work.
     """
     t = F.col("_t")
-    segment = "array<struct<at:int,type:string,text:string,speaker:string>>"
-    state = F.struct(F.lit(0).alias("end"), F.array().cast(segment).alias("out"))
-    item = lambda s, kind, x, who: F.array(F.struct(F.size(s["out"]).alias("at"), F.lit(kind).alias("type"), x.alias("text"), who.alias("speaker")))
+    item = lambda kind, x, who: F.struct(F.lit(kind).alias("type"), x.alias("text"), who.alias("speaker"))
     nobody = F.lit(None).cast("string")
 
-    def step(s: Column, m: Column) -> Column:
-        quote = F.call_function("locate", m, t, s["end"] + 1) - 1
-        gap = F.substring(t, s["end"] + 1, quote - s["end"])
-        skipped = F.when(gap.contains('"'), F.char_length(gap) - F.call_function("locate", F.lit('"'), F.reverse(gap)) + 1).otherwise(0)
-        start, end = s["end"] + skipped, quote + F.char_length(m)
-        lost, said = X.strip(F.substring(t, s["end"] + 1, skipped)), X.strip(F.regexp_extract(m, '"([^"]+)"', 1))
-        who = legacy_speaker(F.substring(t, end + 1, F.lit(100)), F.left(t, start))
-        told = F.when(lost != "", F.concat(s["out"], item(s, "narration", lost, nobody))).otherwise(s["out"])
-        return F.struct(end.alias("end"), F.when(said != "", F.concat(told, F.array(F.struct(F.size(told).alias("at"), F.lit("dialogue").alias("type"), said.alias("text"), who.alias("speaker"))))).otherwise(told).alias("out"))
-
-    def finish(s: Column) -> Column:
-        rest = X.strip(F.substring(t, s["end"] + 1, F.char_length(t)))
-        out = F.when(rest != "", F.concat(s["out"], item(s, "narration", rest, nobody))).otherwise(s["out"])
-        return F.when(F.size(out) > 0, out).otherwise(item(s, "narration", X.strip(t), nobody))
-
-    every = F.aggregate(F.regexp_extract_all(t, F.lit('"[^"]+"[^"]*'), 0), state, step, finish)
-    return texts.select(key, F.col(text).alias("_t")).select(key, F.explode(every).alias("x")).select(key, "x.*")
+    def told(parts: Column, k: Column) -> Column:
+        gap, match = F.get(parts["all"], 2 * k), F.get(parts["all"], 2 * k + 1)
+        lost = F.regexp_extract(gap, '(?s)^(.*")', 1)  # up to the last quote that no match has
+        said = X.strip(F.regexp_extract(match, '"([^"]+)"', 1))
+        who = legacy_speaker(_from(parts, 2 * k + 2, 100), F.concat(_up_to(parts, 2 * k - 1, 100), lost))
+        is_last = k == (F.size(parts["all"]) / 2).cast("int") - 1
+        return F.when(is_last, F.array(item("narration", X.strip(gap), nobody))).otherwise(F.array(item("narration", X.strip(lost), nobody), item("dialogue", said, who)))
+
+    def every(parts: Column) -> Column:
+        found = F.flatten(F.transform(F.sequence(F.lit(0), (F.size(parts["all"]) / 2).cast("int") - 1), lambda k: told(parts, k)))
+        return F.filter(found, lambda x: x["text"] != "")
+
+    segments = let(_alternating(t, '"[^"]+"[^"]*', 100), every)
+    whole = F.array(item("narration", X.strip(t), nobody))
+    numbered = let(F.when(t.isNotNull(), segments), lambda x: F.transform(F.when(F.size(x) > 0, x).otherwise(whole), lambda y, i: F.struct(i.alias("at"), y["type"].alias("type"), y["text"].alias("text"), y["speaker"].alias("speaker"))))
+    return texts.select(key, F.col(text).alias("_t")).where("_t is not null").select(key, F.explode(numbered).alias("x")).select(key, "x.*")

@@ -63,8 +63,8 @@ def _(docs):
 
 _VERBS = ("the", "of", "and", "was", "que", "der", "la")
 _NEAR = f"[,.]?\\s*(?:(?:{'|'.join(_VERBS)})\\s+{NAMES}|{NAMES}\\s+(?:{'|'.join(_VERBS)}))"
-#: texts with dialogue: every line is followed by itself in quotes and by words of the next line
-_TALK = "select doc_id, text || chr(10) || '“' || replace(replace(left(text, 400), chr(10), '” la '), '”', '\"') || '\" ' || right(text, 200) as text from documents"
+#: texts with dialogue: every line is followed by itself in quotes, two closing forms in turn, and by its own end
+_TALK = """select doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: x || chr(10) || '“' || translate(x, '"“”', '   ') || case when i % 2 = 1 then '” la ' else '" ' end || right(x, 40)), chr(10)) as text from documents"""
 _T8 = f"""
 with p as (select doc_id, unnest(range(len(x)))::int as paragraph, unnest(x) as q from (select doc_id, {PARAS} as x from ({_TALK}))),
 m as (select *, string_split(regexp_replace(q, '["“]([^"”“]+)["”]', chr(1) || '\\1' || chr(2), 'g'), chr(1)) as part from p),
@@ -78,8 +78,8 @@ select doc_id, paragraph, "at"::int as "at", type, text, case when type = 'dialo
 
 
 def _talk(docs):
-    quoted = F.replace(F.replace(F.left("text", F.lit(400)), F.lit("\n"), F.lit("” la ")), F.lit("”"), F.lit('"'))
-    return docs.select("doc_id", F.concat("text", F.lit("\n“"), quoted, F.lit('" '), F.right("text", F.lit(200))).alias("text"))
+    quoted = lambda x, i: F.concat(x, F.lit("\n“"), F.translate(x, '"“”', "   "), F.when(i % 2 == 0, "” la ").otherwise('" '), F.right(x, F.lit(40)))
+    return docs.select("doc_id", F.array_join(F.transform(F.split("text", "\n"), quoted), "\n").alias("text"))
 
 
 @query("t8_dialogue_segments", "documents", sql=f'select doc_id, paragraph, "at", type, text from ({_T8})')

@@ -157,3 +157,52 @@ def test_jobs(spark):
     acts = [(1, i, a) for i, a in enumerate(["start", "finish", "pause"])] + [(2, i, a) for i, a in enumerate(["pause", "resume", "fail", "resume", "finish"])]
     rows = {r["job"]: (r["status"], r["resume_count"], r["rejected"]) for r in T.replay(spark.createDataFrame(acts, "job int, i int, a string"), "job", ["i"], "a").collect()}
     assert rows == {1: ("completed", 0, 1), 2: ("completed", 2, 0)}
+
+
+def plain_dialogue(p, near, pattern):
+    """(at, type, text, after, before) of a paragraph by matches over the whole of it."""
+    import re
+
+    out, end, k = [], 0, 0
+    for k, m in enumerate(re.finditer(pattern, p)):
+        out += [(2 * k, "narration", p[end : m.start()].strip()), (2 * k + 1, "dialogue", m.group()[1:-1].strip())]
+        end = m.end()
+    return [x for x in [*out, (2 * (k + 1) if out else 0, "narration", p[end:].strip())] if x[2]]
+
+
+def test_dialogue_of_long_texts_equals_plain_matches_and_is_linear(spark):
+    import random
+    import time
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(['"', "“", "”", "a", "Tom said ", " said Ann", ". ", '"b"', "x" * 160, ""]) for _ in range(rng.randint(1, 40))) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    got = {}
+    for r in C.dialogue_segments(df, "k").orderBy("k", "paragraph", "at").collect():
+        got.setdefault(r["k"], []).append((r["at"], r["type"], r["text"]))
+    for k, t in enumerate(texts):
+        assert got.get(k, []) == (plain_dialogue(t.strip(), 150, C.QUOTE) if t.strip() else []), t
+
+    def seconds(n, run):
+        one = spark.createDataFrame([(1, '"Yes." said Ann. ' * n)], "k int, text string")
+        began = time.perf_counter()
+        rows = run(one, "k").count()
+        return rows, time.perf_counter() - began
+
+    for run in (C.dialogue_segments, C.legacy_dialogue):
+        seconds(100, run)
+        rows, small = seconds(15_000, run)
+        more, large = seconds(60_000, run)  # 1 MB
+        assert more == 4 * rows and large < 10 * small + 2
+
+
+def test_speakers_are_looked_for_across_neighbouring_quotes(spark):
+    """The name stands after a short quote that follows, or before one that precedes, within 150 characters."""
+    text = '"One" "a" "b" said Ann Bell. ' + "y" * 200 + ' Carl Stone said "c" "Two".'
+    rows = C.dialogue_segments(spark.createDataFrame([(1, text)], "k int, text string"), "k").where("type = 'dialogue'").orderBy("at").collect()
+    by = {r["text"]: r["speaker"] for r in rows}
+    assert by["b"] == "Ann Bell" and by["c"] == "Carl Stone"
+    old = C.legacy_dialogue(spark.createDataFrame([(1, '"" x "One" said Tom. "Two" "Three" open " end'), (2, "no quotes"), (3, None), (4, "")], "k int, text string"), "k").orderBy("k", "at").collect()
+    # the first quote opens nothing that a match can close: it is told; matches run to the next quote
+    assert [(r["at"], r["type"], r["text"]) for r in old if r["k"] == 1] == [(0, "narration", '"'), (1, "dialogue", "x"), (2, "dialogue", "said Tom."), (3, "dialogue", "open")]
+    assert [r["text"] for r in old if r["k"] == 2] == ["no quotes"] and not [r for r in old if r["k"] == 3]
