@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Sequence
-from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -16,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.sequences import common_items
+
 Speak = Callable[[str, str, int], np.ndarray]
 Annotate = Callable[[Sequence[dict], str, Sequence[str]], list[dict]]
 
@@ -56,8 +57,8 @@ def synthesise(segments: DataFrame, text: str, voice: str, seed: str, load: Call
 def similarity(expected: str | None, heard: str | None) -> float:
     """Ratio of matching word runs; 1 if nothing was expected."""
     tidy = lambda t: re.sub(r"[^\w\s']", " ", (t or "").lower()).split()
-    want = tidy(expected)
-    return SequenceMatcher(None, want, tidy(heard)).ratio() if want else 1.0
+    want, got = tidy(expected), tidy(heard)
+    return 2.0 * common_items(want, got) / (len(want) + len(got)) if want else 1.0
 
 
 def with_similarity(rows: DataFrame, expected: str, heard: str, out: str = "similarity") -> DataFrame:

@@ -393,3 +393,32 @@ def test_related_names_are_components(spark):
             plain[a] = plain[b] = low
     assert labels == plain
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_common_items_equal_the_sequence_matcher():
+    from lectern.functions.sequences import common_items
+
+    rng = random.Random(9)
+    for case in range(600):
+        letters = "ab" if case % 3 else "abcdefghij"
+        a, b = ([rng.choice(letters) for _ in range(rng.randint(0, 30 if case % 5 else 320))] for _ in range(2))
+        if case % 7 == 0:
+            b = a[: len(a) // 2] + b + a[len(a) // 2 :]
+        want = sum(m.size for m in SequenceMatcher(None, a, b).get_matching_blocks())
+        assert common_items(a, b) == want, (a, b)
+
+
+def test_common_items_of_long_sequences_take_no_time():
+    import time
+
+    from lectern.functions.sequences import common_items
+
+    rng = random.Random(3)
+    a = [rng.randrange(3000) for _ in range(20_000)]
+    b = [x if rng.random() > 0.05 else rng.randrange(3000) for x in a]
+    began = time.process_time()
+    n = common_items(a, b)
+    assert n > 17_000 and time.process_time() - began < 20
+    began = time.process_time()
+    assert common_items(["a", "b"] * 90, ["b", "a"] * 90) == 179
+    assert common_items(list(range(20_000)), list(range(20_000))) == 20_000 and time.process_time() - began < 5
