@@ -3,7 +3,7 @@
 A lineage is cut by writing Parquet below ``spark.checkpoint.dir`` and reading it
 again, so a lost executor costs a re-read and not a recomputation.  The setting is
 read from the session; only where it is unset and the master is local (tests, a laptop) a
-local folder is set, and on a cluster without the setting the job stops with an error.
+temporary folder takes its place, and on a cluster without the setting the job stops with an error.
 """
 
 from __future__ import annotations
@@ -21,8 +21,7 @@ def scratch_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = os.path.join(tempfile.gettempdir(), "lectern-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = os.path.join(tempfile.gettempdir(), "lectern-checkpoints")  # the setting itself can't be changed in a running session
     return f"{base.rstrip('/')}/lectern-{uuid.uuid4().hex}"
 
 
