@@ -104,13 +104,20 @@ def _(events):
     return K.sound_files(events.select(F.concat(F.lit("out/job_ch"), F.col("user_id") % 9, name).alias("path")))
 
 
-_GIVEN = {"server": {"port": "8100"}, "chunking": {"max_chunk_seconds": 15}, "tts": {"engine": "a", "own": {"default_top_k": 20}}, "quality": {"max_retries": "3"}, "storage": {"base_path": "x"}}
-
-
-@query("a14_config", "region", sql="select * from (values ('server', 'port', '9000'), ('chunking', 'max_chunk_seconds', '15.0'), ('tts', 'engine', 'b'), ('tts', 'default_top_k', '20'), ('quality', 'max_retries', '3'), ('logging', 'level', 'ERROR'), ('audio', 'sample_rate', '24000'), ('resources', 'batch_size', 'auto'), ('nlp', 'llm_context_window', '12')) v(section, key, value)")
-def _(region):
-    rows = K.config_rows(region.sparkSession, K.load_config(_GIVEN, {"SERVER_PORT": "9000", "LOG_LEVEL": "ERROR", "TTS_ENGINE": "b"}))
-    return rows.where("(section, key) in (('server', 'port'), ('chunking', 'max_chunk_seconds'), ('tts', 'engine'), ('tts', 'default_top_k'), ('quality', 'max_retries'), ('logging', 'level'), ('audio', 'sample_rate'), ('resources', 'batch_size'), ('nlp', 'llm_context_window'))")
+@query(
+    "a14_config", "nation",
+    sql="""select * from (select n_nationkey, unnest(['server', 'chunking', 'tts', 'tts', 'quality', 'logging', 'audio']) as section, unnest(['port', 'max_chunk_seconds', 'engine', 'default_top_k', 'max_retries', 'level', 'sample_rate']) as setting,
+      unnest([(8000 + n_nationkey)::varchar, (10 + n_regionkey)::double::varchar, case when n_nationkey % 3 = 0 then 'b' else n_name end, (20 + n_regionkey)::varchar, '3', 'ERROR', '24000']) as value from nation)""",
+)
+def _(nation):
+    """A configuration file of each nation, with one setting as text, one in a section of its own, and two from the environment."""
+    engine = F.when(F.col("n_nationkey") % 3 == 0, "b").otherwise(F.col("n_name"))
+    sections = F.struct(
+        F.struct((F.col("n_nationkey") + 8000).cast("string").alias("port")).alias("server"), F.struct((F.col("n_regionkey") + 10).alias("max_chunk_seconds")).alias("chunking"),
+        F.struct(engine.alias("engine"), F.struct((F.col("n_regionkey") + 20).alias("default_top_k")).alias("own")).alias("tts"), F.struct(F.lit("3").alias("max_retries")).alias("quality"), F.struct(F.lit("x").alias("base_path")).alias("storage"),
+    )
+    read = K.configurations(nation.select("n_nationkey", F.to_json(sections).alias("text")), "n_nationkey", "text", {"LOG_LEVEL": "ERROR"})
+    return read.where("(section, setting) in (('server', 'port'), ('chunking', 'max_chunk_seconds'), ('tts', 'engine'), ('tts', 'default_top_k'), ('quality', 'max_retries'), ('logging', 'level'), ('audio', 'sample_rate'))")
 
 
 @query("a4_txt_chapters", "documents", sql=f"""select '/in/' || doc_id || '.txt' as path, number, title, len({words('body')})::int as word_count from (select doc_id, 1 as number, 'Chapter 1: First' as title, text as body, length(text) > 200 - 18 as both from documents union all select doc_id, 2, 'Chapter II', text, length(text) > 200 - 18 from documents) where length(trim(body)) > 20 and doc_id in (select doc_id from documents where length(text) > 182 and not regexp_matches(text, '(?m)^(\\d+\\.\\s+.|={{3,}}$|\\*{{3,}}$)'))""")

@@ -125,9 +125,9 @@ def _(customer, nation):
     return customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
 
 
-@query("q19_search", "part", sql="select p_partkey, p_name from part where contains(lower(p_name), 'a1') or contains(lower(p_type), '2')")
+@query("q19_search", "part", sql="select p_partkey, p_name from part where contains(lower(p_name), 'ring') or contains(lower(p_type), 'prom')")
 def _(part):
-    return part.where(F.lower("p_name").contains("a1") | F.lower("p_type").contains("2")).select("p_partkey", "p_name")
+    return part.where(F.lower("p_name").contains("ring") | F.lower("p_type").contains("prom")).select("p_partkey", "p_name")
 
 
 @query("q20_status_pill", "orders", sql="select o_orderkey, case when o_orderstatus = 'F' then 'Ready' when o_orderstatus = 'O' then 'Parsed' else 'Uploaded' end as pill from orders")

@@ -7,6 +7,7 @@ sound is opened inside the task that holds its bytes.
 from __future__ import annotations
 
 import io
+import json
 import re
 import wave
 import zipfile
@@ -385,15 +386,18 @@ class Config:
 
 
 def load_config(values: dict | str | None = None, environment: dict[str, str] | None = None) -> Config:
-    """``values``: a mapping, or the text of a YAML file.  Unknown sections and keys are ignored.
+    """``values``: a mapping, or the text of a JSON or YAML file.  Unknown sections and keys are ignored.
 
     Values take the type of the default.  Settings of a speech model may stand in a section of
     their own inside tts.  SERVER_PORT, LOG_LEVEL and TTS_ENGINE of ``environment`` win.
     """
     if isinstance(values, str):
-        import yaml  # only where a file is read: not part of the fixed environment
+        try:
+            values = json.loads(values)
+        except ValueError:
+            import yaml  # only where such a file is read: not part of the fixed environment
 
-        values = yaml.safe_load(values)
+            values = yaml.safe_load(values)
     config, env, given = Config(), environment or {}, values or {}
     for section in fields(config):
         own, read = getattr(config, section.name), given.get(section.name) or {}
@@ -409,7 +413,16 @@ def load_config(values: dict | str | None = None, environment: dict[str, str] |
     return config
 
 
-def config_rows(spark: SparkSession, config: Config) -> DataFrame:
-    """section, key, value (as text) of every setting."""
-    rows = [(s.name, f.name, str(getattr(getattr(config, s.name), f.name))) for s in fields(config) for f in fields(getattr(config, s.name))]
-    return spark.createDataFrame(rows, "section string, key string, value string")
+def configurations(files: DataFrame, key: str, text: str, environment: dict[str, str] | None = None) -> DataFrame:
+    """key, section, setting, value (as text) of every setting of each configuration file; a null text gives the defaults."""
+    kind = pa.list_(pa.struct([("section", pa.string()), ("setting", pa.string()), ("value", pa.string())]))
+
+    def settings(config: Config) -> list[dict]:
+        return [{"section": s.name, "setting": f.name, "value": str(getattr(getattr(config, s.name), f.name))} for s in fields(config) for f in fields(getattr(config, s.name))]
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([settings(load_config(t, environment)) for t in texts.to_pylist()], kind)
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    read = F.arrow_udf(run, "array<struct<section:string,setting:string,value:string>>")(F.col(text))
+    return files.select(key, F.explode_outer(read).alias("x")).select(key, "x.*")
