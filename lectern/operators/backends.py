@@ -135,6 +135,45 @@ def resampled(x: np.ndarray, rate: int, to: int) -> np.ndarray:
     return np.interp(np.arange(n) * rate / to, np.arange(len(x)), x)
 
 
+def chapter_parts(chapters: DataFrame, book: str, order: str, samples: str, rate: str | int = 24000, to: int = 24000, silence_ms: int = 2000, fade_ms: int = 150, piece: int = 1 << 20) -> DataFrame:
+    """book, start, samples: the sound of ``concatenate_chapters`` as parts of at most ``piece`` samples; by ``start`` they join without gaps.
+
+    Where each chapter begins is a running sum of lengths; only these meet for a book, so its
+    sound has no bound.  The fade reaches into the silence alone, which must be as long.
+    ``order`` is unique within a book; a book without any chapter's sound has no parts.
+    """
+    fade, silence = int(to * fade_ms / 1000), int(to * silence_ms / 1000)
+    if silence < fade:
+        raise ValueError("the silence between chapters must be as long as the fade")
+    own_rate = F.col(rate) if isinstance(rate, str) else F.lit(rate)
+    rows = chapters.select(F.col(book).alias("book"), F.col(order).alias("at"), F.col(samples).alias("samples"), own_rate.cast("int").alias("rate")).where(F.size("samples") > 0)
+    length = F.when(F.col("rate") == to, F.size("samples")).otherwise(F.greatest(F.lit(1), F.rint(F.size("samples") * to / F.col("rate")))).cast("long")
+    by_book = Window.partitionBy("book").orderBy("at")
+    before = by_book.rowsBetween(Window.unboundedPreceding, -1)
+    sized = rows.select("book", "at", length.alias("n")).withColumn("nth", F.row_number().over(by_book) - 1)
+    faded = sized.withColumn("fades", (F.col("nth") > 0) & (F.col("n") >= fade) & F.lit(fade > 0))
+    start = F.coalesce(F.sum("n").over(before), F.lit(0)) + silence * F.col("nth") - fade * F.sum(F.col("fades").cast("long")).over(by_book)
+    quiet = F.when(F.col("nth") == 0, 0).otherwise(silence - F.when(F.col("fades"), fade).otherwise(0))
+    placed = faded.select(F.col("book").alias("_b"), F.col("at").alias("_a"), "fades", start.alias("start"), quiet.cast("long").alias("quiet"))
+    schema = pa.schema([("start", pa.int64()), ("samples", pa.list_(pa.float64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x = resampled(np.asarray(batch["samples"][i].values.to_numpy(zero_copy_only=False), float), batch["rate"][i].as_py(), to)
+                if batch["fades"][i].as_py():
+                    x = np.concatenate([x[:fade] * np.linspace(0, 1, fade), x[fade:]])
+                begin, gap = batch["start"][i].as_py(), batch["quiet"][i].as_py()
+                parts = [(begin - gap + a, np.zeros(min(piece, gap - a))) for a in range(0, gap, piece)] + [(begin + a, x[a : a + piece]) for a in range(0, len(x), piece)]
+                for a, part in parts:
+                    made = pa.RecordBatch.from_arrays([pa.array([a]), pa.array([part], schema.field("samples").type)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([batch["book"].slice(i, 1), *made.columns], ["book", "start", "samples"])
+
+    both = rows.join(placed, F.col("book").eqNullSafe(F.col("_b")) & (F.col("at") == F.col("_a"))).select("book", "samples", "rate", "fades", "start", "quiet")
+    out = both.mapInArrow(run, f"book {both.schema['book'].dataType.simpleString()}, start long, samples array<double>")
+    return out.withColumnRenamed("book", book)
+
+
 def concatenate_chapters(chapters: DataFrame, book: str, order: str, samples: str, rate: str | int = 24000, to: int = 24000, silence_ms: int = 2000, fade_ms: int = 150) -> DataFrame:
     """book, samples, error: chapters in order with silence and a linear fade between; missing ones are skipped.
 

@@ -212,6 +212,19 @@ def _(e):
     return books.select("label", F.coalesce(F.size("samples"), F.lit(0)).alias("n"), F.when(F.col("samples").isNotNull(), _sum(F.col("samples"), 5)).alias("total"), "error")
 
 
+@query(
+    "s11_chapter_parts", "embeddings",
+    sql=f"""with c as (select label, {V} as x, row_number() over (partition by label order by vec_id) - 1 as i, sum(len(embedding)) over (partition by label order by vec_id rows between unbounded preceding and 1 preceding) as b from embeddings where vec_id % 3 <> 0),
+      p as (select label, (coalesce(b, 0) + 15 * i)::bigint as start, case when i = 0 then x else list_transform(x, lambda v, k: case when k <= 5 then v * ((k - 1) / 4.0) else v end) end as x from c
+        union all select label, (b + 15 * i - 15)::bigint, list_transform(range(15), lambda k: 0.0::double) from c where i > 0)
+      select label, start + k as start, len(x[k + 1:k + 40])::int as n, round(list_sum(x[k + 1:k + 40]), 5) as total from (select label, start, x, unnest(range(0, len(x), 40)) as k from p)""",
+)
+def _(e):
+    rows = e.select("label", "vec_id", F.when(F.col("vec_id") % 3 != 0, _x()).alias("x"))
+    parts = B.chapter_parts(rows, "label", "vec_id", "x", rate=10, to=10, silence_ms=2000, fade_ms=500, piece=40)
+    return parts.select("label", "start", F.size("samples").alias("n"), _sum(F.col("samples"), 5).alias("total"))
+
+
 @query("s19_silence_substitute", "documents", sql=f"select doc_id, case when doc_id % 3 = 0 then floor(240 * greatest(0.5::double, len({words('text')}) * 0.15::double))::int else 1 end as n from documents")
 def _(docs):
     x = F.when(F.col("doc_id") % 3 == 0, S.empty()).otherwise(F.array(F.lit(1.0)))

@@ -422,3 +422,20 @@ def test_common_items_of_long_sequences_take_no_time():
     began = time.process_time()
     assert common_items(["a", "b"] * 90, ["b", "a"] * 90) == 179
     assert common_items(list(range(20_000)), list(range(20_000))) == 20_000 and time.process_time() - began < 5
+
+
+def test_parts_of_a_book_join_to_its_sound(spark):
+    """Running sums place chapters where the one array has them; no part is longer than a piece."""
+    rng = random.Random(6)
+    rows = [(b, i, None if rng.random() < 0.2 else [rng.uniform(-1, 1) for _ in range(rng.choice([0, 1, 3, 40, 95]))], rng.choice([10, 20, 7])) for b in range(6) for i in range(8)] + [(9, 1, None, 10)]
+    df = spark.createDataFrame(rows, "b int, i int, x array<double>, r int")
+    for fade, piece in ((500, 7), (0, 1000), (1000, 13)):
+        parts = {}
+        for r in B.chapter_parts(df, "b", "i", "x", "r", 10, 1000, fade, piece).orderBy("b", "start").collect():
+            own = parts.setdefault(r["b"], [])
+            assert r["start"] == len(own) and 0 < len(r["samples"]) <= piece
+            own.extend(r["samples"])
+        whole = {r["b"]: r["samples"] for r in B.concatenate_chapters(df, "b", "i", "x", "r", 10, 1000, fade).collect() if r["samples"]}
+        assert parts.keys() == whole.keys() and all(parts[b] == pytest.approx(whole[b], abs=1e-12) for b in whole)
+    with pytest.raises(ValueError, match="silence"):
+        B.chapter_parts(df, "b", "i", "x", "r", 10, 100, 500)
