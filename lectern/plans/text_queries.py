@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 from ..functions import vocab
 from ..operators import chapters as C
+from ..sources import table_functions
 from .common import any_of, duration, listed, pieces, query, sentences, sentences_by_capital, strip, words
 
 LINES = r"\n+"
@@ -398,6 +399,14 @@ def _(docs):
     return C.exploded(C.headings(docs, "doc_id", patterns=_HEAD), "doc_id", C.keep_apart(F.col("found")), "at", "h").select("doc_id", "h.start", "h.title")
 
 
+@query("a3_boundaries_in_sql", "documents", sql=_A3)
+def _(docs):
+    """The same through SQL: a table function in a lateral join."""
+    spark = docs.sparkSession
+    table_functions.register(spark, _HEAD, name="query_headings")
+    return spark.sql("select d.doc_id, h.start, h.title from {docs} d, lateral query_headings(d.text) h", docs=docs)
+
+
 @query(
     "w8_nearby_dedupe", "events",
     sql="""with recursive s as (select user_id, event_id as start, row_number() over (partition by user_id order by event_id) as i from events),

@@ -163,3 +163,16 @@ def test_endpoints(spark, db):
     assert (changed["name"], changed["voice_profile_id"], changed["description"]) == ("Ann", None, "d")
     assert api.preview_segment(db, 3).count() >= 1
     assert len(api.list_jobs(db, 0).collect()) == 2
+
+
+def test_headings_by_a_table_function(spark):
+    from lectern.operators import chapters as C
+    from lectern.sources import table_functions
+
+    texts = [(1, "Chapter 1: One\n" + "a " * 150 + "\nPART II\nx\n3. Three\n" + "b " * 120 + "\n***\n"), (2, None), (3, ""), (4, "no heading"), (5, "é\nChapter V\n")]
+    df = spark.createDataFrame(texts, "k int, text string")
+    table_functions.register(spark)
+    df.createOrReplaceTempView("books_of_headings")
+    got = sorted(map(tuple, spark.sql("select k, h.start, h.title from books_of_headings, lateral chapter_headings(text) h").collect()))
+    kept = C.exploded(C.headings(df, "k"), "k", C.keep_apart(F.col("found")), "at", "h").select("k", "h.start", "h.title")
+    assert got == sorted(map(tuple, kept.collect())) and {k for k, _, _ in got} == {1, 5}
