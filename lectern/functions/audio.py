@@ -172,11 +172,12 @@ def pitch_contour(x: Column, rate: int, frame: int, low: float = 65.406391325149
     return F.transform(windows(x, frame), pitch)
 
 
-def prosody(x: Column, rate: int, frame: int, hop: int, tempo: Column | None = None, **pitch) -> Column:
+def prosody(x: Column, rate: int, frame: int, hop: int, tempo: Column | None = None, contour: Column | None = None, **pitch) -> Column:
     """struct of pitch (mean, deviation, contour with gaps at the mean), level (mean, deviation), tempo, speaking rate, duration.
 
-    Without a voiced frame the pitch is 150 Hz throughout; without a ``tempo`` from a back-end it
-    is 120.  ``pitch``: low, high and voiced of ``pitch_contour``.
+    Without a voiced frame the pitch is 150 Hz throughout; without a ``tempo`` it is 120.  ``tempo``
+    and ``contour`` may come from ``tracking.tracked``; without a contour it is that of ``pitch_contour``,
+    whose low, high and voiced are ``pitch``.
     """
     def described(contour: Column, levels: Column) -> Column:
         own = F.filter(contour, lambda v: v.isNotNull())
@@ -187,7 +188,7 @@ def prosody(x: Column, rate: int, frame: int, hop: int, tempo: Column | None = N
             F.coalesce(spread(levels), F.lit(0.0)).alias("energy_std"), (tempo if tempo is not None else F.lit(120.0)).alias("tempo"), speaking_rate(x).alias("speaking_rate"), (F.size(x) / F.lit(float(rate))).alias("duration"),
         )
 
-    return let(pitch_contour(x, rate, frame, **pitch), lambda c: let(frame_levels(x, frame, hop), lambda e: described(c, e)))
+    return let(contour if contour is not None else pitch_contour(x, rate, frame, **pitch), lambda c: let(frame_levels(x, frame, hop), lambda e: described(c, e)))
 
 
 def duration_issue(actual: Column, expected: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import audio as S
 from ..functions import text as X
+from ..functions.tracking import tracked
 from ..operators import backends as B
 from ..operators import reports as R
 from .common import clip, query, rms, words
@@ -260,3 +261,29 @@ def _(e):
     p = e.select("vec_id", _x().alias("x")).select("vec_id", "x", S.prosody(F.col("x"), 160, 16, 16, low=20, voiced=0.3).alias("p"))
     six = lambda c: F.round(f"p.{c}", 6).alias(c)
     return p.select("vec_id", six("pitch_mean"), six("pitch_std"), _sum(F.col("p.pitch_contour"), 5).alias("contour"), F.round(S.rms(F.col("x")), 6).alias("energy"), "p.tempo", F.round("p.speaking_rate", 6).alias("rate"), "p.duration")
+
+
+@query(
+    "s22_pitch_track", "conversations",
+    sql="""select conv_id, turn, 110 + (list_sum(list_transform(string_split(role, ''), lambda c: ord(c))) + conv_id) % 220 as hz, true as near, true as steady
+      from conversations where regexp_matches(text, '\\S')""",
+)
+def _(conv):
+    """Each turn is spoken as a tone of known pitch and tracked: within 2 % on the average, and in nine of ten frames."""
+    spoken = B.synthesise(conv.select("conv_id", "turn", "role", "text", F.col("conv_id").cast("int").alias("seed")), "text", "role", "seed", B.tone(4000)).where("samples is not null")
+    hz = 110 + (F.aggregate(F.transform(F.split("role", ""), lambda c: F.ascii(c)), F.lit(0), lambda s, v: s + v) + F.col("conv_id")) % 220
+    heard = tracked(spoken.select("conv_id", "turn", hz.alias("hz"), "samples"), "samples", 4000)
+    off = F.filter("pitch_track", lambda v: F.abs(v / F.col("hz") - 1) <= 0.02)
+    p = S.prosody(F.col("samples"), 4000, 400, 400, tempo=F.col("tempo"), contour=F.col("pitch_track"))
+    return heard.select("conv_id", "turn", F.col("hz").cast("long").alias("hz"), (F.abs(p["pitch_mean"] / F.col("hz") - 1) <= 0.02).alias("near"), (F.size(off) >= 0.9 * F.size("pitch_track")).alias("steady"))
+
+
+@query("s22_tempo", "supplier", sql="select s_suppkey, 50 + s_suppkey % 100 as beats, true as near from supplier")
+def _(supplier):
+    """A click track of each supplier, 50 to 149 beats a minute, whose tempo is found within 2 %."""
+    rate, seconds = 4000, 10
+    beats = 50 + F.col("s_suppkey") % 100
+    period = F.floor(60 * rate / beats).cast("int")
+    clicks = F.transform(F.sequence(F.lit(0), F.lit(rate * seconds - 1)), lambda i: F.when(i % period < 40, F.sin((i % period) * 1.5) * (1 - (i % period) / 40)).otherwise(0.0))
+    heard = tracked(supplier.select("s_suppkey", beats.cast("long").alias("beats"), clicks.alias("samples")), "samples", rate)
+    return heard.select("s_suppkey", "beats", (F.abs(F.col("tempo") / F.col("beats") - 1) <= 0.02).alias("near"))
