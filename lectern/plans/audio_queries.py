@@ -269,8 +269,8 @@ def _(e):
       from conversations where regexp_matches(text, '\\S')""",
 )
 def _(conv):
-    """Each turn is spoken as a tone of known pitch and tracked: within 2 % on the average, and in nine of ten frames."""
-    spoken = B.synthesise(conv.select("conv_id", "turn", "role", "text", F.col("conv_id").cast("int").alias("seed")), "text", "role", "seed", B.tone(4000)).where("samples is not null")
+    """Each turn is spoken, fast, as a tone of known pitch and tracked: within 2 % on the average, and in nine of ten frames."""
+    spoken = B.synthesise(conv.select("conv_id", "turn", "role", "text", F.col("conv_id").cast("int").alias("seed")), "text", "role", "seed", B.tone(4000, 20)).where("samples is not null")
     hz = 110 + (F.aggregate(F.transform(F.split("role", ""), lambda c: F.ascii(c)), F.lit(0), lambda s, v: s + v) + F.col("conv_id")) % 220
     heard = tracked(spoken.select("conv_id", "turn", hz.alias("hz"), "samples"), "samples", 4000)
     off = F.filter("pitch_track", lambda v: F.abs(v / F.col("hz") - 1) <= 0.02)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio_queries, source_queries, table_queries, text_queries  # noqa: F401  they register
+from . import audio_queries, source_queries, stream_queries, table_queries, text_queries  # noqa: F401  they register
 from .common import ORACLES, QUERIES, Query
 
 
