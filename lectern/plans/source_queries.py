@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions import audio as S
 from ..operators import chapters as C
+from ..scratch import scratch_dir
 from ..sources import books as K
+from ..sources import formats, stored
 from .common import pieces, query, words
 
 _CONTAINER = '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/book.opf"/></rootfiles></container>'
@@ -134,3 +136,27 @@ def _line_splitter():
 @query("t4_model_sentences", "documents", sql=f'select doc_id, unnest(range(len(s)))::int as "index", unnest(s) as text from (select doc_id, {pieces("text", chr(92) + "n")} as s from documents)')
 def _(docs):
     return C.model_sentences(docs, "doc_id", _line_splitter)
+
+
+@query(
+    "a12_wav_source", "embeddings",
+    sql="""select vec_id, 24000 as rate, len(x)::int as n, round(list_sum(list_transform(x, lambda v: round_even(v * 32767, 0) / 32768)), 6) as total from (select vec_id, list_transform(embedding::double[], lambda v: greatest(-1.0, least(1.0, v))) as x from embeddings)""",
+)
+def _(e):
+    """Every vector as a WAV file, written and read by format name."""
+    spark, folder = e.sparkSession, scratch_dir(e.sparkSession)
+    formats.register(spark)
+    e.select(F.col("vec_id").cast("string").alias("name"), F.col("embedding").cast("array<double>").alias("samples")).write.format("lectern-wav").mode("append").save(folder)
+    read = spark.read.format("lectern-wav").load(folder)
+    return read.select(F.regexp_extract("path", r"([^/]*)\.wav$", 1).cast("long").alias("vec_id"), "rate", F.size("samples").alias("n"), F.round(S.total(F.col("samples")), 6).alias("total"))
+
+
+@query("a11_replaced_books", "documents", sql="select book, doc_id, case when book % 4 = 1 then 'again ' || text else text end as text from (select (doc_id % 32)::int as book, * from documents) where book % 4 <> 2")
+def _(docs):
+    """Documents kept as 32 books; a quarter of the books is then replaced, and a quarter loses all rows."""
+    folder = scratch_dir(docs.sparkSession)
+    rows = docs.select("doc_id", "text", (F.col("doc_id") % 32).cast("int").alias("book"))
+    stored.replace_books(rows, rows, folder, "book")
+    again = rows.where("book % 4 in (1, 2)")
+    stored.replace_books(again.where("book % 4 = 1").withColumn("text", F.concat(F.lit("again "), "text")), again, folder, "book")
+    return docs.sparkSession.read.parquet(folder).select("book", "doc_id", "text")
