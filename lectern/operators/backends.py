@@ -17,6 +17,9 @@ from pyspark.sql.window import Window
 
 from ..functions.sequences import common_items
 
+#: samples that speech holds before it passes them on, 32 MB
+HELD_SAMPLES = 1 << 22
+
 Speak = Callable[[str, str, int], np.ndarray]
 Annotate = Callable[[Sequence[dict], str, Sequence[str]], list[dict]]
 
@@ -43,13 +46,23 @@ def synthesise(segments: DataFrame, text: str, voice: str, seed: str, load: Call
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         speak = load()
         for batch in batches:
-            out = []
-            for t, v, s in zip(batch[text].to_pylist(), batch[voice].to_pylist(), batch[seed].to_pylist(), strict=True):
+            out, held, start = [], 0, 0
+
+            def ready(end: int) -> pa.RecordBatch:
+                rows = batch.slice(start, end - start)  # noqa: B023
+                return pa.RecordBatch.from_arrays([*(rows[c] for c in names), pa.array(out, pa.list_(pa.float64()))], [*names, "samples"])  # noqa: B023
+
+            for i, (t, v, s) in enumerate(zip(batch[text].to_pylist(), batch[voice].to_pylist(), batch[seed].to_pylist(), strict=True)):
                 try:
                     out.append(speak(t, v or "", s or 0) if t and t.strip() else None)
                 except (ValueError, RuntimeError):
                     out.append(None)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(out, pa.list_(pa.float64()))], [*names, "samples"])
+                held += 0 if out[-1] is None else len(out[-1])
+                if held >= HELD_SAMPLES:
+                    yield ready(i + 1)
+                    out, held, start = [], 0, i + 1
+            if out:
+                yield ready(batch.num_rows)
 
     return segments.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in segments.schema) + ", samples array<double>")
 

@@ -70,3 +70,14 @@ def test_tracked_rows(spark):
     assert T.tracked(sounds.limit(0), "x", rate).count() == 0
     with pytest.raises(ValueError):
         T.tracked(sounds.withColumn("tempo", F.lit(1)), "x", rate)
+
+
+def test_speech_is_passed_on_in_bounded_batches(spark, monkeypatch):
+    from lectern.operators import backends as B
+
+    rows = [(i, None if i == 3 else "" if i == 4 else "word " * (i + 1), "v", i) for i in range(9)]
+    df = spark.createDataFrame(rows, "id int, t string, voice string, seed int").coalesce(1)
+    sizes = lambda: sorted((r["id"], r["samples"] and len(r["samples"])) for r in B.synthesise(df, "t", "voice", "seed", B.tone(1000)).collect())
+    whole = sizes()
+    monkeypatch.setattr(B, "HELD_SAMPLES", 1000)
+    assert sizes() == whole and [i for i, n in whole if n is None] == [3, 4]
