@@ -7,10 +7,10 @@ from pyspark.sql.window import Window
 
 from ..functions import audio as S
 from ..functions import text as X
-from ..functions.tracking import tracked
+from ..functions.tracking import timed, tracked
 from ..operators import backends as B
 from ..operators import reports as R
-from .common import clip, query, rms, words
+from .common import clip, query, rms, spread_out, words
 
 V = "embedding::double[]"
 _V = F.col
@@ -278,12 +278,18 @@ def _(conv):
     return heard.select("conv_id", "turn", F.col("hz").cast("long").alias("hz"), (F.abs(p["pitch_mean"] / F.col("hz") - 1) <= 0.02).alias("near"), (F.size(off) >= 0.9 * F.size("pitch_track")).alias("steady"))
 
 
+def _clicks(beats, rate: int, seconds: int):
+    """A click of 40 samples at every beat: one period is computed and repeated."""
+    period = F.floor(60 * rate / beats).cast("int")
+    click = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.sin(i * 1.5) * (1 - i / 40))
+    one = F.slice(F.concat(click, F.array_repeat(F.lit(0.0), F.greatest(period - 40, F.lit(0)))), F.lit(1), period)
+    return F.slice(F.flatten(F.array_repeat(one, F.ceil(rate * seconds / period).cast("int"))), 1, rate * seconds)
+
+
 @query("s22_tempo", "supplier", sql="select s_suppkey, 50 + s_suppkey % 100 as beats, true as near from supplier")
 def _(supplier):
     """A click track of each supplier, 50 to 149 beats a minute, whose tempo is found within 2 %."""
     rate, seconds = 4000, 10
     beats = 50 + F.col("s_suppkey") % 100
-    period = F.floor(60 * rate / beats).cast("int")
-    clicks = F.transform(F.sequence(F.lit(0), F.lit(rate * seconds - 1)), lambda i: F.when(i % period < 40, F.sin((i % period) * 1.5) * (1 - (i % period) / 40)).otherwise(0.0))
-    heard = tracked(supplier.select("s_suppkey", beats.cast("long").alias("beats"), clicks.alias("samples")), "samples", rate)
+    heard = timed(spread_out(supplier, "s_suppkey").select("s_suppkey", beats.cast("long").alias("beats"), _clicks(beats, rate, seconds).alias("samples")), "samples", rate)
     return heard.select("s_suppkey", "beats", (F.abs(F.col("tempo") / F.col("beats") - 1) <= 0.02).alias("near"))

@@ -81,3 +81,29 @@ def test_speech_is_passed_on_in_bounded_batches(spark, monkeypatch):
     whole = sizes()
     monkeypatch.setattr(B, "HELD_SAMPLES", 1000)
     assert sizes() == whole and [i for i, n in whole if n is None] == [3, 4]
+
+
+def test_tempo_alone_and_clicks_by_period(spark):
+    from lectern.plans import audio_queries as Q
+    from lectern.plans.common import spread_out
+
+    rate, seconds = 4000, 10
+    rows = spark.createDataFrame([(k,) for k in (50, 77, 120, 149)], "beats int").coalesce(1)
+    period = F.floor(60 * rate / F.col("beats")).cast("int")
+    whole = F.transform(F.sequence(F.lit(0), F.lit(rate * seconds - 1)), lambda i: F.when(i % period < 40, F.sin((i % period) * 1.5) * (1 - (i % period) / 40)).otherwise(0.0))
+    sounds = rows.select("beats", Q._clicks(F.col("beats"), rate, seconds).alias("x"), whole.alias("w"))
+    assert sounds.where("x = w").count() == 4
+    both = {r["beats"]: r["tempo"] for r in T.tracked(sounds.select("beats", "x"), "x", rate).collect()}
+    assert {r["beats"]: r["tempo"] for r in T.timed(sounds.select("beats", "x"), "x", rate).collect()} == both
+    assert T.tracked(sounds.select("beats", "x"), "x", rate, pitch_only=True).columns == ["beats", "x", "pitch_track"]
+    with pytest.raises(ValueError):
+        T.timed(rows.withColumn("tempo", F.lit(1)), "beats", rate)
+    # a file of few bytes is one task, so the work is dealt out
+    assert spread_out(rows, "beats").rdd.getNumPartitions() >= 8
+
+
+def test_tempo_query_neither_tracks_pitch_nor_runs_in_one_task(spark):
+    from lectern.plans.registry import queries
+
+    plan = queries()["s22_tempo"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "pitch_track" not in plan and "REPARTITION_BY_NUM" in plan
