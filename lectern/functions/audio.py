@@ -172,6 +172,11 @@ def pitch_contour(x: Column, rate: int, frame: int, low: float = 65.406391325149
     return F.transform(windows(x, frame), pitch)
 
 
+def pitch_mean(contour: Column) -> Column:
+    """Mean of the voiced frames; 150 Hz without one."""
+    return F.coalesce(mean(F.filter(contour, lambda v: v.isNotNull())), F.lit(150.0))
+
+
 def prosody(x: Column, rate: int, frame: int, hop: int, tempo: Column | None = None, contour: Column | None = None, **pitch) -> Column:
     """struct of pitch (mean, deviation, contour with gaps at the mean), level (mean, deviation), tempo, speaking rate, duration.
 
@@ -181,7 +186,7 @@ def prosody(x: Column, rate: int, frame: int, hop: int, tempo: Column | None = N
     """
     def described(contour: Column, levels: Column) -> Column:
         own = F.filter(contour, lambda v: v.isNotNull())
-        center = F.coalesce(mean(own), F.lit(150.0))
+        center = pitch_mean(contour)
         filled = let(center, lambda c: F.when(F.size(own) > 0, F.transform(contour, lambda v: F.coalesce(v, c))).otherwise(F.array(F.lit(150.0))))
         return F.struct(
             center.alias("pitch_mean"), F.coalesce(spread(own), F.lit(0.0)).alias("pitch_std"), filled.alias("pitch_contour"), F.coalesce(mean(levels), F.lit(0.0)).alias("energy_mean"),

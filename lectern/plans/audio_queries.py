@@ -270,12 +270,13 @@ def _(e):
 )
 def _(conv):
     """Each turn is spoken, fast, as a tone of known pitch and tracked: within 2 % on the average, and in nine of ten frames."""
-    spoken = B.synthesise(conv.select("conv_id", "turn", "role", "text", F.col("conv_id").cast("int").alias("seed")), "text", "role", "seed", B.tone(4000, 20)).where("samples is not null")
+    turns = spread_out(conv.select("conv_id", "turn", "role", "text", F.col("conv_id").cast("int").alias("seed")))
+    spoken = B.synthesise(turns, "text", "role", "seed", B.tone(4000, 20)).where("samples is not null")
     hz = 110 + (F.aggregate(F.transform(F.split("role", ""), lambda c: F.ascii(c)), F.lit(0), lambda s, v: s + v) + F.col("conv_id")) % 220
-    heard = tracked(spoken.select("conv_id", "turn", hz.alias("hz"), "samples"), "samples", 4000)
+    heard = tracked(spoken.select("conv_id", "turn", hz.alias("hz"), "samples"), "samples", 4000, pitch_only=True)
     off = F.filter("pitch_track", lambda v: F.abs(v / F.col("hz") - 1) <= 0.02)
-    p = S.prosody(F.col("samples"), 4000, 400, 400, tempo=F.col("tempo"), contour=F.col("pitch_track"))
-    return heard.select("conv_id", "turn", F.col("hz").cast("long").alias("hz"), (F.abs(p["pitch_mean"] / F.col("hz") - 1) <= 0.02).alias("near"), (F.size(off) >= 0.9 * F.size("pitch_track")).alias("steady"))
+    near = F.abs(S.pitch_mean(F.col("pitch_track")) / F.col("hz") - 1) <= 0.02
+    return heard.select("conv_id", "turn", F.col("hz").cast("long").alias("hz"), near.alias("near"), (F.size(off) >= 0.9 * F.size("pitch_track")).alias("steady"))
 
 
 def _clicks(beats, rate: int, seconds: int):

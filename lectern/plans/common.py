@@ -28,7 +28,7 @@ def query(name: str, *tables: str, sql: str | None = None):
 
 
 def spread_out(rows: DataFrame, *keys: str) -> DataFrame:
-    """Small rows that make long work, dealt by key to tasks a few times as many as the cores; else a small file is one task."""
+    """Small rows that make long work, dealt (by key, if one is given) to tasks a few times as many as the cores; else a small file is one task."""
     return rows.repartition(8 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
 
 

@@ -107,3 +107,27 @@ def test_tempo_query_neither_tracks_pitch_nor_runs_in_one_task(spark):
 
     plan = queries()["s22_tempo"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "pitch_track" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_paths_of_many_sounds_go_on_together(monkeypatch):
+    rate, rng = 4000, np.random.default_rng(5)
+    tones = [np.sin(2 * np.pi * hz * np.arange(n) / rate) for hz, n in ((80, 9000), (310, 500), (150, 4000))]
+    glide = np.sin(2 * np.pi * np.cumsum(np.linspace(90, 600, 8000)) / rate) + 0.3 * rng.normal(size=8000)
+    sounds = [*tones, np.zeros(0), rng.normal(size=3000), np.zeros(700), glide, np.ones(1), tones[2]]
+    together = T.pitch_tracks(sounds, rate)
+    assert [len(t) for t in together] == [-(-len(x) // 63) for x in sounds]
+    assert all(np.array_equal(t, T.pitch_track(x, rate), equal_nan=True) for t, x in zip(together, sounds, strict=True))
+    assert T.pitch_tracks([], rate) == [] and [len(t) for t in T.pitch_tracks([np.zeros(0)] * 2, rate)] == [0, 0]
+    # one step of the path for each frame of the longest sound, not of every sound
+    calls = []
+    logs = np.log
+    monkeypatch.setattr(T.np, "log", lambda *a: calls.append(1) or logs(*a))
+    T.pitch_tracks([tones[2]] * 20, rate)
+    assert len(calls) < 2 * len(together[2])
+
+
+def test_pitch_query_tracks_pitch_alone_in_many_tasks(spark):
+    from lectern.plans.registry import queries
+
+    plan = queries()["s22_pitch_track"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "tempo" not in plan and "REPARTITION_BY_NUM" in plan
