@@ -72,13 +72,13 @@ def name_counts(found: DataFrame, book: str, chapter: str, *by: str) -> DataFram
     return named.groupBy(book, "name", *by).agg(F.sum("n").alias("n"), F.min("seen.c").alias("first_chapter"), F.min("seen").alias("first_seen"))
 
 
-def drop_non_persons(counts: DataFrame, non_persons: DataFrame, keep_from: int = 20, by: Sequence[str] = ()) -> DataFrame:
-    """Without known places and peoples; names tagged otherwise stay only if frequent.
+def drop_non_persons(counts: DataFrame, non_persons: DataFrame, keep_from: int = 20, by: Sequence[str] = (), known: Sequence[str] = vocab.KNOWN_NON_CHARACTERS) -> DataFrame:
+    """Without ``known`` places and peoples; names tagged otherwise stay only if frequent.
 
     ``non_persons``: name_lower and, if tags hold for one book only, the columns ``by``.
     """
     tagged = non_persons.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("name_lower").alias("_n")).distinct()
-    rows = counts.where(~X.is_non_character(F.col("name"))).withColumn("_k", F.lower("name"))
+    rows = (counts.where(~X.is_non_character(F.col("name"), known)) if known else counts).withColumn("_k", F.lower("name"))
     same = (F.col("_k") == F.col("_n")) & (F.col("n") < keep_from)
     for c in by:
         same = same & (F.col(c) == F.col(f"_{c}"))

@@ -16,6 +16,8 @@ from lectern.plans import api, registry, table_queries
 from lectern.scratch import materialise
 from lectern.sources import books as K
 
+from . import oracle
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -439,3 +441,21 @@ def test_parts_of_a_book_join_to_its_sound(spark):
         assert parts.keys() == whole.keys() and all(parts[b] == pytest.approx(whole[b], abs=1e-12) for b in whole)
     with pytest.raises(ValueError, match="silence"):
         B.chapter_parts(df, "b", "i", "x", "r", 10, 100, 500)
+
+
+def test_tagged_names_as_the_sql_drops_them(spark, tmp_path):
+    """Known places are dropped by the operator, and by n2_persons; the SQL of j3_non_persons leaves them."""
+    import duckdb
+
+    texts = [(1, "s", "We saw Thonon and Mont Blanc. The end. Victor slept."), (2, "s", "Victor met Turk Ali. That was all."), (3, "t", "The Rhine. " + "And so. " * 20)]
+    docs = spark.createDataFrame(texts, "doc_id long, source string, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/region.parquet").write.parquet(f"{tmp_path}/region.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for name in ("j3_non_persons", "n2_persons"):
+        assert oracle.compare(spark, con, str(tmp_path), registry.queries()[name], registry.oracles()[name]) == ""
+    kept = {r["name"] for r in registry.queries()["j3_non_persons"](spark, str(tmp_path)).collect()}
+    assert {"Thonon", "Mont Blanc", "Turk Ali", "The Rhine", "And"} <= kept and not kept & {"The", "That"}
+    counts = table_queries._names(docs)
+    assert {r["name"] for r in P.drop_non_persons(counts, spark.createDataFrame([("we",)], "name_lower string")).collect()} == {"Victor", "The", "That", "And"}
