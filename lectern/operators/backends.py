@@ -95,10 +95,15 @@ def context_windows(sentences: DataFrame, key: str, index: str, text: str, size:
     return placed.withColumn("context", F.when(F.col("at") == F.col("win") * step, F.col("context")))
 
 
-def first_window_wins(sentences: DataFrame, annotations: DataFrame, key: str, index: str, defaults: dict[str, str]) -> DataFrame:
-    """Each sentence with the fields of its earliest window; missing fields, and sentences without any, take the defaults."""
+def first_window_wins(sentences: DataFrame, annotations: DataFrame, key: str, index: str, defaults: dict[str, str], then: Sequence[str] = ()) -> DataFrame:
+    """Each sentence with the fields of its earliest window; missing fields, and sentences without any, take the defaults.
+
+    If a sentence can be in a window more than once, the columns ``then`` say which comes first;
+    without them any of these does.  Annotations without a window are none.
+    """
     fields = F.struct(*defaults)
-    first = annotations.groupBy(F.col(key).alias("_k"), F.col(index).alias("_i")).agg(F.min_by(fields, "win").alias("_f"))
+    order = F.when(F.col("win").isNotNull(), F.struct("win", *then)) if then else F.col("win")
+    first = annotations.groupBy(F.col(key).alias("_k"), F.col(index).alias("_i")).agg(F.min_by(fields, order).alias("_f"))
     rows = sentences.join(first, (F.col(key) == F.col("_k")) & (F.col(index) == F.col("_i")), "left")
     return rows.select(*sentences.columns, *(F.coalesce(F.col("_f")[c], F.lit(v)).alias(c) for c, v in defaults.items()))
 

@@ -459,3 +459,21 @@ def test_tagged_names_as_the_sql_drops_them(spark, tmp_path):
     assert {"Thonon", "Mont Blanc", "Turk Ali", "The Rhine", "And"} <= kept and not kept & {"The", "That"}
     counts = table_queries._names(docs)
     assert {r["name"] for r in P.drop_non_persons(counts, spark.createDataFrame([("we",)], "name_lower string")).collect()} == {"Victor", "The", "That", "And"}
+
+
+def test_first_of_equal_windows_is_the_first_of_the_files(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, k, 1, "ANR"[(k + i) % 3], "OF"[i // 3]) for i in range(5) for k in range(40)] + [(None, k, 1, "R", "O") for k in (3, 50, 51)] + [(9, 60, n, None, None) for n in (2, 1)]
+    kind = "l_orderkey long, l_partkey long, l_linenumber int, l_returnflag string, l_linestatus string"
+    for n, own in enumerate((rows[:110], rows[110:])):
+        spark.createDataFrame(own[::-1], kind).coalesce(1).write.mode("append" if n else "overwrite").parquet(f"{tmp_path}/parts/{n}")
+    (tmp_path / "lineitem.parquet").mkdir()
+    for n in (1, 0):  # the later rows lie in the first file
+        next((tmp_path / f"parts/{1 - n}").glob("*.parquet")).rename(tmp_path / f"lineitem.parquet/part-{n}.parquet")
+    spark.createDataFrame([(k,) for k in range(70)], "p_partkey long").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect(config={"threads": 1})
+    for t in ("lineitem", "part"):
+        con.execute(f"create view {t} as from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    query, sql = registry.queries()["w3_first_window_wins"], registry.oracles()["w3_first_window_wins"]
+    assert oracle.compare(spark, con, str(tmp_path), query, sql) == ""
